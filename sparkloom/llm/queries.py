@@ -16,6 +16,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import sst_shards
+
+    manifest = sst_shards.write_shards(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return sst_shards.checksums(sst_shards.read_shards(manifest))
+
+
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
