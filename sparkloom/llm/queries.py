@@ -23,6 +23,19 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst_shards.checksums(sst_shards.read_shards(manifest))
 
 
+def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import simhash
+
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import mcd_quality
+
+    return mcd_quality.report(mcd_quality.judge(table(spark, sf_dir, "documents")))
+
+
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
