@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm import oracles
 from sparkloom.llm.common import table
 
 
@@ -16,6 +17,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import html_density
+
+    texts = html_density.main_texts(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm import sst_shards
 
@@ -50,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_html_density": oracles.OP1_SQL}
