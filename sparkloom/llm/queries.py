@@ -38,6 +38,14 @@ def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import pivotal
+
+    sized = pivotal.sizes(table(spark, sf_dir, "documents"))
+    mixed = pivotal.mix(sized, pivotal.targets(sized, weights=(3, 1, 2), share=1.5, cap=2.0))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op9_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm import mcd_quality
 
