@@ -31,6 +31,13 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst_shards.checksums(sst_shards.read_shards(manifest))
 
 
+def op6_pstable_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import pstable
+
+    found = pstable.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 def op7_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm import simhash
 
