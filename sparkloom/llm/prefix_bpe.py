@@ -48,6 +48,8 @@ class PrefixBPE:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        #: Every ending of a token, with its own rank or -1: endings of a prefix are followed only while they are here.
+        self.ending = {b[i:]: -1 for b in ranks for i in range(1, len(b))} | ranks
         missing = [i for i in range(256) if bytes([i]) not in ranks]
         if missing:
             raise ValueError(f"no token for the single bytes {missing[:5]}")
@@ -109,20 +111,22 @@ class PrefixBPE:
 
     def extend(self, data: bytes, last: list[int], start: int, stop: int) -> None:
         """Fill last[start+1 .. stop] given last[: start+1]; last[0] is unused."""
-        token, fits, known, longest = self.ranks.get, self.fits, self._fits.get, self.longest
+        ending, fits, known = self.ending.get, self.fits, self._fits.get
         for i in range(start + 1, stop + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                t = token(data[j:i])
-                if t is not None:
-                    if not j:
-                        last.append(t)
-                        break
+            j = i
+            while True:  # longer and longer endings of data[:i], as far as some token ends so
+                j -= 1
+                t = ending(data[j:i])
+                if t < 0:
+                    continue
+                if j:
                     ok = known((last[j], t))
                     if ok is None:
                         ok = fits(last[j], t)
-                    if ok:
-                        last.append(t)
-                        break
+                    if not ok:
+                        continue
+                last.append(t)
+                break
 
     def table(self, data: bytes) -> list[int]:
         last = [-1]
