@@ -31,6 +31,13 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst_shards.checksums(sst_shards.read_shards(manifest))
 
 
+def op5_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import secrets_crf
+
+    docs = table(spark, sf_dir, "documents")
+    return secrets_crf.digests(secrets_crf.scan(docs, secrets_crf.fit(docs)))
+
+
 def op6_pstable_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm import pstable
 
