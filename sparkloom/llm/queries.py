@@ -31,6 +31,12 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst_shards.checksums(sst_shards.read_shards(manifest))
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import lattice_lm
+
+    return lattice_lm.score(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_secrets_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm import secrets_crf
 
