@@ -24,6 +24,12 @@ def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import license_scan
+
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm import sst_shards
 
