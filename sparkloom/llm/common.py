@@ -51,11 +51,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, spark: SparkSession | None = None, compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: computed once, no lineage to recompute, survives lost executors."""
     spark = spark or df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sparkloom_path = path
     return out

@@ -44,22 +44,23 @@ _PAIRS = [(i, j) for i in range(1, DIM + 1) for j in range(1, i + 1)]
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """id, lang, source and the word statistics of every whole text; one narrow pass.
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: bool = False) -> DataFrame:
+    """id, lang, source (with carry also doc, the whole row) and the word statistics of every whole text; one narrow pass.
 
     Repeated windows are found by sorting the text's window hashes with their places, so a text of n words costs
     n log n whatever repeats in it.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    d = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *([F.struct(*docs.columns).alias("doc")] if carry else []))
+    more = ["doc"] if carry else []
     d = d.selectExpr(
-        "id", "lang", "source",
+        "id", "lang", "source", *more,
         f"filter(split(t, '{_SPACE}'), w -> w <> '') AS words",
         f"filter(split(t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]') AS lines",
         f"length(regexp_replace(t, '{_SPACE}', '')) AS word_chars",
         "length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols",
     )
     d = d.selectExpr(
-        "id", "lang", "source", "word_chars", "n_symbols", "size(words) AS n_words", "size(lines) AS n_lines",
+        "id", "lang", "source", *more, "word_chars", "n_symbols", "size(words) AS n_words", "size(lines) AS n_lines",
         "size(lines) - size(array_distinct(lines)) AS n_dup_lines",
         "transform(words, w -> xxhash64(w)) AS h",
     )
@@ -67,7 +68,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = d.withColumn("at", F.expr("sort_array(transform(filter(sequence(0, n_words - 3), i -> (i > 0 AND win[i].h = win[i - 1].h) OR (i < n_words - 3 AND win[i].h = win[i + 1].h)), i -> win[i].p))"))
     d = d.withColumn("at", F.expr("IF(n_words < 3, NULL, at)")).drop("win")
     covered = "coalesce(aggregate(at, struct(0 AS c, -3 AS last), (a, p) -> struct(a.c + least(3, p - a.last) AS c, p AS last), a -> a.c), 0)"
-    return d.select("id", "lang", "source", *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines")], F.expr(covered).cast("long").alias("n_repeat_words"))
+    return d.select("id", "lang", "source", *more, *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines")], F.expr(covered).cast("long").alias("n_repeat_words"))
 
 
 def _base_failed() -> str:
@@ -174,7 +175,23 @@ def judge(docs: DataFrame, cutoff_d2: float = CUTOFF_D2, min_group: int = MIN_GR
     """Every row's statistics, base_failed, d2 (null without a verdict) and kept."""
     stats = stage(vectors(statistics(docs, **cols)), "quality-stats")
     rows = stage(_grouped(stats, min_group), "quality-groups")
-    est = estimates(rows).withColumnRenamed("g", "eg")
+    return _verdict(rows, estimates(rows), cutoff_d2)
+
+
+def filter_documents(docs: DataFrame, cutoff_d2: float = CUTOFF_D2, min_group: int = MIN_GROUP, **cols: str) -> DataFrame:
+    """The rows of docs that are kept, with their columns as they are.
+
+    Rows are written once beside their statistics; the estimates read the statistics alone, and the verdict joins
+    the rows with tables of a row per language and source, so texts are never shuffled.
+    """
+    stats = stage(vectors(statistics(docs, carry=True, **cols)), "quality-rows", compression="zstd")
+    est = estimates(stage(_grouped(stats.drop("doc"), min_group), "quality-groups"))
+    kept = _verdict(_grouped(stats, min_group), est, cutoff_d2).where("kept")
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
+def _verdict(rows: DataFrame, est: DataFrame, cutoff_d2: float) -> DataFrame:
+    est = est.withColumnRenamed("g", "eg")
     out = _with_d2(rows.join(est, rows.g == est.eg, "left").drop("eg"))
     out = out.withColumn("d2", F.expr("IF(base_failed, NULL, d2)"))
     return out.withColumn("kept", F.expr(f"NOT base_failed AND coalesce(d2 <= {cutoff_d2}D, TRUE)"))

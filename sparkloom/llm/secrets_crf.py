@@ -336,16 +336,25 @@ def mask(text: str, spans: list[tuple[int, int, int]], by: str) -> str:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, model: Model, text_col: str = "text", by: str = "[secret]") -> DataFrame:
-    """docs with every span of every text replaced by a mark; other columns and texts without spans stay as they are."""
+def redact(docs: DataFrame, model: Model, text_col: str = "text", by: str = "[secret]", chars_col: str | None = None) -> DataFrame:
+    """docs with every span of every text replaced by a mark; other columns and texts without spans stay as they are.
+
+    chars_col, if given, gets the new number of code points where a text has changed.
+    """
     ship(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
+    chars = names.index(chars_col) if chars_col in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if t is None else mask(t, scan_text(t, model), by) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=names)
+            old = b.column(at).to_pylist()
+            new = [None if t is None else mask(t, scan_text(t, model), by) for t in old]
+            cols = list(b.columns)
+            cols[at] = pa.array(new, pa.string())
+            if chars >= 0:
+                cols[chars] = pa.array([k if x == y else len(y) for x, y, k in zip(old, new, cols[chars].to_pylist())], cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -73,6 +73,31 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     return src.mapInArrow(run, T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("fp", T.LongType())]))
 
 
+def with_fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, text_col: str = "text") -> DataFrame:
+    """doc (the whole row), row (a number of its own) and fp of every document; one narrow Arrow pass."""
+    ship(docs.sparkSession)
+    src = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64), pa.int64())], names=["doc", "row", "fp"])
+
+    return src.mapInArrow(run, T.StructType([src.schema[0], src.schema[1], T.StructField("fp", T.LongType())]))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, segments: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of near duplicates: the one with the smallest identifier, null last."""
+    rows = stage(with_fingerprints(docs, shingle, text_col=text_col), "fingerprinted", compression="zstd")
+    keys = rows.select(F.struct(F.col(f"doc.{id_col}").isNull().alias("no_id"), F.col(f"doc.{id_col}").alias("id"), "row").alias("k"), "fp")
+    first = stage(keys.groupBy("fp").agg(F.min("k").alias("first")), "classes")
+    parts = components(links(first.select("fp"), distance, segments), "a", "b")
+    of = first.join(parts.withColumnRenamed("node", "n"), F.col("fp") == F.col("n"), "left").select(F.coalesce("component", "fp").alias("c"), "first")
+    stays = of.groupBy("c").agg(F.min("first").alias("k")).select(F.col("k.row").alias("r"))
+    kept = rows.join(stays, F.col("row") == F.col("r"), "left_semi")
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
 def ring(distance: int, segments: int) -> tuple[list[tuple[int, int]], list[int], int]:
     """(shift, width) of each segment, the budget of each chain length, and the length of the key chain."""
     cuts = [BITS * i // segments for i in range(segments + 1)]
