@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import ship
+from sparkloom.llm.common import ship, stage
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -48,6 +48,7 @@ _KEYS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _IS_TOKEN = bytes(ord("a") if chr(i) in string.ascii_letters + string.digits + "+/_=.-" else 32 for i in range(256))
 _IS_HEX = bytes(ord("h") if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _DIGIT = re.compile(rb"[0-9]")
+_OTHER = re.compile(r"[0-9][A-Za-z0-9+/_.-]{7}")
 #: Words before a token that are kept by name; others are one feature.
 CUES = frozenset("password passwd pass pwd secret token key apikey api auth authorization bearer credential credentials private access client signature jwt session cookie hash id uuid phone tel call iban card ip version date".split())
 STARTS = ("AKIA", "ghp_", "gho_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "sk-", "pk_live_", "xoxb-", "xoxp-", "eyJ", "AIza", "npm_", "SG.", "ya29.", "ssh-", "http", "www.")
@@ -284,15 +285,34 @@ def generated(n: int = 2500, seed: int = SEED) -> list[tuple[str, list[tuple[int
 
 
 def sampled(docs: DataFrame, text_col: str, sample: int = SAMPLE) -> list[tuple[str, list[tuple[int, int]]]]:
-    """At most `sample` passages around pattern matches and as many around other tokens with digits, labelled by the patterns."""
-    near = "[^\\r\\n]{0,100}"
-    hit = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20{0,9}[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-    other = "[0-9][A-Za-z0-9+/_=.-]{7}"
-    passages = []
-    for pattern in (hit, other):
-        one = docs.select(F.regexp_extract(F.coalesce(F.col(text_col), F.lit("")), f"({near}(?:{pattern}){near})", 1).alias("p")).where("p <> ''")
-        passages += [r.p for r in one.distinct().orderBy(F.xxhash64("p"), "p").limit(sample).collect()]
-    return [(p, [(s, e) for s, _, e in base_spans(p, p.encode())]) for p in passages]
+    """At most `sample` passages around a text's first pattern match and as many around its first other token with a digit.
+
+    All texts offer theirs; those with the smallest hashes are taken. The patterns label them.
+    """
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, passage = [], []
+            for t in b.column(0):
+                text = t.as_py()
+                raw = text.encode()
+                spans = base_spans(text, raw)
+                if spans:
+                    s, _, e = spans[0]
+                    kind.append(0)
+                    passage.append(text[max(0, s - 100) : min(e, s + 300) + 100])
+                m = _OTHER.search(text) if _DIGIT.search(raw) else None
+                if m:
+                    kind.append(1)
+                    passage.append(text[max(0, m.start() - 100) : m.end() + 100])
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(passage, pa.string())], names=["kind", "p"])
+
+    offered = stage(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(run, "kind int, p string"), "passages")
+    taken = []
+    for k in (0, 1):
+        taken += [r.p for r in offered.where(F.col("kind") == k).distinct().orderBy(F.xxhash64("p"), "p").limit(sample).collect()]
+    return [(p, [(s, e) for s, _, e in base_spans(p, p.encode())]) for p in taken]
 
 
 def fit(docs: DataFrame | None = None, text_col: str = "text", sample: int = SAMPLE) -> Model:
