@@ -1,0 +1,33 @@
+"""Pairwise measures in bounded blocks.
+
+Measures that need every pair of rows are inherently quadratic; here their memory isn't. Rows are dealt into blocks of
+about `size` rows by hash, each pair of blocks is one task-sized matrix computation, and only per-row or per-pair-block
+sums leave it.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def pair_blocks(df: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, key: str, size: int = 2048) -> DataFrame:
+    """run(left, right, same) for every unordered pair of blocks; same: both are one block."""
+    n = df.count()
+    b = max(1, math.ceil(n / size))
+    rows = df.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(b)).cast("int"))
+    rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    rows = rows.withColumn("__lo", F.least("__b", "__o")).withColumn("__hi", F.greatest("__b", "__o"))
+
+    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = k
+        left = pdf[pdf["__b"] == lo].sort_values(key, kind="stable")
+        if lo == hi:
+            return run(left, left, True)
+        return run(left, pdf[pdf["__b"] == hi].sort_values(key, kind="stable"), False)
+
+    return rows.groupBy("__lo", "__hi").applyInPandas(one, schema)
