@@ -38,6 +38,17 @@ class Tables:
             raise AttributeError(name)
         return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def spark_range(self, n: int) -> DataFrame:
+        return self._spark.range(n)
+
+    @property
+    def spark(self) -> SparkSession:
+        return self._spark
+
+    @property
+    def folder(self) -> str:
+        return self._folder
+
     def views(self) -> None:
         """Register every table as a temporary view."""
         for t in TABLES:
