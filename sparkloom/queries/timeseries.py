@@ -40,7 +40,7 @@ def _(t):
     return rounded(P.percent_change(daily(t), "d", "v", 1, ("o_orderstatus",)).drop("v"))
 
 
-@query("ts_ewma", f"WITH RECURSIVE t AS (SELECT o_orderpriority AS k, date_trunc('month', o_orderdate)::DATE AS d, sum(o_totalprice) AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY date_trunc('month', o_orderdate)) AS i FROM orders GROUP BY 1, 2), e AS (SELECT k, i, d, v::DOUBLE AS s FROM t WHERE i = 1 UNION ALL SELECT t.k, t.i, t.d, 0.3 * t.v + 0.7 * e.s FROM e JOIN t ON t.k = e.k AND t.i = e.i + 1) SELECT k, d, round(s, 2) AS v_ewma FROM e")
+@query("ts_ewma", f"WITH RECURSIVE u AS (SELECT o_orderpriority AS k, date_trunc('month', o_orderdate)::DATE AS d, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d) AS i FROM u), e AS (SELECT k, i, d, v::DOUBLE AS s FROM t WHERE i = 1 UNION ALL SELECT t.k, t.i, t.d, 0.3 * t.v + 0.7 * e.s FROM e JOIN t ON t.k = e.k AND t.i = e.i + 1) SELECT k, d, round(s, 2) AS v_ewma FROM e")
 def _(t):
     m = t.orders.groupBy(c("o_orderpriority").alias("k"), F.trunc("o_orderdate", "month").alias("d")).agg(F.sum("o_totalprice").alias("v"))
     return rounded(P.ewma(m, "d", "v", 0.3, ("k",)).drop("v"), 2)
