@@ -41,7 +41,7 @@ class ColumnDef:
             raise ValueError(f"unknown type {self.type}") from None
 
     def field(self) -> T.StructField:
-        meta = {k: getattr(self, k) for k in ("not_null", "unique", "primary_key", "auto_increment", "default", "check", "generate") if getattr(self, k) not in (None, False)}
+        meta = {k: getattr(self, k) for k in ("not_null", "unique", "primary_key", "auto_increment", "default", "check", "generate") if getattr(self, k) is not None and getattr(self, k) is not False}
         return T.StructField(self.name, self.spark_type, True, {"dialect_type": self.type.upper(), **meta})
 
     @staticmethod
