@@ -31,7 +31,7 @@ def _solve(a: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 def decompose(x: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Trend (centred mean, ends filled), additive seasonal pattern of mean zero, residual."""
     k = period if period % 2 else period + 1
-    t = pd.Series(x).rolling(k, center=True, min_periods=1).mean().to_numpy()
+    t = pd.Series(x).rolling(k, center=True).mean().bfill().ffill().fillna(float(np.mean(x)) if len(x) else 0.0).to_numpy()
     d = x - t
     s = np.array([d[i::period].mean() if len(d[i::period]) else 0.0 for i in range(period)])
     s -= s.mean()
