@@ -39,6 +39,8 @@ HALF_FACTOR, REWEIGHT_D2, REWEIGHT_FACTOR = 2.11, 11.143, 1.106
 #: Squared distance beyond which a document is rejected (chi-square tail 4e-13).
 CUTOFF_D2 = 64.0
 STEPS = 3
+#: A group's rows meet its parameters in so many parts.
+SALTS = 16
 DIM = 4
 _PAIRS = [(i, j) for i in range(1, DIM + 1) for j in range(1, i + 1)]
 _SPACE = r"[\\x20\\x09-\\x0D]+"
@@ -90,6 +92,8 @@ def _grouped(v: DataFrame, min_group: int) -> DataFrame:
     per = per.withColumn("g", F.expr(f"CASE WHEN n >= {min_group} THEN concat('source ', ls) WHEN n_small >= {min_group} THEN concat('language ', l) ELSE 'rest' END"))
     rest = per.where("g = 'rest'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rest"))
     per = per.join(rest).select(F.col("ls").alias("k"), F.expr(f"IF(g = 'rest' AND n_rest < {min_group}, NULL, g)").alias("g"))
+    # a row per language and source: staged, so that its size is known before the join with the rows is planned
+    per = stage(per.repartition(1), "quality-keys")
     return rows.join(per, rows.ls == per.k, "left").drop("k", "ls", "l")
 
 
@@ -101,6 +105,14 @@ def _residuals() -> list[str]:
     return z
 
 
+def _attach(x: DataFrame, params: DataFrame) -> DataFrame:
+    """x joined with its group's row or rows of params on (g, salt): a hot group is spread over SALTS tasks.
+
+    params is staged as one file, so that its size is known; small, it's broadcast by that size.
+    """
+    return x.join(params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"])
+
+
 def _with_d2(rows: DataFrame) -> DataFrame:
     """d2 by the LDL factors of the scatter: additions, multiplications and divisions only."""
     for i, z in enumerate(_residuals(), 1):
@@ -145,8 +157,8 @@ def _median_start(x: DataFrame) -> DataFrame:
         h = h.selectExpr("g", "i", "b", "sum(c) OVER (PARTITION BY g, i ORDER BY b) AS upto", "sum(c) OVER (PARTITION BY g, i) AS n")
         return h.where("2 * upto >= n").groupBy("g", "i").agg(F.min("b").alias("b"))
 
-    med = stage(middle(long.selectExpr("g", "i", f"x DIV {step} AS b")).withColumnRenamed("b", "med").groupBy("g").agg(*[F.max(F.expr(f"IF(i = {i - 1}, med, NULL)")).alias(f"b{i}") for i in range(1, DIM + 1)]), "medians")
-    dev = x.join(med, "g").select("g", F.posexplode(F.array(*[F.expr(f"abs(x{i} DIV {step} - b{i})") for i in range(1, DIM + 1)])).alias("i", "b"))
+    med = stage(middle(long.selectExpr("g", "i", f"x DIV {step} AS b")).withColumnRenamed("b", "med").groupBy("g").agg(*[F.max(F.expr(f"IF(i = {i - 1}, med, NULL)")).alias(f"b{i}") for i in range(1, DIM + 1)]).repartition(1), "medians")
+    dev = _attach(x, med).select("g", F.posexplode(F.array(*[F.expr(f"abs(x{i} DIV {step} - b{i})") for i in range(1, DIM + 1)])).alias("i", "b"))
     mad = middle(dev).groupBy("g").agg(*[F.max(F.expr(f"IF(i = {i - 1}, b, NULL)")).alias(f"a{i}") for i in range(1, DIM + 1)])
     both = med.join(mad, "g")
     both = both.select("g", *[F.expr(f"b{i} / 64D").alias(f"m{i}") for i in range(1, DIM + 1)], *[F.expr(f"(1.4826D * a{i} / 64D) * (1.4826D * a{i} / 64D) + {FLOOR[i - 1]}D * {FLOOR[i - 1]}D" if i == j else "0D").alias(f"k{i}{j}") for i, j in _PAIRS])
@@ -155,20 +167,22 @@ def _median_start(x: DataFrame) -> DataFrame:
 
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """g, location and LDL factors of each group's reweighted MCD scatter; rows have g and x1 .. x4."""
-    x = rows.where("g IS NOT NULL AND NOT base_failed").select("g", *[f"x{i}" for i in range(1, DIM + 1)])
+    xs = [f"x{i}" for i in range(1, DIM + 1)]
+    x = rows.where("g IS NOT NULL AND NOT base_failed").select("g", F.expr(f"CAST(pmod(xxhash64(id, word_chars, n_words, {', '.join(xs)}), {SALTS}) AS INT)").alias("salt"), *xs)
     cols = ["g", "start", *_params(), "det"]
     par = _median_start(x).withColumn("start", F.lit(1)).select(*cols).union(_factors(_moments(x, "g"), 1.0, "g").withColumn("start", F.lit(2)).select(*cols))
-    par = stage(par, "mcd")
+    par = stage(par.repartition(1), "mcd")
     for _ in range(steps):
-        d = _with_d2(x.join(par, "g")).select("g", "start", *[f"x{i}" for i in range(1, DIM + 1)], F.expr("CAST(floor(32 * ln(1 + d2)) AS INT)").alias("b"))
+        d = _with_d2(_attach(x, par)).select("g", "salt", "start", *[f"x{i}" for i in range(1, DIM + 1)], F.expr("CAST(floor(32 * ln(1 + d2)) AS INT)").alias("b"))
         h = d.groupBy("g", "start", "b").agg(F.count("*").alias("c"))
         h = h.selectExpr("g", "start", "b", "sum(c) OVER (PARTITION BY g, start ORDER BY b) AS upto", "sum(c) OVER (PARTITION BY g, start) AS n")
-        near = stage(h.where(f"2 * upto >= n + {DIM + 1} OR upto = n").groupBy("g", "start").agg(F.min("b").alias("most")), "mcd-half")
-        half = d.join(near, ["g", "start"]).where("b <= most")
-        par = stage(_factors(_moments(half, "g", "start"), HALF_FACTOR, "g", "start").select(*cols), "mcd")
+        near = stage(h.where(f"2 * upto >= n + {DIM + 1} OR upto = n").groupBy("g", "start").agg(F.min("b").alias("most")).repartition(1), "mcd-half")
+        near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        half = d.join(near, ["g", "salt", "start"]).where("b <= most")
+        par = stage(_factors(_moments(half, "g", "start"), HALF_FACTOR, "g", "start").select(*cols).repartition(1), "mcd")
     best = par.selectExpr("*", "row_number() OVER (PARTITION BY g ORDER BY det, start) AS r").where("r = 1").drop("r", "start", "det")
-    inner = _with_d2(x.join(stage(best, "mcd"), "g")).where(f"d2 <= {REWEIGHT_D2}")
-    return stage(_factors(_moments(inner, "g"), REWEIGHT_FACTOR, "g").drop("det"), "mcd")
+    inner = _with_d2(_attach(x, stage(best.repartition(1), "mcd"))).where(f"d2 <= {REWEIGHT_D2}")
+    return stage(_factors(_moments(inner, "g"), REWEIGHT_FACTOR, "g").drop("det").repartition(1), "mcd")
 
 
 def judge(docs: DataFrame, cutoff_d2: float = CUTOFF_D2, min_group: int = MIN_GROUP, **cols: str) -> DataFrame:
