@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,3 +139,30 @@ def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
 
 def valid_position(lat: Column, lon: Column) -> Column:
     return lat.between(-90, 90) & lon.between(-180, 180)
+
+
+_FILTER = re.compile(r"""^\s*`?(\w+)`?\s+(IS\s+NOT\s+NULL|IS\s+NULL)\s*$|^\s*`?(\w+)`?\s*(==|=|!=|<>|<=|>=|<|>|LIKE)\s*(.+?)\s*$""", re.I | re.S)
+
+
+def simple_filter(text: str) -> Column:
+    """The one-condition filter language: column, operator, value; LIKE with % at the ends only."""
+    m = _FILTER.match(text)
+    if m is None:
+        raise ValueError(f"bad filter {text!r}")
+    if m[1]:
+        return F.col(m[1]).isNotNull() if "NOT" in m[2].upper() else F.col(m[1]).isNull()
+    c, op, raw = F.col(m[3]), m[4].upper(), m[5]
+    value: object = raw
+    if raw[:1] in "'\"" and raw[-1:] == raw[:1] and len(raw) > 1:
+        value = raw[1:-1]
+    elif re.fullmatch(r"[+-]?\d+", raw):
+        value = int(raw)
+    elif re.fullmatch(r"[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?", raw):
+        value = float(raw)
+    if op == "LIKE":
+        s = str(value)
+        core = s.strip("%")
+        if s.startswith("%") and s.endswith("%") and len(s) > 1:
+            return c.contains(core)
+        return c.startswith(core) if s.endswith("%") else c.endswith(core) if s.startswith("%") else c == core
+    return {"=": c == value, "==": c == value, "!=": c != value, "<>": c != value, "<": c < value, "<=": c <= value, ">": c > value, ">=": c >= value}[op]

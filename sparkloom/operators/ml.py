@@ -232,6 +232,25 @@ def scaler(kind: str, source: str, out: str):
     return {"standard": lambda: StandardScaler(inputCol=source, outputCol=out, withMean=True), "minmax": lambda: MinMaxScaler(inputCol=source, outputCol=out), "robust": lambda: RobustScaler(inputCol=source, outputCol=out, withCentering=True)}[kind]()
 
 
+def discover_schema(df: DataFrame, target: str | None = None) -> DataFrame:
+    """column, type, transform: what a model of this table would do with each column."""
+    from sparkloom.operators.profile import detect_types, numeric_columns
+
+    numbers = numeric_columns(df)
+    skew = df.agg(*[F.skewness(c).alias(c) for c in numbers]).first().asDict() if numbers else {}
+    t = F.col("type")
+    heavy = F.col("column").isin([c for c in numbers if abs(skew[c] or 0) > 1] or [""])
+    kind = F.when(F.col("column") == F.lit(target or ""), "target").when(F.col("distinct") <= 1, "drop").when(t == "categorical", "index").when((t == "string") & (F.col("distinct") == F.col("n")), "drop").when(t == "string", "hash").when(t == "datetime", "calendar").when(t == "boolean", "binary").when(heavy, "log").otherwise("standardize")
+    return detect_types(df).select("column", "type", "distinct", kind.alias("transform"))
+
+
+def schema_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """column, change: added, removed or retyped between two tables."""
+    a, b = dict(old.dtypes), dict(new.dtypes)
+    rows = [(c, "added") for c in b if c not in a] + [(c, "removed") for c in a if c not in b] + [(c, f"{a[c]} to {b[c]}") for c in a if c in b and a[c] != b[c]]
+    return old.sparkSession.createDataFrame(rows, "column string, change string")
+
+
 def sample(df: DataFrame, ratio: float, by: str | None = None, seed: int = 1) -> DataFrame:
     """Random or stratified sample; which rows depends on their content alone."""
     h = F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(1_000_000)) < int(ratio * 1_000_000)

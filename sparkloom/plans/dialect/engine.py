@@ -11,6 +11,7 @@ from sparkloom.operators import plotdata as P
 from sparkloom.operators import profile as A
 from sparkloom.operators import simulate as S
 from sparkloom.operators import tsprep as Z
+from sparkloom.operators.anomaly import detect
 from sparkloom.plans.dialect.lexer import DialectError
 from sparkloom.plans.dialect.parser import Parser
 from sparkloom.sources.catalog import Catalog
@@ -22,6 +23,7 @@ class Engine:
         self.spark, self.catalog = spark, Catalog(spark, f"{root}/tables")
         self.models = M.Registry(spark, f"{root}/models")
         self.views: dict[str, DataFrame] = {}
+        self.pipelines: dict[str, list[str]] = {}
 
     def register(self, name: str, df: DataFrame) -> None:
         """Make a DataFrame readable by name; a catalog table of the name is hidden by it."""
@@ -33,14 +35,67 @@ class Engine:
     def _say(self, text: str, n: int | None = None) -> DataFrame:
         return self.spark.createDataFrame([(text, n)], "status string, rows long")
 
-    def query(self, sql: str) -> DataFrame:
-        """Spark SQL text over the known relations, each bound under its own name."""
+    def query(self, sql: str, models: set[str] = frozenset()) -> DataFrame:
+        """Spark SQL text over the known relations, each bound under its own name.
+
+        A relation with all features of a model that the query's AI functions use is scored once; the functions read
+        the score columns, so a model in SELECT costs one vectorised pass and not a call per row.
+        """
         known = dict.fromkeys([*self.catalog.table_names(), *self.views])
         for n in known:
             if f"`{n}`" in sql:
-                self.relation(n).createOrReplaceTempView(n)
+                df = self.relation(n)
+                for m in sorted(models):
+                    df = self._scored(df, m)
+                df.createOrReplaceTempView(n)
         return self.spark.sql(sql)
 
+    def _scored(self, df: DataFrame, name: str) -> DataFrame:
+        m = self.models.load(name)
+        if not set(m.card.features) <= set(df.columns):
+            return df
+        out = M.predict(m, df)
+        for c in ("prediction", "probability", "confidence"):
+            if c in out.columns and c not in df.columns:
+                out = out.withColumnRenamed(c, f"__ai_{name}_{c}")
+        return out
+
+    def run_batch(self, text: str, workers: int = 4) -> list[DataFrame]:
+        """BEGIN BATCH s; s; ... END BATCH: the statements as concurrent Spark jobs, results in order."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        p = Parser(text)
+        p.need("BEGIN", "BATCH")
+        parts, start = [], p.now.at
+        while not p.at("END", "BATCH"):
+            if p.now.kind == "end":
+                raise DialectError("BEGIN BATCH without END BATCH")
+            t = p.next()
+            if t.text == ";":
+                parts.append(text[start : t.at])
+                start = t.at + 1
+        parts.append(text[start : p.now.at])
+        with ThreadPoolExecutor(workers) as pool:
+            return list(pool.map(self.run, [x for x in parts if x.strip()]))
+
+    def _create_pipeline(self, p: Parser) -> DataFrame:
+        """CREATE PIPELINE n AS ('statement', 'statement', ...)."""
+        n = p.ident()
+        p.need("AS", "(")
+        steps = p.list(p.string)
+        p.need(")")
+        self.pipelines[n] = steps
+        return self._say(f"pipeline {n} created", len(steps))
+
+    def _run_pipeline(self, p: Parser) -> DataFrame:
+        n = p.ident()
+        if n not in self.pipelines:
+            raise DialectError(f"no pipeline {n}")
+        out = None
+        for s in self.pipelines[n]:
+            out = self.run(s)
+        return out
+
     def run(self, text: str) -> DataFrame:
         p = Parser(text)
         for words, f in self._statements():
@@ -53,7 +108,7 @@ class Engine:
         if p.at("SELECT") or p.at("WITH") or p.at("("):
             sql = p.select()
             p.end()
-            return self.query(sql)
+            return self.query(sql, p.models)
         raise DialectError(f"unknown statement {p.now.text!r}")
 
     def _statements(self):
@@ -64,7 +119,7 @@ class Engine:
             (("CREATE_MODEL",), self._create_model), (("CREATE", "TABLE"), self._create_table), (("DROP", "TABLE"), self._drop_table), (("DROP", "MODEL"), self._drop_model), (("ALTER", "TABLE"), self._alter), (("INSERT", "INTO"), self._insert),
             (("BULK", "INSERT", "INTO"), self._insert), (("BULK", "UPDATE"), self._bulk_update), (("BULK", "DELETE", "FROM"), self._bulk_delete), (("UPDATE",), self._update), (("DELETE", "FROM"), self._delete), (("LOAD", "DATA"), self._load),
             (("ANALYZE", "DATA"), self._analyze), (("PREPARE", "TIME", "SERIES"), self._prepare), (("DETECT", "SEASONALITY", "IN"), self._seasonality), (("FORECAST", "USING"), self._forecast), (("TRAIN", "MODEL"), self._train),
-            (("PREDICT", "USING"), self._predict), (("SIMULATE", "MARKET"), self._simulate), (("SIMULATE",), self._simulate), (("PLOT",), self._plot), (("DESCRIBE", "MODEL"), self._describe), (("FEATURE", "IMPORTANCE"), lambda p: M.importance(self.models.load(p.ident()), self.spark)),
+            (("PREDICT", "USING"), self._predict), (("SIMULATE", "MARKET"), self._simulate), (("SIMULATE",), self._simulate), (("PLOT",), self._plot), (("CREATE", "PIPELINE"), self._create_pipeline), (("RUN", "PIPELINE"), self._run_pipeline), (("MODEL", "METRICS"), self._metrics), (("EXPLAIN", "MODEL"), self._explain), (("DETECT", "ANOMALY", "IN"), self._anomaly), (("DESCRIBE", "MODEL"), self._describe), (("FEATURE", "IMPORTANCE"), lambda p: M.importance(self.models.load(p.ident()), self.spark)),
         )
 
     # --- tables ---
@@ -398,6 +453,31 @@ class Engine:
     def _describe(self, p: Parser) -> DataFrame:
         return self.models.models().where(F.col("name") == p.ident())
 
+    def _metrics(self, p: Parser) -> DataFrame:
+        c = self.models.load(p.ident()).card
+        return self.spark.createDataFrame([(c.name, k, float(v)) for k, v in c.metrics.items()], "model string, metric string, value double")
+
+    def _explain(self, p: Parser) -> DataFrame:
+        """EXPLAIN MODEL m ON t KEY k."""
+        m = self.models.load(p.ident())
+        p.need("ON")
+        df = self.relation(p.ident())
+        p.need("KEY")
+        return M.explain(m, df, p.ident())
+
+    def _anomaly(self, p: Parser) -> DataFrame:
+        """DETECT ANOMALY IN t [FEATURES (...)] [USING algorithm] [KEY k]."""
+        df, features, algorithm, key = self.relation(p.ident()), None, "isolation_forest", None
+        while p.now.kind == "name":
+            if p.take("FEATURES"):
+                features = p.names()
+            elif p.take("KEY"):
+                key = p.ident()
+            else:
+                p.need("USING")
+                algorithm = p.ident().lower()
+        return detect(df, features, algorithm, key=key)
+
     # --- simulation and plots ---
 
     def _simulate(self, p: Parser) -> DataFrame:

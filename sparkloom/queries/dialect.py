@@ -99,3 +99,28 @@ def _(t):
 def _(t):
     out = engine(t).run("SIMULATE USING m FROM orders TIME COLUMN o_orderdate PRICE COLUMN o_totalprice STEPS 10 PATHS 20 INTERVAL 1d WITH_SCENARIO BULL")
     return t.spark.createDataFrame([(out.count(),)], "n int")
+
+
+@query("dialect_ai_functions", "SELECT count(*) AS n, TRUE AS scored FROM part WHERE p_size > 20")
+def _(t):
+    from pyspark.sql import functions as F
+
+    e = engine(t)
+    e.run("CREATE MODEL cost USING REGRESSION FEATURES (p_size) TARGET p_retailprice FROM part WITH (iterations = 2)")
+    out = e.run("SELECT p_partkey, AI_PREDICT('cost', p_size) AS guess FROM part WHERE p_size > 20")
+    return out.agg(F.count("*").alias("n"), F.every(F.col("guess") > 0).alias("scored"))
+
+
+@query("dialect_batch_and_pipeline", "SELECT (SELECT count(*) FROM nation) AS a, (SELECT count(*) FROM region) AS b, 3::BIGINT AS c")
+def _(t):
+    e = engine(t)
+    a, b = (x.first()[0] for x in e.run_batch("BEGIN BATCH SELECT COUNT(*) AS n FROM nation; SELECT COUNT(*) AS n FROM region; END BATCH"))
+    e.run("CREATE PIPELINE p AS ('CREATE TABLE r (k INT, v TEXT)', 'INSERT INTO r VALUES (1, \\'x\\'), (2, \\'y\\'), (3, \\'z\\')', 'SELECT COUNT(*) AS n FROM r')")
+    return t.spark.createDataFrame([(a, b, e.run("RUN PIPELINE p").first()[0])], "a long, b long, c long")
+
+
+@query("dialect_detect_anomaly", "SELECT count(*) AS n FROM supplier")
+def _(t):
+    from pyspark.sql import functions as F
+
+    return engine(t).run("DETECT ANOMALY IN supplier FEATURES (s_acctbal) USING zscore").agg(F.count("*").alias("n"))

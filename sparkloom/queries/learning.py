@@ -163,3 +163,13 @@ def _(t):
 @query("anomaly_ensemble")
 def _(t):
     return A.ensemble(t.orders.select("o_orderkey", "o_totalprice", F.dayofyear("o_orderdate").cast("double").alias("day")), "o_orderkey", ["o_totalprice", "day"])
+
+
+@query("ml_discover_schema", "SELECT * FROM (VALUES ('c_custkey', 'standardize'), ('c_name', 'drop'), ('c_nationkey', 'standardize'), ('c_acctbal', 'target'), ('c_mktsegment', 'index')) v(\"column\", transform)")
+def _(t):
+    return M.discover_schema(t.customer, "c_acctbal").select("column", "transform")
+
+
+@query("ml_schema_changes", "SELECT * FROM (VALUES ('r_regionkey', 'int to string'), ('extra', 'added'), ('r_name', 'removed')) v(\"column\", change)")
+def _(t):
+    return M.schema_changes(t.region, t.region.select(c("r_regionkey").cast("string").alias("r_regionkey"), F.lit(1).alias("extra")))

@@ -111,3 +111,11 @@ def _(t):
 def _(t):
     text = F.format_number((F.col("value") * 1000).cast("decimal(20,0)").cast("long"), 0)
     return t.events.select("event_id", F.regexp_replace(text, ",", "").try_cast("long").alias("v"))
+
+
+@query("simple_filter", "SELECT p_partkey FROM part WHERE p_size >= 20 AND p_name LIKE 'Part%' AND p_brand <> 'Brand#11' AND p_type IS NOT NULL")
+def _(t):
+    d = t.part
+    for f in ("p_size >= 20", "p_name LIKE 'Part%'", "p_brand != 'Brand#11'", "p_type IS NOT NULL"):
+        d = d.filter(S.simple_filter(f))
+    return d.select("p_partkey")
