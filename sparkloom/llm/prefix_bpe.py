@@ -36,7 +36,9 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 SEGMENT = re.compile(f"[{_WS}]*[{_LETTER}]+(?=[.,{_WS}])|[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: Segments in each of the two generations that a worker keeps: a full young generation becomes the old one.
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 250_000
+#: Token pairs whose fit one worker keeps.
+FITS = 400_000
 #: Longer segments aren't kept.
 CACHE_CHARS = 64
 
@@ -54,7 +56,7 @@ class PrefixBPE:
         if missing:
             raise ValueError(f"no token for the single bytes {missing[:5]}")
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; None for a single byte."""
@@ -83,7 +85,7 @@ class PrefixBPE:
         Undo merges from the latest on. At each step the two tokens touching the border are those that exist just
         before the merge undone last; if their own merge ranks lower than every merge undone so far it happens first.
         """
-        key = (left, right)
+        key = left << 24 | right
         known = self._fits.get(key)
         if known is not None:
             return known
@@ -104,7 +106,7 @@ class PrefixBPE:
                 bound, strict, right = right, False, b[0]
             else:
                 break
-        if len(self._fits) > 2_000_000:
+        if len(self._fits) > FITS:
             self._fits.clear()
         self._fits[key] = ok
         return ok
@@ -120,7 +122,7 @@ class PrefixBPE:
                 if t < 0:
                     continue
                 if j:
-                    ok = known((last[j], t))
+                    ok = known(last[j] << 24 | t)
                     if ok is None:
                         ok = fits(last[j], t)
                     if not ok:
