@@ -14,12 +14,14 @@ from sparkloom.operators import tsprep as Z
 from sparkloom.operators.anomaly import detect
 from sparkloom.plans.dialect.lexer import DialectError
 from sparkloom.plans.dialect.parser import Parser
+from sparkloom.plans.shipping import ship
 from sparkloom.sources.catalog import Catalog
 from sparkloom.types import ColumnDef
 
 
 class Engine:
     def __init__(self, spark: SparkSession, root: str):
+        ship(spark)
         self.spark, self.catalog = spark, Catalog(spark, f"{root}/tables")
         self.models = M.Registry(spark, f"{root}/models")
         self.views: dict[str, DataFrame] = {}

@@ -7,6 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.plans.shipping import ship
 from sparkloom.session import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +22,11 @@ def query(name: str, sql: str | None = None) -> Callable:
     def put(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in QUERIES:
             raise ValueError(f"two queries named {name}")
-        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return f(Tables(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql.strip()
         return f

@@ -24,7 +24,11 @@ def session(app: str = "sparkloom", master: str | None = None, shuffle_partition
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in conf.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    from sparkloom.plans.shipping import ship
+
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
 
 
 class Tables:
