@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
@@ -97,3 +97,15 @@ def salted_group(df: DataFrame, keys: Sequence[str], partial: dict[str, Column],
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
     first = df.withColumn("__salt", salt).groupBy(*keys, "__salt").agg(*[c.alias(n) for n, c in partial.items()])
     return first.groupBy(*keys).agg(*[c.alias(n) for n, c in final.items()])
+
+
+def chunks(df: DataFrame, size: int = 10_000) -> Iterator[list[Row]]:
+    """A cursor for a driver that must see rows: partition by partition, in lists of `size`, never all at once."""
+    held: list[Row] = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) >= size:
+            yield held
+            held = []
+    if held:
+        yield held

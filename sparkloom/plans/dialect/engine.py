@@ -16,6 +16,7 @@ from sparkloom.plans.dialect.lexer import DialectError
 from sparkloom.plans.dialect.parser import Parser
 from sparkloom.plans.shipping import ship
 from sparkloom.sources.catalog import Catalog
+from sparkloom.streaming.streams import realtime_plot
 from sparkloom.types import ColumnDef
 
 
@@ -31,6 +32,10 @@ class Engine:
         """Make a DataFrame readable by name; a catalog table of the name is hidden by it."""
         self.views[name] = df
 
+    def register_function(self, name: str, function, returns: str) -> None:
+        """A Python function over pandas Series, callable in SELECT by its name."""
+        self.spark.udf.register(name.lower(), F.pandas_udf(function, returns))
+
     def relation(self, name: str) -> DataFrame:
         return self.views[name] if name in self.views else self.catalog.table(name)
 
@@ -513,6 +518,11 @@ class Engine:
         return out
 
     def _plot(self, p: Parser) -> DataFrame:
+        if p.take("REALTIME"):
+            p.ident()
+            opts = p.options() if p.at("(") else {}
+            p.need("FOR")
+            return realtime_plot(self.query(p.select()), opts.get("window"), str(opts.get("method", "AVERAGE")))
         kind = p.ident().upper()
         opts = p.options() if p.at("(") else {}
         p.need("FOR")

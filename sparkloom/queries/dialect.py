@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
+
 from sparkloom.plans.dialect import Engine
 from sparkloom.plans.staging import shared_dir
 from sparkloom.queries import query
@@ -124,3 +126,18 @@ def _(t):
     from pyspark.sql import functions as F
 
     return engine(t).run("DETECT ANOMALY IN supplier FEATURES (s_acctbal) USING zscore").agg(F.count("*").alias("n"))
+
+
+@query("dialect_user_function", "SELECT n_nationkey, n_regionkey * 2 + 1.0::DOUBLE AS d FROM nation")
+def _(t):
+    def twice_plus(x: pd.Series) -> pd.Series:
+        return x * 2 + 1.0
+
+    e = engine(t)
+    e.register_function("twice_plus", twice_plus, "double")
+    return e.run("SELECT n_nationkey, TWICE_PLUS(n_regionkey) AS d FROM nation")
+
+
+@query("dialect_realtime_plot", "SELECT event_type, 'value' AS series, ts AS x, value FROM events")
+def _(t):
+    return engine(t).run("PLOT REALTIME LINE FOR SELECT ts, event_type, value FROM events")

@@ -387,3 +387,9 @@ def monthly_revenue(t):
         F.rank().over(R.over(["l_returnflag"], [F.desc("revenue")])).cast("long").alias("position"),
         (F.abs(c("revenue") - F.avg("revenue").over(flag)) > 2 * F.stddev_pop("revenue").over(flag)).alias("outlier"),
     )
+
+
+@query("scan_chunks", "SELECT count(*) AS n_rows, (count(*) + 9999) // 10000 AS n_chunks FROM lineitem")
+def _(t):
+    sizes = [len(x) for x in R.chunks(t.lineitem.select("l_orderkey"))]
+    return t.spark.createDataFrame([(sum(sizes), len(sizes))], "n_rows long, n_chunks long")

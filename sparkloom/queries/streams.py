@@ -77,3 +77,14 @@ def _(t):
 @query("stream_alarms")
 def _(t):
     return S.drain(S.adaptive_alarms(stream(t), "event_type", "ts", "value", 2.0))
+
+
+@query("stream_incremental_profile", "SELECT count(value) AS value_n, count(*) - count(value) AS value_nulls, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_stddev, min(value) AS value_min, max(value) AS value_max FROM events")
+def _(t):
+    d = S.drain(S.incremental_profile(stream(t), ["value"]), "complete")
+    return d.select("value_n", "value_nulls", F.round("value_mean", 6).alias("value_mean"), F.round("value_stddev", 6).alias("value_stddev"), "value_min", "value_max")
+
+
+@query("stream_realtime_plot", "SELECT event_type, 'value' AS series, time_bucket(INTERVAL 1 DAY, ts) AS x, round(avg(value), 6) AS value FROM events GROUP BY 1, 3")
+def _(t):
+    return ntz(rounded(S.realtime_plot(t.events.select("ts", "event_type", "value"), "1 day")))

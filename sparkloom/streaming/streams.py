@@ -124,6 +124,36 @@ def adaptive_alarms(df: DataFrame, key: str, time: str, value: str, z: float = 3
     return d.groupBy(key).applyInPandasWithState(keep, out, "n long, m double, s double", "append", "NoTimeout")
 
 
+def incremental_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Complete-mode profile of numeric columns from mergeable aggregates: a row of n, nulls, mean, deviation, ends each."""
+    aggs = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"{c}_n"), F.count_if(x.isNull()).alias(f"{c}_nulls"), F.avg(x).alias(f"{c}_mean"), F.stddev_samp(x).alias(f"{c}_stddev"), F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max")]
+    return df.groupBy().agg(*aggs)
+
+
+def live_simulation(spark: SparkSession, start: float, drift: float, sd: float, steps_per_second: int = 1, seed: int = 1) -> DataFrame:
+    """An endless price walk on the rate source: each step's log return is a function of its number, so reruns agree."""
+    u = lambda k: (F.pmod(F.xxhash64("value", F.lit(seed), F.lit(k)), F.lit(1_000_003)) + 1) / 1_000_005
+    normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(2))
+    return rate_stream(spark, steps_per_second).select("timestamp", F.col("value").alias("step"), (F.lit(drift) + F.lit(sd) * normal).alias("log_return"), F.lit(float(start)).alias("start"))
+
+
+def realtime_plot(df: DataFrame, width: str | None = None, how: str = "AVERAGE") -> DataFrame:
+    """The frame of a live plot: the first time-like column is x, numeric ones are series, text columns are groups."""
+    from sparkloom.operators.plotdata import classify
+
+    roles = classify(df)
+    x = next((c for c, r in roles.items() if r == "datetime"), None)
+    ys = [c for c, r in roles.items() if r in ("numeric", "integer")]
+    groups = [c for c, r in roles.items() if r == "categorical"]
+    if x is None or not ys:
+        raise ValueError("a live plot needs a time and a number")
+    long = df.select(F.col(x).alias("x"), *groups, F.explode(F.array(*[F.struct(F.lit(y).alias("series"), F.col(y).cast("double").alias("value")) for y in ys])).alias("p")).select("x", *groups, "p.*")
+    return long if width is None else downsample(long, "x", "value", width, how, (*groups, "series")).withColumnRenamed("start", "x")
+
+
 def drain(df: DataFrame, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over all available input into Parquet (append) or the last complete result, and read it."""
     spark = df.sparkSession
