@@ -92,7 +92,8 @@ def mix(sized: DataFrame, shares: DataFrame, seed: int = 1) -> DataFrame:
     ship(spark)
     cell_rows = CELL
     keyed = sized.withColumn("sk", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
-    per = shares.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("k"), "source_size", "target", F.ceil(F.col("n_rows") / cell_rows).alias("cells"))
+    # a row per source: staged as one file, so that its size is known before the join is planned
+    per = stage(shares.repartition(1), "shares").select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("k"), "source_size", "target", F.ceil(F.col("n_rows") / cell_rows).alias("cells"))
     # rows that agree in identifier and text share a cell, unless they'd fill it: those are spread by row
     many = sized.groupBy("id", "tie").agg(F.count("*").alias("m")).where(F.col("m") > cell_rows).select(F.xxhash64("id", "tie").alias("crowd")).distinct()
     rows = keyed.join(per, keyed.sk == per.k).drop("k").withColumn("hash", F.xxhash64("id", "tie"))
@@ -117,7 +118,8 @@ def mix(sized: DataFrame, shares: DataFrame, seed: int = 1) -> DataFrame:
 
     level, done, current = 0, [], rows.select(*kept, "sk", "hash", "cell", "x")
     while True:
-        current = stage(current.groupBy("sk", "cell").applyInPandas(cell(level), schema), "rounded")
+        # dealt by source and cell: a hot source's cells go to as many tasks as there are
+        current = stage(current.repartition("sk", "cell").groupBy("sk", "cell").applyInPandas(cell(level), schema), "rounded")
         undecided = current.where("x > 0 AND x < 1")
         done.append(current.where("x = 0 OR x = 1"))
         most = undecided.groupBy("sk").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
@@ -136,5 +138,6 @@ def mix(sized: DataFrame, shares: DataFrame, seed: int = 1) -> DataFrame:
 def mixed_rows(docs: DataFrame, mixed: DataFrame, row_col: str) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
     times = mixed.where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    both = docs.join(times, docs[row_col] == times["__row"])
+    # times has a row per document: the same sort-merge plan at every size, never a broadcast that stops fitting
+    both = docs.join(times.hint("merge"), docs[row_col] == times["__row"])
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__row", "__copies", "__copy", row_col)
