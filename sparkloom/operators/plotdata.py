@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.scalar import haversine, mercator, valid_position
-from sparkloom.operators.profile import numeric_columns
+from sparkloom.operators.profile import counted, numeric_columns, quantiles
 from sparkloom.operators.stats.correlation import matrix
 from sparkloom.operators.stats.information import binned
 from sparkloom.plans.ordering import cumulative
@@ -99,11 +99,11 @@ def heatmap(df: DataFrame, row: str, column: str, value: str | None = None) -> D
 def boxplot(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
     """column, whisker ends, quartiles, median, number of outliers; ten numeric columns by default."""
     columns = list(columns or numeric_columns(df)[:10])
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")).select("p.*").where("v IS NOT NULL")
-    q = long.groupBy("column").agg(F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.75).alias("q3"))
+    values = counted(df, columns)
     r = k * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(F.col("q1") - r, F.col("q3") + r)
-    return long.join(q, "column").groupBy("column", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("v"))).alias("low"), F.max(F.when(inside, F.col("v"))).alias("high"), F.count_if(~inside).alias("outliers"))
+    both = values.join(quantiles(values, {"q1": 0.25, "median": 0.5, "q3": 0.75}), "column")
+    return both.groupBy("column", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("v"))).alias("low"), F.max(F.when(inside, F.col("v"))).alias("high"), F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("outliers"))
 
 
 def violin(df: DataFrame, columns: Sequence[str], points: int = 30) -> DataFrame:

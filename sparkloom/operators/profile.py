@@ -60,24 +60,39 @@ def _kind(t: T.DataType) -> str:
     return "datetime" if isinstance(t, T.DateType | T.TimestampType | T.TimestampNTZType) else "string"
 
 
+_PS = {"p10": 0.1, "q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+def counted(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, v, n: the distinct values of all columns with their counts, in one shuffle, staged."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")
+    return stage(df.select(pairs).select("p.column", "p.v").where("v IS NOT NULL").groupBy("column", "v").agg(F.count("*").alias("n")), "counted")
+
+
+def quantiles(values: DataFrame, ps: dict[str, float]) -> DataFrame:
+    """column and one exact quantile per name, from distinct values weighted by their counts."""
+    q = values.groupBy("column").agg(F.percentile("v", F.array(*[F.lit(p) for p in ps.values()]), F.col("n")).alias("q"))
+    return q.select("column", *[F.col("q")[i].alias(k) for i, k in enumerate(ps)])
+
+
 def summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count, nulls, distinct, moments, quantiles, Jarque-Bera and IQR outliers of every numeric column."""
+    """Count, nulls, distinct, moments, quantiles, Jarque-Bera and IQR outliers of every numeric column.
+
+    Moments come from one pass over the rows; distinct counts, quantiles and outliers from the counted values.
+    """
     columns = columns or numeric_columns(df)
     measures: dict[str, dict[str, Column]] = {}
     for name in columns:
         x = F.col(name).cast("double")
         jb = F.count(x) / 6 * (D.skewness(x) * D.skewness(x) + D.kurtosis(x) * D.kurtosis(x) / 4)
-        measures[name] = {
-            "n": F.count(x), "nulls": F.count_if(x.isNull()), "distinct": F.countDistinct(x), "mean": F.avg(x), "stddev": D.stddev(x), "min": F.min(x), "p10": F.percentile(x, 0.1), "q1": F.percentile(x, 0.25), "median": F.percentile(x, 0.5),
-            "q3": F.percentile(x, 0.75), "p90": F.percentile(x, 0.9), "p95": F.percentile(x, 0.95), "p99": F.percentile(x, 0.99), "max": F.max(x), "skewness": D.skewness(x), "kurtosis": D.kurtosis(x), "cv": D.coefficient_of_variation(x), "jarque_bera": jb,
-        }
-    types = {m: "long" if m in ("n", "nulls", "distinct") else "double" for m in next(iter(measures.values()))}
-    base = _long(df, measures, types)
-    # outliers need the quartiles: a second pass over the long form
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")
-    bounds = base.select(F.col("column"), F.col("q1").alias("a"), F.col("q3").alias("b"))
-    far = df.select(pairs).select("p.column", "p.v").join(bounds, "column").groupBy("column").agg(F.count_if((F.col("v") < F.col("a") - 1.5 * (F.col("b") - F.col("a"))) | (F.col("v") > F.col("b") + 1.5 * (F.col("b") - F.col("a")))).alias("outliers"))
-    return base.join(far, "column")
+        measures[name] = {"n": F.count(x), "nulls": F.count_if(x.isNull()), "mean": F.avg(x), "stddev": D.stddev(x), "min": F.min(x), "max": F.max(x), "skewness": D.skewness(x), "kurtosis": D.kurtosis(x), "cv": D.coefficient_of_variation(x), "jarque_bera": jb}
+    base = _long(df, measures, {m: "long" if m in ("n", "nulls") else "double" for m in next(iter(measures.values()))})
+    values = counted(df, columns)
+    q = quantiles(values, _PS)
+    far = F.when((F.col("v") < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) | (F.col("v") > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))), F.col("n")).otherwise(0)
+    rest = values.join(q, "column").groupBy("column", *_PS).agg(F.count("*").alias("distinct"), F.sum(far).alias("outliers"))
+    zero = {"distinct": F.coalesce("distinct", F.lit(0)), "outliers": F.coalesce("outliers", F.lit(0))}
+    return base.join(rest, "column", "left").withColumns(zero).select("column", "n", "nulls", "distinct", "mean", "stddev", "min", "p10", "q1", "median", "q3", "p90", "p95", "p99", "max", "skewness", "kurtosis", "cv", "jarque_bera", "outliers")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
