@@ -204,7 +204,7 @@ def train(examples: list[tuple[str, list[tuple[int, int]]]], rounds: int = 200,
         for j, f in enumerate(r):
             feats[i, j, : len(f)] = f
         gold[i, : len(t)], live[i, : len(t)] = t, True
-    n, ends = len(seqs), live.sum(1) - 1
+    n, ends, flat = len(seqs), live.sum(1) - 1, feats.ravel()
     w, m = np.zeros((len(names) + 1, TAGS)), np.zeros((TAGS, TAGS))
     gw, gm = np.full_like(w, 1e-6), np.full_like(m, 1e-6)
     banned = np.zeros((TAGS, TAGS))
@@ -224,8 +224,8 @@ def train(examples: list[tuple[str, list[tuple[int, int]]]], rounds: int = 200,
         z = lse(alpha[rows, ends] + mv[:, 0], 1)
         prob = np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * live[:, :, None]
         want = np.eye(TAGS)[gold] * live[:, :, None]
-        grad = np.zeros_like(w)
-        np.add.at(grad, feats.reshape(-1, width), np.repeat((want - prob).reshape(-1, 1, TAGS), width, 1))
+        off = np.repeat((want - prob).reshape(-1, TAGS), width, axis=0)
+        grad = np.stack([np.bincount(flat, off[:, t], len(w)) for t in range(TAGS)], 1)
         move = np.zeros_like(m)
         first = (np.eye(TAGS)[gold[:, 0]] - prob[:, 0]).sum(0)
         move[0] += first
