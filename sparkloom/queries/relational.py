@@ -298,10 +298,10 @@ def _(t):
     return t.orders.select("o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("running"))
 
 
-@query("window_aggregate_mix", "SELECT c_custkey, round(c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_mktsegment), 4) AS d, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer")
+@query("window_aggregate_mix", "SELECT c_custkey, round(c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_mktsegment), 6) AS d, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer")
 def _(t):
     w = R.over(["c_mktsegment"])
-    return t.customer.select("c_custkey", F.round(c("c_acctbal") - F.avg("c_acctbal").over(w), 4).alias("d"), F.count("*").over(w).alias("n"))
+    return t.customer.select("c_custkey", F.round(c("c_acctbal") - F.avg("c_acctbal").over(w), 6).alias("d"), F.count("*").over(w).alias("n"))
 
 
 @query("top_k_per_group", "SELECT c_mktsegment, c_custkey, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 3")
