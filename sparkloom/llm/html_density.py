@@ -47,7 +47,8 @@ DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promotion nav navbar navigation menu menus "
     "breadcrumb breadcrumbs footer sidebar sidenav sidebox comment comments commentlist commentbox disqus reply replies respond cookie cookies consent "
     "gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing sharebar social related "
-    "recommended recommendations widget widgets toolbar pagination pager masthead topbar skiplink paywall".split()
+    "recommended recommendations widget widgets toolbar pagination pager masthead topbar skiplink paywall banner banners adsbygoogle adbox teaser "
+    "teasers outbrain taboola search searchbox toc copyright discussion".split()
 )
 CLOSES_P = BLOCK - {"body", "html", "br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "title"}
 #: Parts of an article, never the whole: their inline children would outweigh the article's paragraphs.
@@ -74,6 +75,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.drop = ["html"], [-1], [False]
+        self.headed = [False]  # named a header by class or id
         self.text: list[tuple[int, str]] = []  # (node, text), in page order; '\n' marks a block border
         self._parse(source)
 
@@ -92,6 +94,7 @@ class Page:
         self.tag.append(tag)
         self.parent.append(stack[-1])
         self.drop.append(self._furniture(tag, attrs))
+        self.headed.append(tag not in ("html", "body", "main", "article", "header") and "header" in attrs.lower() and self._named(attrs, "header"))
         if tag in BLOCK:
             self.text.append((stack[-1], "\n"))
         if tag not in VOID:
@@ -126,6 +129,10 @@ class Page:
                 return True
         return False
 
+    @staticmethod
+    def _named(attrs: str, word: str) -> bool:
+        return any(m[1].lower() in ("class", "id") and word in (w.lower() for w in _WORDS.findall(m[2] or m[3] or m[4] or "")) for m in _ATTR.finditer(attrs))
+
     def _parse(self, s: str) -> None:
         stack, at, n, text = [0], 0, len(s), self.text
         while at < n:
@@ -165,7 +172,7 @@ class Page:
         for i in range(1, n):
             p = parent[i]
             inside[i] = inside[p] or tag[p] in ("article", "main")
-            if tag[i] == "header" and not (inside[i] and holds[i]):
+            if tag[i] == "header" and not (inside[i] and holds[i]) or self.headed[i] and not holds[i]:
                 dropped[i] = True
             elif dropped[i] and tag[i] not in DROP_TAGS and holds[i]:
                 dropped[i] = False  # a wrapper of the article isn't furniture, whatever it's called

@@ -29,7 +29,7 @@ def test_small_pages(source, want):
 
 def furniture():
     return (
-        '<header><a href="/">Site</a></header><nav><ul><li><a href="/a">A</a><li><a href="/b">B</a></ul></nav>',
+        '<header><a href="/">Site</a></header><div id="pageHeader"><p>Welcome to the site of sites, where all is well.</p></div><nav><ul><li><a href="/a">A</a><li><a href="/b">B</a></ul></nav>',
         '<div class="ad-slot">Buy this now, it is the best there is and costs nearly nothing at all.</div><div id="cookieNotice">We use cookies.</div>',
         f'<aside><p>{PARA}</p></aside><div class="sidebar"><p>{PARA}</p></div>',
         f'<section id="comments"><div class="comment"><p>{PARA * 3}</p></div></section><footer>&copy; us</footer>',
