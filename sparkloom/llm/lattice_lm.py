@@ -43,8 +43,10 @@ ROUNDS = 2
 HEAD, HEAD_BYTES = 200_000, 64
 #: Distinct words a counting task holds before it hands them on.
 FLUSH = 300_000
-#: Up to so many characters the recursion over one word runs on plain probabilities (they can't underflow), beyond in log space.
-LINEAR = 32
+#: Up to so many characters the recursion over one word runs on plain probabilities, beyond in log space. A word whose
+#: plain probability comes below TINY (some 15 characters spelled by bytes) is run again in log space: above it, whatever
+#: underflowed on the way is no part of the sum's digits.
+LINEAR, TINY = 32, 1e-250
 LN10 = math.log(10)
 
 
@@ -90,7 +92,7 @@ class Lattice:
                 k = node.get(0)
                 if k is not None:
                     a[j + 1] += x * p[k]
-        return math.log(a[n])
+        return math.log(a[n]) if a[n] >= TINY else self._log_forward(s)[n]
 
     def _log_forward(self, s: str) -> list[float]:
         n = len(s)
@@ -120,9 +122,9 @@ class Lattice:
         for at in range(0, len(s), 4096):  # very long words by parts, which only blurs the pieces at the cuts
             self._expect(s[at : at + 4096], times, into)
 
-    def _expect(self, s: str, times: float, into: list[float]) -> None:
+    def _expect(self, s: str, times: float, into: list[float], linear: bool = True) -> None:
         n, root, p, lp = len(s), self.root, self.p, self.lp
-        linear = n <= LINEAR
+        linear = linear and n <= LINEAR
         if linear:
             a = [0.0] * (n + 1)
             a[0] = 1.0
@@ -149,6 +151,8 @@ class Lattice:
                     else:
                         edges.append((i, j + 1, k, lp[k]))
         if linear:
+            if a[n] < TINY:
+                return self._expect(s, times, into, False)
             b = [0.0] * n + [times / a[n]]
             for i, j, k, w in reversed(edges):
                 y = w * b[j]
@@ -280,8 +284,9 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], names=["w", "c", "s"])
 
     words = stage(words.mapInArrow(scored, "w string, c long, s double"), "scored-words")
-    top = words.where(F.octet_length("w") <= HEAD_BYTES).orderBy(F.desc("c"), "w").limit(HEAD).collect()
-    head = spark.sparkContext.broadcast(([r.w.encode() for r in top], np.array([r.c for r in top], np.int64), np.array([r.s for r in top], float)))
+    top = words.where(F.octet_length("w") <= HEAD_BYTES).orderBy(F.desc("c"), "w").limit(HEAD).toArrow()  # rows would take the driver several times the memory
+    head = spark.sparkContext.broadcast((top["w"].cast(pa.binary()).to_pylist(), top["c"].to_numpy().astype(np.int64), top["s"].to_numpy().astype(float)))
+    del top
     end_base, end_score = float(base_of(np.float64(ends))), lat.log_end / LN10
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

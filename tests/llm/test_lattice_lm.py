@@ -55,6 +55,27 @@ def test_prior_is_a_distribution_and_long_words_dont_underflow():
     assert -1e7 < lat.log_word("ab" * 20000) < -1000
 
 
+@pytest.mark.parametrize("c", ["\u1260", "\U00010348", "\U00013000"])
+@pytest.mark.parametrize("ends", [0, 800, 10_000_000])
+def test_words_of_byte_spelled_characters_dont_underflow(c, ends):
+    """One segmentation, so the log probability is the sum over its pieces and every byte is used as often as it occurs."""
+    lat = M.lattice(PATH, None, ends)
+    assert c not in M.vocabulary(PATH)[0]
+    at = [lat.bytes_at[b] for b in c.encode()]
+    mark = lat.log_word("")
+    for n in (*range(8, 32), 40):
+        assert lat.log_word(c * n) == pytest.approx(mark + n * sum(lat.lp[k] for k in at), rel=1e-9)
+        into = [0.0] * len(lat.lp)
+        lat.expect(c * n, 2.0, into)
+        assert {k: into[k] for k in set(at)} == {k: pytest.approx(2.0 * n * at.count(k), rel=1e-6) for k in set(at)}
+
+
+def test_frame_with_byte_spelled_words(spark):
+    rows = [(i, "the cat " + "\u1260" * (20 + i % 12) + " " + "\U00010348" * (14 + i % 10)) for i in range(30)]
+    got = M.score(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert len(got) == 30 and all(math.isfinite(r.score) and r.score < -100 for r in got)
+
+
 def brute(rows):
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").encode().lower().decode())
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
