@@ -2,7 +2,9 @@
 
 A page is parsed into a tree (tolerantly: unclosed, misnested and implied tags are normal), and elements that are
 never article text go: scripts, styles, forms, menus, page headers and footers, sidebars, notices, adverts, reader
-comments, by element, role, or whole words of class and id. For every remaining node with C characters and T tags,
+comments, by element, role, or whole words of class and id. Within the article such a word isn't enough where it may be
+a topic (`id="search-results"`, `class="teaser"`): headings and text stay, boxes go by a name that can mean nothing
+else or when most of their text is in links; lists of links, such as references, stay too. For every remaining node with C characters and T tags,
 of which LC and LT are in links, the composite density is
 
     C/T * log_b( (C/LC) * (T/LT) ),   b = ln( (C/nLC) * LC + (LC_body/C_body) * C + e ),   nLC = C - LC
@@ -50,7 +52,17 @@ DROP_WORDS = frozenset(
     "recommended recommendations widget widgets toolbar pagination pager masthead topbar skiplink paywall banner banners adsbygoogle adbox teaser "
     "teasers outbrain taboola search searchbox toc copyright discussion".split()
 )
+#: Names that are never a topic, and names that as the whole class of a box aren't one either.
+CERTAIN = frozenset(
+    "adsense adslot adsbygoogle adbox navbar breadcrumb breadcrumbs sidebar sidenav sidebox comments commentlist commentbox disqus gdpr newsletter sharebar "
+    "pagination pager masthead topbar skiplink paywall outbrain taboola searchbox".split()
+)
+BOXED = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo nav menu menus footer share sharing social subscribe popup modal widget widgets toolbar banner banners cookie cookies".split())
+#: Words that with words of furniture make up a name for a part of the page: ad-slot, related-posts.
+PARTS = frozenset("slot box container wrapper wrap block list bar top left right bottom area unit units link links post posts articles stories button buttons icons inner outer main panel holder header content form".split())
+BOXES = frozenset("div section ul ol dl table header center ins details".split())
 CLOSES_P = BLOCK - {"body", "html", "br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "title"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of an article, never the whole: their inline children would outweigh the article's paragraphs.
 PART = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption figure caption th tr thead tbody tfoot ul ol dl hr br summary".split())
 #: An element that opens closes an open one of these, up to the nearest of the barriers.
@@ -76,6 +88,7 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.drop = ["html"], [-1], [False]
         self.headed = [False]  # named a header by class or id
+        self.weak = [False]  # furniture by a name that may be a topic, too
         self.text: list[tuple[int, str]] = []  # (node, text), in page order; '\n' marks a block border
         self._parse(source)
 
@@ -94,6 +107,7 @@ class Page:
         self.tag.append(tag)
         self.parent.append(stack[-1])
         self.drop.append(self._furniture(tag, attrs))
+        self.weak.append(self.drop[-1] and self._may_be_topic(tag, attrs))
         self.headed.append(tag not in ("html", "body", "main", "article", "header") and "header" in attrs.lower() and self._named(attrs, "header"))
         if tag in BLOCK:
             self.text.append((stack[-1], "\n"))
@@ -129,6 +143,24 @@ class Page:
                 return True
         return False
 
+    @staticmethod
+    def _may_be_topic(tag: str, attrs: str) -> bool:
+        """Furniture by nothing but words of class and id that inside an article may as well name what the text is about."""
+        if tag in DROP_TAGS:
+            return False
+        for m in _ATTR.finditer(attrs):
+            name = m[1].lower()
+            value = m[2] or m[3] or m[4] or ""
+            if name == "role" and not DROP_ROLES.isdisjoint(value.lower().split()) or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+                return False
+            if name in ("class", "id") and tag not in HEADINGS:
+                for one in value.split():
+                    words = {w.lower() for w in _WORDS.findall(one)}
+                    named = words & DROP_WORDS
+                    if named & CERTAIN or named and len(words) > 1 and words <= DROP_WORDS | PARTS or name == "class" and tag in BOXES and tag != "section" and len(words) == 1 and words <= BOXED:
+                        return False
+        return True
+
     @staticmethod
     def _named(attrs: str, word: str) -> bool:
         return any(m[1].lower() in ("class", "id") and word in (w.lower() for w in _WORDS.findall(m[2] or m[3] or m[4] or "")) for m in _ATTR.finditer(attrs))
@@ -163,12 +195,37 @@ class Page:
                 stack.pop()
 
     def main_text(self) -> str:
+        """The article is found first, then what its names alone had removed from it comes back."""
+        n = len(self.tag)
+        stays = [False] * n
+        inside = [False] * n
+        for i in range(1, n):
+            p = self.parent[i]
+            inside[i] = inside[p] or self.tag[p] in ("article", "main")
+            stays[i] = self.weak[i] and inside[i]
+        best, text, _, _ = self._extract(stays)
+        if best < 0 or not any(self.weak):
+            return text
+        under = [False] * n
+        for i in range(n):
+            under[i] = i == best or i > 0 and under[self.parent[i]]
+            stays[i] = stays[i] or self.weak[i] and under[i]
+        if not any(stays):
+            return text
+        _, _, chars, links = self._extract(stays)
+        boxes = [i for i in range(n) if stays[i] and self.tag[i] in BOXES and 2 * links[i] > chars[i]]
+        for i in boxes:
+            stays[i] = False
+        return self._extract(stays)[1]
+
+    def _extract(self, stays: list[bool]) -> tuple[int, str, list[int], list[int]]:
+        """The chosen node (-1: none), the main text, and every node's characters and those in links."""
         tag, parent, n = self.tag, self.parent, len(self.tag)
         holds = [t in ("article", "main", "h1") for t in tag]
         for i in range(n - 1, 0, -1):
             if holds[i]:
                 holds[parent[i]] = True
-        dropped, inside = self.drop[:], [False] * n
+        dropped, inside = [d and not k for d, k in zip(self.drop, stays)], [False] * n
         for i in range(1, n):
             p = parent[i]
             inside[i] = inside[p] or tag[p] in ("article", "main")
@@ -216,7 +273,7 @@ class Page:
             under[i] = i == root or (i > 0 and under[parent[i]] and not dropped[i])
         nodes = [i for i in range(n) if under[i] and chars[i]]
         if not nodes:
-            return ""
+            return -1, "", chars, links
         if tag[root] in ("article", "main"):
             best = root  # the page says so itself; what isn't article in it goes below
         else:
@@ -241,12 +298,21 @@ class Page:
             if tag[i] == "h1" and 2 * links[i] <= chars[i]:
                 chosen[i] = True
         menu = [False] * n
+        # a block of its own holds the article and its lists of links; in a body without one they must stand within its text
+        own = best != body or tag[root] in ("article", "main")
+        within = [own] * n
+        if not own:
+            prose = [i for i in nodes if tag[i] in PART and chars[i] > 2 * links[i] and not (tag[i] in ("ul", "ol", "dl", "li"))]
+            for i in range(n):
+                within[i] = bool(prose) and prose[0] < i < prose[-1]
+        of_best = [False] * n
         for i in range(n):
+            of_best[i] = i == best or i > 0 and of_best[parent[i]]
             if i and under[i] and parent[i] >= 0:
                 chosen[i] = chosen[i] or chosen[parent[i]]
-                lists = tag[i] in ("ul", "ol", "div", "section", "table", "dl") and link_tags[i] > 1 and 5 * links[i] > 4 * chars[i] and i != best
+                lists = tag[i] in ("ul", "ol", "div", "section", "table", "dl") and link_tags[i] > 1 and 5 * links[i] > 4 * chars[i] and i != best and not (of_best[i] and within[i])
                 menu[i] = menu[parent[i]] or lists
-        return " ".join("".join([t for i, t in texts if chosen[i] and not menu[i]]).split())
+        return best, " ".join("".join([t for i, t in texts if chosen[i] and not menu[i]]).split()), chars, links
 
     def _root(self, body: int, chars: list[int], links: list[int], dropped: list[bool]) -> int:
         """Where the search starts: the body, or the one article or main element with most of its text."""

@@ -47,6 +47,20 @@ def test_article_without_furniture(wrap):
     assert extract(page) == want
 
 
+@pytest.mark.parametrize("wrap", ["article", "main", "div"])
+def test_names_of_topics_and_lists_of_references_stay_in_the_article(wrap):
+    head, ads, side, foot, links = furniture()
+    refs = "<ul><li><a href='/r1'>First reference, of 1999</a><li><a href='/r2'>Second reference, of 2003</a></ul>"
+    body = (
+        f'<h1>The title</h1><p class="teaser">Lead.</p><p>{PARA}</p><h2 id="search-results">Results</h2><p id="search-path">{PARA}</p><h3 id="ad-hoc-networks">Networks</h3><p>{PARA}</p>'
+        f'<section id="related-work"><h2>Related work</h2><p>{PARA}</p></section><section id="discussion"><p>{PARA} <span class="notice">Mind this.</span></p></section><h2 id="navigation">References</h2>{refs}'
+    )
+    inner = '<div class="ad">Buy it.</div><div class="share-buttons">Share it</div><div class="related"><a href="/x">More one</a> <a href="/y">More two</a></div>'
+    page = f"<body>{head}{ads}<{wrap}>{body}{inner}</{wrap}>{side}{links}{foot}</body>"
+    want = f"The title Lead. {PARA} Results {PARA} Networks {PARA} Related work {PARA} {PARA} Mind this. References First reference, of 1999 Second reference, of 2003"
+    assert extract(page) == " ".join(want.split())
+
+
 def test_random_markup_never_fails():
     rnd = random.Random(6)
     bits = ["<p>", "</p>", "<div class='ad'>", "</div>", "<", ">", "&", "&amp;", "text ", "<a href=x>", "</a>", "<!--", "-->", "<table><tr><td>", "<script>", "</script>", "\x00", "<li>", "</ul>", "é", '"', "<br/>", "<![CDATA["]
