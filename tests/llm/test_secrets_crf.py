@@ -40,6 +40,32 @@ def test_held_out_accuracy(model):
     assert hit / (hit + miss) > 0.97 and hit / (hit + extra) > 0.97
 
 
+def test_plain_tokens_are_tagged(model):
+    """Secrets of pieces that are short or without digits, beside words of credentials; and words that are no secrets."""
+    for lead, secret in (("pwd = ", "CorrectHorseStaple"), ("Authorization: Bearer ", "QwErTyUiOpAsDfGh"), ("pwd = ", "P@ssw0rd!23")):
+        text = f"here it is {lead}{secret} and more of the text"
+        assert M.mask(text, M.scan_text(text, model), "*") == f"here it is {lead}* and more of the text"
+    for text in ("enter your password in the field below and press the button", "the secret of the old house was never told", "a token of their friendship"):
+        assert M.scan_text(text, model) == []
+
+
+def test_short_last_line_of_a_wrapped_key(model):
+    rnd = random.Random(8)
+    lines = ["".join(rnd.choice("ABCDEFGHabcdefgh0123456789+/XYZxyz") for _ in range(k)) for k in (64, 64, 64)]
+    key = "\n".join([*lines, "x9Qb="])
+    text = f'key = "{key}" and more words'
+    assert M.mask(text, M.scan_text(text, model), "*") == 'key = "*" and more words'
+
+
+def test_unmatched_tokens_of_the_table_are_no_negatives(spark):
+    key = "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vX7zA9cD1fG3hJ5"
+    rows = [(k, f"row {k} has {key} in it" if k % 2 else f'token = "abcdef{k}" and then {key} ') for k in range(40)]
+    got = M.sampled(spark.createDataFrame(rows, "doc_id long, text string"), "text")
+    assert len(got) == 20 and all(spans for _, spans in got)
+    model = M.train(M.generated(600), got * 20, rounds=60)
+    assert [M.KINDS[k] for _, k, _ in M.scan_text(f"use {key} now", model)] == ["crf"]
+
+
 def test_viterbi_equals_enumeration(model):
     rnd = random.Random(4)
     for _ in range(60):
