@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from sparkloom.operators.profile import local_outlier_factor, numeric_columns
 
 SAMPLE, DEPTH, TREES = 256, 8, 100
+#: Copies of one vector that are numbered at once when the sample is drawn.
+COPIES = 10_000
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -58,9 +60,19 @@ def isolation_trees(x: np.ndarray, trees: int = TREES, seed: int = 1) -> list[li
 
 
 def isolation_forest(df: DataFrame, columns: Sequence[str], trees: int = TREES, seed: int = 1, sample: int = SAMPLE * 20) -> Column:
-    """The score column 2^(-E[path] / c(n)): trees grow on a bounded sample (smallest hashes), every row is scored."""
+    """The score column 2^(-E[path] / c(n)): trees grow on a bounded sample of rows, every row is scored.
+
+    The sample is the rows with the smallest hashes of values and copy: distinct vectors are counted, and the k-th of a
+    vector's copies hashes the vector with k, so a vector is drawn as often as its share of the rows says, whatever the
+    order and partitions of the table. Copies are numbered in blocks of COPIES, which
+    are dealt out, so a vector of very many copies isn't one task.
+    """
     d = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    x = np.array([list(r) for r in d.orderBy(F.xxhash64(*columns)).limit(sample).collect()], float)
+    counted = d.groupBy(*columns).agg(F.count("*").alias("__n"))
+    blocks = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / COPIES))).alias("__b"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = blocks.repartition(parts, *columns, "__b").select(*columns, F.explode(F.sequence(F.col("__b") * COPIES, F.least((F.col("__b") + 1) * COPIES, F.col("__n")) - 1)).alias("__k"))
+    x = np.array([list(r)[:-1] for r in copies.orderBy(F.xxhash64(*columns, "__k", F.lit(seed)), *columns, "__k").limit(sample).collect()], float)
     if not len(x):
         return F.lit(0.0)
     forest = [tuple(np.array(c) for c in zip(*nodes)) for nodes in isolation_trees(x, trees, seed)]

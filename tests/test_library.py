@@ -160,3 +160,12 @@ def test_dialect_errors(spark, tmp_path):
             e.run(bad)
     assert Parser("SELECT a - 1 FROM t").select() == "SELECT (`a` - 1) FROM `t`"
     assert Parser("(1 + 2) * 3").expr() == "(((1 + 2)) * 3)"
+
+
+def test_isolation_forest_samples_rows_of_few_values(spark):
+    """Equal rows are drawn one by one: the trees see all of 50 values, and the rare far one scores highest."""
+    df = spark.range(300_000).selectExpr("CASE WHEN id < 30 THEN 500D ELSE double(id % 50) END AS q")
+    rows = anomaly.detect(df, ["q"]).groupBy("q").agg({"score": "max"}).collect()
+    score = {r[0]: r[1] for r in rows}
+    assert len(score) == 51 and len({round(v, 6) for v in score.values()}) > 10
+    assert max(score, key=score.get) == 500.0
