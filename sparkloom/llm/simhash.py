@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import ship, stage
+from sparkloom.llm.common import new_name, ship, stage
 from sparkloom.llm.components import components
 
 BITS = 64
@@ -73,29 +73,26 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     return src.mapInArrow(run, T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("fp", T.LongType())]))
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, text_col: str = "text") -> DataFrame:
-    """doc (the whole row), row (a number of its own) and fp of every document; one narrow Arrow pass."""
-    ship(docs.sparkSession)
-    src = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(2)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64), pa.int64())], names=["doc", "row", "fp"])
-
-    return src.mapInArrow(run, T.StructType([src.schema[0], src.schema[1], T.StructField("fp", T.LongType())]))
-
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, segments: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each group of near duplicates: the one with the smallest identifier, null last.
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, segments: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each group of near duplicates: the one with the smallest identifier, null last."""
-    rows = stage(with_fingerprints(docs, shingle, text_col=text_col), "fingerprinted", compression="zstd")
-    keys = rows.select(F.struct(F.col(f"doc.{id_col}").isNull().alias("no_id"), F.col(f"doc.{id_col}").alias("id"), "row").alias("k"), "fp")
-    first = stage(keys.groupBy("fp").agg(F.min("k").alias("first")), "classes")
-    parts = components(links(first.select("fp"), distance, segments), "a", "b")
-    of = first.join(parts.withColumnRenamed("node", "n"), F.col("fp") == F.col("n"), "left").select(F.coalesce("component", "fp").alias("c"), "first")
-    stays = of.groupBy("c").agg(F.min("first").alias("k")).select(F.col("k.row").alias("r"))
-    kept = rows.join(stays, F.col("row") == F.col("r"), "left_semi")
-    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    Whole rows never enter Python and are compared with the row numbers that go: those are narrow, and few enough to be
+    sent to every task where few rows go (the planner decides by their size); otherwise rows are shuffled by number.
+    """
+    number = new_name(docs, "row")
+    rows = stage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered", compression="zstd")
+    prints = stage(fingerprints(rows, shingle, id_col=number, text_col=text_col).withColumnRenamed("id", "row"), "row-fingerprints")
+    # the identifier of a row is joined to its number for classes with company alone
+    shared = prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("row").alias("row"))
+    classes = stage(shared, "classes")
+    parts = components(links(classes.select("fp"), distance, segments), "a", "b").withColumnRenamed("node", "fp")
+    linked = stage(classes.join(parts, "fp", "left").where("n > 1 OR component IS NOT NULL").select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("c")), "linked")
+    met = prints.join(linked, F.col("fp") == F.col("f")).select("c", "row")
+    named = rows.select(F.col(number).alias("r"), F.col(id_col).alias("id")).join(met, F.col("r") == F.col("row"))
+    named = stage(named.select("c", F.struct(F.col("id").isNull().alias("no_id"), "id", "row").alias("k")), "in-company")
+    stays = named.groupBy("c").agg(F.min("k").alias("k")).select(F.col("k.row").alias("s"))
+    goes = stage(named.select(F.col("k.row").alias("g")).join(stays, F.col("g") == F.col("s"), "left_anti"), "goes")
+    return rows.join(goes, rows[number] == F.col("g"), "left_anti").drop(number)
 
 
 def ring(distance: int, segments: int) -> tuple[list[tuple[int, int]], list[int], int]:
@@ -114,14 +111,30 @@ def _mask(parts: list[tuple[int, int]], start: int, length: int) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def links(classes: DataFrame, distance: int = 2, segments: int = 5) -> DataFrame:
+def segments_for(classes: int, distance: int = 2, most: int = 15) -> int:
+    """The fewest segments whose key chain tells so many fingerprints apart that a bucket holds about 16 at most.
+
+    More segments make a longer key chain (25 bits of 64 with 5, 30 with 15, for two differing bits) and more postings.
+    """
+    for m in range(2 * distance + 1, most + 1, distance):
+        parts, _, key = ring(distance, m)
+        bits = min(sum(parts[(s + i) % m][1] for i in range(key)) for s in range(m))
+        if classes <= 16 << bits:
+            return m
+    return m
+
+
+def links(classes: DataFrame, distance: int = 2, segments: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, enough to connect all pairs within the distance.
 
+    The number of segments follows the number of fingerprints unless it's given; the result is the same with any.
+
     Buckets up to HOT_BUCKET give every pair that passes all chains; hotter ones give chains over shared
     one-bit neighbours, which connect the same fingerprints (exact for distance <= 2).
     """
     if not 1 <= distance <= 2:
         raise ValueError("the exact way for hot buckets covers distances 1 and 2")
+    segments = segments or segments_for(classes.count(), distance)
     if segments <= distance:
         raise ValueError("more segments than differing bits are needed")
     parts, budget, key = ring(distance, segments)
@@ -154,7 +167,7 @@ def links(classes: DataFrame, distance: int = 2, segments: int = 5) -> DataFrame
     return pairs.union(chained).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, segments: int = 5, id_col: str = "doc_id", text_col: str = "text", prints: DataFrame | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, segments: int | None = None, id_col: str = "doc_id", text_col: str = "text", prints: DataFrame | None = None) -> DataFrame:
     """id, fp and component_id (the smallest identifier reachable over links) of every document."""
     prints = prints if prints is not None else stage(fingerprints(docs, shingle, id_col=id_col, text_col=text_col), "fingerprints")
     classes = stage(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")

@@ -59,6 +59,22 @@ def test_links_connect_all_pairs(spark, hot, monkeypatch):
     assert brute_components(edges, signed) == brute_components(pairs, signed)
 
 
+@pytest.mark.parametrize("segments", [None, 3, 4, 9, 15])
+def test_links_are_the_same_with_any_segments(spark, segments):
+    rnd = random.Random(2)
+    fps = {rnd.getrandbits(64) for _ in range(60)}
+    fps |= {f ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for f in list(fps) for _ in range(4)}
+    signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
+    pairs = [(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2]
+    edges = [tuple(r) for r in M.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 2, segments).collect()]
+    assert set(edges) <= set(pairs) and brute_components(edges, signed) == brute_components(pairs, signed)
+
+
+def test_segments_follow_the_number_of_fingerprints():
+    got = [M.segments_for(10**k) for k in range(14)]
+    assert got[0] == 5 and got == sorted(got) and got[-1] == 15
+
+
 def test_documents(spark):
     rnd = random.Random(8)
     words = ["".join(rnd.choice("abcde") for _ in range(rnd.randrange(2, 7))) for _ in range(400)]
