@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import mcd_quality, pivotal, prefix_bpe, secrets_crf, simhash
-from sparkloom.llm.common import stage, table
+from sparkloom.llm.common import drop_staged, stage, table
 from sparkloom.llm.queries import tokenizer_path
 
 
@@ -61,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_staged(before)  # a stage's input isn't needed once its output is written
     return STAGES[-1][1](spark, docs, sf_dir)
