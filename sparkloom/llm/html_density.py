@@ -9,11 +9,13 @@ of which LC and LT are in links, the composite density is
 
     C/T * log_b( (C/LC) * (T/LT) ),   b = ln( (C/nLC) * LC + (LC_body/C_body) * C + e ),   nLC = C - LC
 
-with counts of zero taken as one. A node's density sum is the sum over its child elements. The block with the
-largest sum is the article (an article or main element that holds half of the text or more is taken at its word);
-the smallest density on its path up to the body is the threshold, and of every other
-subtree reaching the threshold on such a path the node with the largest sum is taken as well, unless it is
-mostly links. Text is joined in page order.
+with counts of zero taken as one; the counts are those of the whole page, its furniture included, so that menus and
+the like lower the density of what wraps them. A node's density sum is the sum over its child elements without
+furniture. The block with the largest sum is the article's core; the smallest density on its path up to the body is the
+threshold (a quarter of the core's own density at least), and of every other subtree reaching the threshold on such a path the node with the largest sum is taken as
+well, unless it is mostly links. Headings, paragraphs and lists beside a taken block, inside of the same wrapper, go
+with it. An article or main element is never chosen for its name: the one that holds the core bounds where the article
+ends. Text is joined in page order.
 
 Defined results: null or empty html gives ''; a page without markup is its text; text is cut nowhere; repeated
 rows and pages give equal results; extra columns are not carried; an empty table gives an empty result.
@@ -25,6 +27,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,11 +80,20 @@ CLOSED_BY = {
 }
 SCOPE = frozenset("html body table td th caption button object article section div main".split())
 
+#: The threshold is at least this share of the core's density: a body full of links must not let every short text in.
+LEAST = 0.25
+
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+_UNFINISHED = re.compile(r"<[!?/]")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+
+
 class Page:
     """The tree of one page as parallel lists; a parent's index is below its children's."""
 
@@ -92,17 +104,21 @@ class Page:
         self.text: list[tuple[int, str]] = []  # (node, text), in page order; '\n' marks a block border
         self._parse(source)
 
-    def _open(self, tag: str, attrs: str, stack: list[int]) -> None:
+    def _cut(self, at: int, stack: list[int], open_at: dict[str, list[int]]) -> None:
+        """Close everything from this place of the stack on."""
+        for node in stack[at:]:
+            open_at[self.tag[node]].pop()
+        del stack[at:]
+
+    def _open(self, tag: str, attrs: str, stack: list[int], open_at: dict[str, list[int]]) -> None:
+        last = lambda names: max((open_at[t][-1] for t in names if open_at.get(t)), default=-1)
         if tag in CLOSES_P:
-            self._close("p", stack)
+            self._close("p", stack, open_at)
         if tag in CLOSED_BY:
             same, barrier = CLOSED_BY[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] in same:
-                    del stack[k:]
-                    break
-                if self.tag[stack[k]] in barrier:
-                    break
+            at = last(same)
+            if at > max(last(barrier), 0):
+                self._cut(at, stack, open_at)
         node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(stack[-1])
@@ -112,17 +128,19 @@ class Page:
         if tag in BLOCK:
             self.text.append((stack[-1], "\n"))
         if tag not in VOID:
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(node)
 
-    def _close(self, tag: str, stack: list[int]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            here = self.tag[stack[k]]
-            if here == tag:
-                del stack[k:]
-                self.text.append((stack[-1], "\n" if tag in BLOCK else ""))
-                return
-            if here in SCOPE and (tag == "p" or tag not in BLOCK):
-                return
+    def _close(self, tag: str, stack: list[int], open_at: dict[str, list[int]]) -> None:
+        """The nearest open element of this name, unless a barrier stands before it; places are kept by name."""
+        found = open_at.get(tag)
+        if not found or found[-1] < 1:
+            return
+        at = found[-1]
+        if (tag == "p" or tag not in BLOCK) and any(open_at.get(t) and open_at[t][-1] > at for t in SCOPE):
+            return
+        self._cut(at, stack, open_at)
+        self.text.append((stack[-1], "\n" if tag in BLOCK else ""))
 
     @staticmethod
     def _furniture(tag: str, attrs: str) -> bool:
@@ -167,7 +185,13 @@ class Page:
 
     def _parse(self, s: str) -> None:
         stack, at, n, text = [0], 0, len(s), self.text
+        open_at: dict[str, list[int]] = {"html": [0]}
+        last, once = s.rfind(">"), set()
         while at < n:
+            if at > last:  # no tag can end any more: text, up to an unfinished comment or end tag
+                m = _UNFINISHED.search(s, at)
+                text.append((stack[-1], s[at : m.start() if m else n]))
+                break
             m = _TAG.search(s, at)
             if m is None:
                 text.append((stack[-1], s[at:]))
@@ -180,19 +204,18 @@ class Page:
                 continue
             tag = name.lower()
             if m[1] or m[4]:
-                self._close(tag, stack)
+                self._close(tag, stack, open_at)
                 continue
             attrs = m[3] or m[6] or ""
-            if tag in ("html", "body") and tag in self.tag[1:]:
-                continue
-            self._open(tag, attrs, stack)
+            if tag in ("html", "body"):
+                if tag in once:
+                    continue
+                once.add(tag)
+            self._open(tag, attrs, stack, open_at)
             if tag in RAW and not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(s, at)
-                if tag in DROP_TAGS or end is None:
-                    at = end.end() if end else n
-                else:
-                    at = end.end()
-                stack.pop()
+                end = _raw_end(tag).search(s, at)
+                at = end.end() if end else n
+                self._cut(len(stack) - 1, stack, open_at)
 
     def main_text(self) -> str:
         """The article is found first, then what its names alone had removed from it comes back."""
@@ -237,91 +260,114 @@ class Page:
         link = [False] * n
         for i in range(1, n):
             link[i] = link[parent[i]] or tag[i] == "a"
-        chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        texts = [(i, html.unescape(t) if "&" in t else t) for i, t in self.text if not dropped[i]]
-        for i, t in texts:
-            c = len(t) - t.count(" ") - t.count("\n")
-            chars[i] += c
-            if link[i]:
-                links[i] += c
-        for i in range(n - 1, 0, -1):
-            if not dropped[i]:
-                p = parent[i]
-                chars[p] += chars[i]
-                links[p] += links[i]
-                tags[p] += tags[i] + 1
-                link_tags[p] += link_tags[i] + (tag[i] == "a")
+        texts = [(i, html.unescape(t) if "&" in t else t) for i, t in self.text]
+        shown = [not d for d in dropped]
+        # of the whole page: what densities are made of; of the page without furniture: what can be taken
+        all_chars, all_links, tags, link_tags = self._counts(texts, link, [True] * n)
+        chars, links, _, anchors = self._counts(texts, link, shown)
         body = tag.index("body") if "body" in tag else 0
-        if not chars[body]:
+        if not all_chars[body]:
             body = 0
-        whole, of_links = max(chars[body], 1), links[body]
-        density, total = [0.0] * n, [0.0] * n
-        for i in range(n - 1, -1, -1):
-            c = chars[i]
-            if dropped[i] or not c:
-                continue
-            t, lc, lt = max(tags[i], 1), max(links[i], 1), max(link_tags[i], 1)
-            base = math.log(c / max(c - links[i], 1) * links[i] + of_links / whole * c + math.e)
-            ratio = c / lc * (t / lt)
-            density[i] = c / t * (math.log(ratio) / math.log(base) if base > 1 and ratio > 0 else math.log(max(ratio, 1)))
-            density[i] = max(density[i], 0.0)
-            if i:
+        density = self._densities(all_chars, all_links, tags, link_tags, body)
+        total = [0.0] * n  # density sums, over children that aren't furniture
+        for i in range(1, n):
+            if shown[i] and chars[i]:
                 total[parent[i]] += density[i]
-        root = self._root(body, chars, links, dropped)
         under = [False] * n
         for i in range(n):
-            under[i] = i == root or (i > 0 and under[parent[i]] and not dropped[i])
+            under[i] = i == body or i > 0 and under[parent[i]] and shown[i]
         nodes = [i for i in range(n) if under[i] and chars[i]]
         if not nodes:
             return -1, "", chars, links
-        if tag[root] in ("article", "main"):
-            best = root  # the page says so itself; what isn't article in it goes below
-        else:
-            best = max((i for i in nodes if i == root or tag[i] not in PART and tag[i] in BLOCK), key=lambda i: (total[i], -i))
-        threshold, i = density[best], best
-        while i != root and i > 0:
+        whole = lambda i: i == body or tag[i] not in PART and tag[i] in BLOCK
+        best = max((i for i in nodes if whole(i)), key=lambda i: (total[i], -i))
+        bound = self._bound(best, body, chars)
+        path, i = [best], best
+        while i != body:
             i = parent[i]
-            threshold = min(threshold, density[i])
+            path.append(i)
+        threshold = max(min(density[i] for i in path), LEAST * density[best])
         top = list(range(n))  # within each subtree the node with the largest density sum
         for i in reversed(nodes):
-            if i != root:
+            if i != body:
                 p = parent[i]
-                if total[top[i]] > total[top[p]] and tag[top[i]] not in PART and tag[top[i]] in BLOCK:
+                if total[top[i]] > total[top[p]] and whole(top[i]):
                     top[p] = top[i]
-        chosen = [False] * n
+        chosen, reach, within = [False] * n, [False] * n, [False] * n
         chosen[best] = True
-        reach = [False] * n
+        chosen[bound] = chosen[bound] or bound != body
         for i in nodes:
-            reach[i] = (i == root or reach[parent[i]]) and density[i] >= threshold
-            if reach[i] and 2 * links[top[i]] <= chars[top[i]]:
+            within[i] = i == bound or i != body and within[parent[i]]
+            if not within[i]:
+                continue
+            reach[i] = (i == bound or reach[parent[i]]) and density[i] >= threshold
+            if reach[i] and i != bound and 2 * links[top[i]] <= chars[top[i]]:
                 chosen[top[i]] = True
             if tag[i] == "h1" and 2 * links[i] <= chars[i]:
                 chosen[i] = True
+        wrappers = set(path[1:]) - {body}
+        for i in nodes:  # headings, paragraphs and lists beside what was taken, in the same wrapper
+            if within[i] and tag[i] in PART and parent[i] in wrappers and 2 * links[i] <= chars[i]:
+                chosen[i] = True
         menu = [False] * n
         # a block of its own holds the article and its lists of links; in a body without one they must stand within its text
-        own = best != body or tag[root] in ("article", "main")
-        within = [own] * n
+        own = best != body
+        amid = [own] * n
         if not own:
             prose = [i for i in nodes if tag[i] in PART and chars[i] > 2 * links[i] and not (tag[i] in ("ul", "ol", "dl", "li"))]
             for i in range(n):
-                within[i] = bool(prose) and prose[0] < i < prose[-1]
+                amid[i] = bool(prose) and prose[0] < i < prose[-1]
         of_best = [False] * n
         for i in range(n):
             of_best[i] = i == best or i > 0 and of_best[parent[i]]
-            if i and under[i] and parent[i] >= 0:
+            if i and under[i]:
                 chosen[i] = chosen[i] or chosen[parent[i]]
-                lists = tag[i] in ("ul", "ol", "div", "section", "table", "dl") and link_tags[i] > 1 and 5 * links[i] > 4 * chars[i] and i != best and not (of_best[i] and within[i])
+                lists = tag[i] in ("ul", "ol", "div", "section", "table", "dl") and anchors[i] > 1 and 5 * links[i] > 4 * chars[i] and i != best and not (of_best[i] and amid[i])
                 menu[i] = menu[parent[i]] or lists
-        return best, " ".join("".join([t for i, t in texts if chosen[i] and not menu[i]]).split()), chars, links
-
-    def _root(self, body: int, chars: list[int], links: list[int], dropped: list[bool]) -> int:
-        """Where the search starts: the body, or the one article or main element with most of its text."""
-        found = [i for i, t in enumerate(self.tag) if t in ("article", "main") and not dropped[i]]
-        if found:
-            top = max(found, key=lambda i: (chars[i] - links[i], i))
-            if 2 * chars[top] >= chars[body]:
-                return top
-        return body
+        return best, " ".join("".join([t for i, t in texts if chosen[i] and shown[i] and not menu[i]]).split()), chars, links
+
+    def _counts(self, texts: list[tuple[int, str]], link: list[bool], shown: list[bool]) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Characters, characters in links, elements and links below each node, without the nodes not shown."""
+        tag, parent, n = self.tag, self.parent, len(self.tag)
+        chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        for i, t in texts:
+            if shown[i]:
+                c = len(t) - t.count(" ") - t.count("\n")
+                chars[i] += c
+                if link[i]:
+                    links[i] += c
+        for i in range(n - 1, 0, -1):
+            if shown[i]:
+                p = parent[i]
+                chars[p] += chars[i]
+                links[p] += links[i]
+                tags[p] += tags[i] + 1
+                link_tags[p] += link_tags[i] + (tag[i] == "a")
+        return chars, links, tags, link_tags
+
+    @staticmethod
+    def _densities(chars: list[int], links: list[int], tags: list[int], link_tags: list[int], body: int) -> list[float]:
+        """The composite text density of every node."""
+        whole, of_links = max(chars[body], 1), links[body]
+        out = []
+        for c, l, t, lt in zip(chars, links, tags, link_tags):
+            t = max(t, 1)
+            ratio = c / max(l, 1) * (t / max(lt, 1))
+            base = math.log(c / max(c - l, 1) * l + of_links / whole * c + math.e)
+            out.append(c / t * max(0.0, math.log(ratio) / math.log(base) if base > 1 and ratio > 0 else math.log(max(ratio, 1))))
+        return out
+
+    def _bound(self, best: int, body: int, chars: list[int]) -> int:
+        """Where the article ends: the article element around the core, or main if that has twice its text; else the body."""
+        found = {}
+        i = best
+        while i != body:
+            found.setdefault(self.tag[i], i)
+            i = self.parent[i]
+        article, main = found.get("article", body), found.get("main", body)
+        if body in (article, main):
+            return article if main == body else main
+        return article if 2 * chars[article] >= chars[main] else main
 
 
 def extract(source: str | None) -> str:

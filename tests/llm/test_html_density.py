@@ -1,8 +1,11 @@
+import html
+import math
 import random
+import time
 
 import pytest
 
-from sparkloom.llm.html_density import extract, main_texts
+from sparkloom.llm.html_density import Page, extract, main_texts
 
 PARA = "Plain words of a paragraph that say something, and then some more, so that it counts as text. "
 
@@ -61,6 +64,74 @@ def test_names_of_topics_and_lists_of_references_stay_in_the_article(wrap):
     assert extract(page) == " ".join(want.split())
 
 
+STORY = "<h1>The title</h1>" + "".join(f"<p>{PARA} Part {k}.</p>" for k in range(5))
+STORY_TEXT = " ".join(f"The title {' '.join(f'{PARA} Part {k}.' for k in range(5))}".split())
+ANCHORS = "<div>" + "".join(f'<p><a href="/{k}">A long text of a link, number {k}, that says what there is to read</a></p>' for k in range(20)) + "</div>"
+TEASERS = "<div>" + "".join(f"<p>Short bit {k}</p>" for k in range(25)) + "</div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body>{ANCHORS}<div>{STORY}</div></body>",  # a list of links with long texts
+        f"<body><div>{TEASERS}</div><div><div>{STORY}</div></div></body>",  # two columns of text, no names
+        f"<body><div><div><div><div>{STORY}</div></div></div></div>{TEASERS}{ANCHORS}</body>",  # nested wrappers
+        "<body>" + "".join(f"<article><h2>Other {k}</h2><p>Bit</p><p>Bit</p><p>Bit</p><p>Bit</p><p>Bit</p><p>Bit</p><p>Bit</p></article>" for k in range(9)) + f"<article>{STORY}</article></body>",  # an article by name is one of ten
+        f"<body><main>{TEASERS}{ANCHORS}</main><div>{STORY}</div></body>",  # a main element without the story
+        f"<body><div><section>{ANCHORS}</section><section>{STORY}</section><section>{TEASERS}</section></div></body>",
+    ],
+)
+def test_densities_decide(page, monkeypatch):
+    """With constant densities, or those of other nodes, each of these pages gives another text."""
+    assert extract(page) == STORY_TEXT
+    own = Page._densities
+    monkeypatch.setattr(Page, "_densities", staticmethod(lambda chars, *a: [1.0] * len(chars)))
+    assert extract(page) != STORY_TEXT
+    monkeypatch.setattr(Page, "_densities", staticmethod(lambda *a: own(*a)[::-1]))
+    assert extract(page) != STORY_TEXT
+
+
+def test_densities_equal_brute_force():
+    """The composite density from its definition, node by node over all descendants."""
+    rnd = random.Random(4)
+    for _ in range(40):
+        bits = ["<div>", "</div>", "<p>", "some words ", "<a href=x>link text</a> ", "<b>bold</b> ", "<ul><li>", "</ul>", "<nav><a>menu</a></nav>", "&amp;x "]
+        page = Page("<body>" + "".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 80))))
+        n = len(page.tag)
+        kin = [[j for j in range(n) if any(k == i for k in up(page.parent, j))] for i in range(n)]
+        linked = [any(page.tag[k] == "a" for k in up(page.parent, i)) for i in range(n)]
+        text = [(i, "".join(html.unescape(t).split())) for i, t in page.text]
+        c = [sum(len(t) for j, t in text if j in kin[i]) for i in range(n)]
+        lc = [sum(len(t) for j, t in text if j in kin[i] and linked[j]) for i in range(n)]
+        t = [len(kin[i]) - 1 for i in range(n)]
+        lt = [sum(page.tag[j] == "a" for j in kin[i]) - (page.tag[i] == "a") for i in range(n)]
+        texts = [(i, html.unescape(x)) for i, x in page.text]
+        assert page._counts(texts, linked, [True] * n) == (c, lc, t, lt)
+        got = page._densities(c, lc, t, lt, 1)
+        for i in range(n):
+            at_least = lambda x: max(x, 1)
+            base = math.log(c[i] / at_least(c[i] - lc[i]) * lc[i] + lc[1] / at_least(c[1]) * c[i] + math.e)
+            ratio = c[i] / at_least(lc[i]) * (at_least(t[i]) / at_least(lt[i]))
+            if c[i] and base > 1:
+                assert got[i] == pytest.approx(c[i] / at_least(t[i]) * max(0, math.log(ratio, base)))
+
+
+def up(parent, i):
+    while i >= 0:
+        yield i
+        i = parent[i]
+
+
+@pytest.mark.parametrize("bit", ["<b>", "<b></i>", "<div><b></i>", "<a ", "<i><div><b></i>", "<li><dd>", "<body>", "<td><div>", "<p", "<script", "&", "<a title='"])
+def test_deep_and_broken_pages_take_linear_time(bit):
+    took = []
+    for n in (20_000, 80_000):
+        page, t = bit * n + "end", time.perf_counter()
+        extract(page)
+        took.append(time.perf_counter() - t)
+    assert took[1] < 12 * took[0] + 0.2
+
+
 def test_random_markup_never_fails():
     rnd = random.Random(6)
     bits = ["<p>", "</p>", "<div class='ad'>", "</div>", "<", ">", "&", "&amp;", "text ", "<a href=x>", "</a>", "<!--", "-->", "<table><tr><td>", "<script>", "</script>", "\x00", "<li>", "</ul>", "é", '"', "<br/>", "<![CDATA["]
@@ -73,3 +144,10 @@ def test_frame(spark):
     got = sorted(map(tuple, main_texts(df).collect()), key=str)
     assert [(r[0], r[2]) for r in got[:3]] == [(1, ""), (1, "x"), (2, ("word " * 300000).strip())] and got[3][2] == "x"
     assert main_texts(df.limit(0)).count() == 0
+
+
+def test_columns_of_the_results_names(spark):
+    """Columns named as the results are read as any other, and not carried."""
+    df = spark.createDataFrame([(1, "u", "<p>x</p>", "old", 9, "__h")], "page_id long, url string, html string, text string, n_chars int, __html string")
+    got = main_texts(df)
+    assert got.columns == ["page_id", "url", "text"] and got.first().text == "x"
