@@ -14,7 +14,7 @@ The first entry of a block shares nothing, so a block is read on its own: a look
 the first block whose last key is not below the key by binary search in the index, and scans that block.
 
 Keys are 9 bytes: 0x00 for a null identifier, else 0x01 and the identifier as big-endian with its sign bit turned,
-so byte order is identifier order and nulls come first. Repeated keys are kept, ordered by their text.
+so byte order is identifier order and nulls come first. Repeated keys are kept, ordered by a hash of their text.
 
 Defined results: null text is the empty text (the end id only); null identifiers are a key of their own; an empty
 table writes no shard; extra input columns are ignored.
@@ -48,8 +48,8 @@ BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
 MAGIC = b"SLSST001"
 FOOTER = struct.Struct("<QQQQQQIBB6x8s")  # bloom at, bloom bytes, index at, index bytes, documents, ids, hashes, width, 0
-#: Text bytes that one shard should hold; the number of shards follows from the table's size.
-SHARD_TEXT_BYTES = 32 << 20
+#: Text bytes that one shard should hold: as many as make MANY_SHARDS of the table, within these bounds.
+SHARD_TEXT_BYTES, LARGE_SHARD_TEXT_BYTES, MANY_SHARDS = 32 << 20, 1 << 30, 50_000
 
 MANIFEST = T.StructType(
     [T.StructField("shard", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())]
@@ -203,9 +203,9 @@ class Reader:
 
 
 #: Text is cut at spaces and newlines, which normalizer and pattern of the vocabulary drop, and in Latin-1 texts also
-#: between a letter and the full stop or comma that ends a word, where the pattern always cuts.
+#: behind a word's letters unless an apostrophe follows: there the pattern always cuts.
 _CHUNK = re.compile(r"[^ \n]+")
-_LATIN_CHUNK = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+(?=[., \n])|[^ \n]+")
+_LATIN_CHUNK = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+(?=[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff'])|[^ \n]+")
 CACHE_CHUNKS = 300_000
 CACHE_CHARS = 64
 
@@ -215,14 +215,15 @@ class ChunkEncoder:
 
     No token spans a cut, so a text's ids are those of its chunks, joined. A Latin-1 text is composed already, and
     each of its characters has one lower-case character, so it can be put in lower case (as the vocabulary's
-    normalizer does) before chunks are looked up. `whole` is the plain call that tests hold this against.
+    normalizer does) before chunks are looked up. The strings of added tokens are what the library makes of them by
+    default, one id: it finds them in the text as it stands, before anything else, so texts are cut there first.
+    `whole` is the plain call that tests hold this against.
     """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.code = {"<u2": "H", "<u4": "I"}[dtype]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -230,12 +231,36 @@ class ChunkEncoder:
         steps = [x.get("type") for x in (kind.get("normalizer") or {}).get("normalizers", [])]
         if steps != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("the chunks are right for vocabularies that compose, drop white space and lower the case")
+        added = kind.get("added_tokens") or []
+        if any(x.get(k) for x in added for k in ("normalized", "single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens are found as they stand")
+        self.added = {x["content"] for x in added}
+        self.added_lower = [x.lower() for x in self.added]
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def cut(self, text: str) -> list[str]:
+        if not self._spells(text):
+            return self._plain(text)
+        out = []
+        for part in self.split.split(text):
+            if part in self.added:
+                out.append(part)
+            else:  # in lower case other letters could spell an added token
+                out += _CHUNK.findall(part) if self._spells(part) else self._plain(part)
+        return out
+
+    def _spells(self, text: str) -> bool:
+        """Whether the text may hold an added token, in any case of letters."""
+        low = text.lower()
+        return any(x in low for x in self.added_lower)
+
     @staticmethod
-    def cut(text: str) -> list[str]:
+    def _plain(text: str) -> list[str]:
+        if text.isascii():
+            return _LATIN_CHUNK.findall(text.lower())
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -281,9 +306,9 @@ def _vocabulary_width(path: str, end_id: int) -> int:
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, append end_id and write one shard per range of identifiers; returns the manifest.
 
-    One shuffle, by identifier range; a task sorts (spilling) and streams one shard. Files are written under
-    attempt-unique names that the manifest lists, so a repeated or speculative task leaves no torn shard behind.
-    Identifiers repeated beyond one shard's size stay in one shard: ranges don't cut a key.
+    One shuffle, by range of identifier, text hash and row; a task sorts (spilling) and streams one shard. Files are
+    written under attempt-unique names that the manifest lists, so a repeated or speculative task leaves no torn shard
+    behind; what the manifest doesn't list is deleted. An identifier repeated beyond one shard's size goes on in the next.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -293,8 +318,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     if shards is None:
         total = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-        shards = max(1, spark.sparkContext.defaultParallelism, -(-total // SHARD_TEXT_BYTES))
-    ranged = src.repartitionByRange(int(shards), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "t")
+        each = min(max(SHARD_TEXT_BYTES, total // MANY_SHARDS), LARGE_SHARD_TEXT_BYTES)
+        shards = max(1, spark.sparkContext.defaultParallelism, -(-total // each))
+    # an identifier with many rows, or the null one, goes on in the next shard: rows that agree in it are dealt by text, equal ones by row
+    order = [F.col("id").asc_nulls_first(), F.col("h"), F.col("row")]
+    src = src.withColumn("h", F.xxhash64("t")).withColumn("row", F.monotonically_increasing_id())
+    ranged = src.repartitionByRange(int(shards), *order).sortWithinPartitions(*order).select("id", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -322,6 +351,12 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, path: str |
 
     # the manifest (a row per shard) is taken once: the files exist from here on, under the names of its attempts
     rows = ranged.mapInArrow(run, MANIFEST).collect()
+    listed = {r.path.rsplit("/", 1)[1] for r in rows}
+    fs, base = pafs.FileSystem.from_uri(path)
+    if fs.get_file_info(base).type == pafs.FileType.Directory:
+        for f in fs.get_file_info(pafs.FileSelector(base)):
+            if f.base_name.startswith("shard-") and f.base_name not in listed:
+                fs.delete_file(f.path)
     return spark.createDataFrame(sorted(rows, key=lambda r: r.shard), MANIFEST)
 
 
