@@ -11,9 +11,10 @@ replaces them by expected counts, with the prior worth PRIOR_MASS pieces; the en
 of training documents.
 
 Everything gathered grows with the corpus and stays distributed: the table of all words with their training counts,
-each word's lattice probability computed there once. The HEAD most frequent words go to the workers as a bounded
-dictionary; the rest of a document's words is joined with the table by word. Only piece counts, bounded by the
-vocabulary's size, come to the driver.
+each word's lattice probability computed there once. At most HEAD of the most frequent words go to the workers as a
+bounded dictionary, chosen by a threshold on their counts that a histogram gives; the rest of a document's words is
+joined with the table by word. Only piece counts, bounded by the vocabulary's size, the histogram and the HEAD words
+come to the driver.
 
 Defined results: null text is the empty text (its end only); a null identifier counts as the empty text in the fold
 rule, so it is in training; repeated rows are rows; without training words base and model rest on their priors;
@@ -39,8 +40,11 @@ from sparkloom.llm.common import ship, stage
 MARK = "▁"
 PRIOR_MASS = 32000.0
 ROUNDS = 2
-#: Most frequent words kept by every worker; longer words than HEAD_BYTES are never among them.
-HEAD, HEAD_BYTES = 200_000, 64
+#: Most frequent words kept by every worker; longer words than HEAD_BYTES are never among them. Their counts are ranked
+#: in HEAD_STEPS steps an octave.
+HEAD, HEAD_BYTES, HEAD_STEPS = 200_000, 64, 16
+#: Characters of a word whose forward values are held at once; of longer words they are run again, block by block.
+BLOCK = 1 << 16
 #: Distinct words a counting task holds before it hands them on.
 FLUSH = 300_000
 #: Up to so many characters the recursion over one word runs on plain probabilities, beyond in log space. A word whose
@@ -56,6 +60,7 @@ class Lattice:
     def __init__(self, pieces: list[str], bytes_at: list[int], logp: np.ndarray, log_end: float):
         self.logp, self.log_end, self.bytes_at = logp, log_end, bytes_at
         self.root: dict = {}
+        self.reach = max([1, *map(len, pieces)])  # characters of the longest piece
         for i, p in enumerate(pieces):
             if p:
                 node = self.root
@@ -78,7 +83,7 @@ class Lattice:
         s = MARK + word
         n, root, p = len(s), self.root, self.p
         if n > LINEAR:
-            return self._log_forward(s)[n]
+            return self._log_total(s)[0]
         a = [0.0] * (n + 1)
         a[0] = 1.0
         for i in range(n):
@@ -92,51 +97,57 @@ class Lattice:
                 k = node.get(0)
                 if k is not None:
                     a[j + 1] += x * p[k]
-        return math.log(a[n]) if a[n] >= TINY else self._log_forward(s)[n]
+        return math.log(a[n]) if a[n] >= TINY else self._log_total(s)[0]
 
-    def _log_forward(self, s: str) -> list[float]:
-        n = len(s)
-        a = [-math.inf] * (n + 1)
-        a[0] = 0.0
+    def _log_block(self, s: str, start: int, carry: list[float]) -> list[float]:
+        """Forward log values of a block and of the places its pieces reach; carry has what came from before the block."""
+        stop = min(len(s), start + BLOCK)
+        a = carry + [-math.inf] * (stop - start)
 
         def add(j: int, x: float) -> None:
             y = a[j]
             hi, lo = (x, y) if x > y else (y, x)
             a[j] = hi + math.log1p(math.exp(lo - hi)) if lo > -math.inf else hi
 
-        for i in range(n):
-            add(i + 1, a[i] + self._bytes(s[i])[1])
+        for i in range(start, stop):
+            x = a[i - start]
+            add(i + 1 - start, x + self._bytes(s[i])[1])
             node = self.root
-            for j in range(i, n):
+            for j in range(i, len(s)):
                 node = node.get(s[j])
                 if node is None:
                     break
                 k = node.get(0)
                 if k is not None:
-                    add(j + 1, a[i] + self.lp[k])
+                    add(j + 1 - start, x + self.lp[k])
         return a
 
+    def _log_total(self, s: str) -> tuple[float, list[list[float]]]:
+        """Log probability of all segmentations, and what each block got from before it: enough to run any block again."""
+        carry, before = [0.0] + [-math.inf] * self.reach, []
+        for start in range(0, len(s), BLOCK):
+            before.append(carry)
+            a = self._log_block(s, start, carry)
+            carry = a[min(BLOCK, len(s) - start) :]
+        return carry[0], before
+
     def expect(self, word: str, times: float, into: list[float]) -> None:
         """Add the expected use of every piece in `times` occurrences of the word."""
         s = MARK + word
-        for at in range(0, len(s), 4096):  # very long words by parts, which only blurs the pieces at the cuts
-            self._expect(s[at : at + 4096], times, into)
-
-    def _expect(self, s: str, times: float, into: list[float], linear: bool = True) -> None:
-        n, root, p, lp = len(s), self.root, self.p, self.lp
-        linear = linear and n <= LINEAR
-        if linear:
-            a = [0.0] * (n + 1)
-            a[0] = 1.0
-        else:
-            a = self._log_forward(s)
+        if len(s) > LINEAR or not self._expect(s, times, into):
+            self._log_expect(s, times, into)
+
+    def _expect(self, s: str, times: float, into: list[float]) -> bool:
+        """On plain probabilities; False, and nothing added, where they come near underflow."""
+        n, root, p = len(s), self.root, self.p
+        a = [0.0] * (n + 1)
+        a[0] = 1.0
         edges = []
         for i in range(n):
             x = a[i]
-            w = self._bytes(s[i])
-            edges.append((i, i + 1, -1, w[0] if linear else w[1]))
-            if linear:
-                a[i + 1] += x * w[0]
+            w = self._bytes(s[i])[0]
+            edges.append((i, i + 1, -1, w))
+            a[i + 1] += x * w
             node = root
             for j in range(i, n):
                 node = node.get(s[j])
@@ -144,36 +155,55 @@ class Lattice:
                     break
                 k = node.get(0)
                 if k is not None:
-                    if linear:
-                        w = p[k]
-                        a[j + 1] += x * w
-                        edges.append((i, j + 1, k, w))
-                    else:
-                        edges.append((i, j + 1, k, lp[k]))
-        if linear:
-            if a[n] < TINY:
-                return self._expect(s, times, into, False)
-            b = [0.0] * n + [times / a[n]]
-            for i, j, k, w in reversed(edges):
-                y = w * b[j]
-                b[i] += y
-                if k >= 0:
-                    into[k] += a[i] * y
-                else:
-                    for c in s[i].encode():
-                        into[self.bytes_at[c]] += a[i] * y
-            return
-        b = [-math.inf] * n + [-a[n]]
+                    w = p[k]
+                    a[j + 1] += x * w
+                    edges.append((i, j + 1, k, w))
+        if a[n] < TINY:
+            return False
+        b = [0.0] * n + [times / a[n]]
         for i, j, k, w in reversed(edges):
-            y = w + b[j]
-            hi, lo = max(y, b[i]), min(y, b[i])
-            b[i] = hi + (math.log1p(math.exp(lo - hi)) if lo > -math.inf else 0.0)
-            use = times * math.exp(min(0.0, a[i] + y))
+            y = w * b[j]
+            b[i] += y
             if k >= 0:
-                into[k] += use
+                into[k] += a[i] * y
             else:
                 for c in s[i].encode():
-                    into[self.bytes_at[c]] += use
+                    into[self.bytes_at[c]] += a[i] * y
+        return True
+
+    def _log_expect(self, s: str, times: float, into: list[float]) -> None:
+        """In log space, from the last block to the first: a block's forward values are there only while it's run back."""
+        total, before = self._log_total(s)
+        after = [-total] + [-math.inf] * self.reach  # backward log values from the end of the block on
+        for at in range(len(before) - 1, -1, -1):
+            start = at * BLOCK
+            size = min(BLOCK, len(s) - start)
+            a = self._log_block(s, start, before[at])
+            b = [-math.inf] * size + after
+            for i in range(start + size - 1, start - 1, -1):
+                x = a[i - start]
+                edges = [(i + 1, -1, self._bytes(s[i])[1])]
+                node = self.root
+                for j in range(i, len(s)):
+                    node = node.get(s[j])
+                    if node is None:
+                        break
+                    k = node.get(0)
+                    if k is not None:
+                        edges.append((j + 1, k, self.lp[k]))
+                here = -math.inf
+                for j, k, w in edges:
+                    y = w + b[j - start]
+                    hi, lo = max(y, here), min(y, here)
+                    here = hi + (math.log1p(math.exp(lo - hi)) if lo > -math.inf else 0.0)
+                    use = times * math.exp(min(0.0, x + y))
+                    if k >= 0:
+                        into[k] += use
+                    else:
+                        for c in s[i].encode():
+                            into[self.bytes_at[c]] += use
+                b[i - start] = here
+            after = b[: self.reach + 1]
 
 
 @lru_cache(maxsize=2)
@@ -263,6 +293,19 @@ def train(words: DataFrame, path: str, ends: int, rounds: int = ROUNDS) -> Latti
     return lattice(path, counts, ends)
 
 
+def most_frequent(words: DataFrame, most: int | None = None) -> DataFrame:
+    """The words above a count, at most `most` (HEAD) of them: the count is where a histogram of log counts leaves that many."""
+    most = HEAD if most is None else most
+    ranked = words.where((F.octet_length("w") <= HEAD_BYTES) & (F.col("c") > 0)).withColumn("b", F.floor(F.log2(F.col("c").cast("double")) * HEAD_STEPS).cast("int"))
+    total, least = 0, None
+    for b, n in sorted(map(tuple, ranked.groupBy("b").agg(F.count("*").alias("n")).collect()), reverse=True):  # at most 64 * HEAD_STEPS rows
+        total += n
+        if total > most:
+            break
+        least = b
+    return ranked.where(F.lit(False) if least is None else F.col("b") >= least).drop("b")
+
+
 def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (word unigram) and score, both log10."""
     spark = docs.sparkSession
@@ -284,14 +327,18 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], names=["w", "c", "s"])
 
     words = stage(words.mapInArrow(scored, "w string, c long, s double"), "scored-words")
-    top = words.where(F.octet_length("w") <= HEAD_BYTES).orderBy(F.desc("c"), "w").limit(HEAD).toArrow()  # rows would take the driver several times the memory
-    head = spark.sparkContext.broadcast((top["w"].cast(pa.binary()).to_pylist(), top["c"].to_numpy().astype(np.int64), top["s"].to_numpy().astype(float)))
-    del top
+    top = most_frequent(words).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, top.schema) as out:
+        out.write_table(top)
+    head = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    del top, sink
     end_base, end_score = float(base_of(np.float64(ends))), lat.log_end / LN10
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, c, s = head.value
-        place = {w: i for i, w in enumerate(at)}
+        known = pa.ipc.open_stream(head.value).read_all()
+        place = {w: i for i, w in enumerate(known["w"].cast(pa.binary()).to_pylist())}
+        c, s = known["c"].to_numpy().astype(np.int64), known["s"].to_numpy().astype(float)
         c, s, b0 = np.append(c, 0), np.append(s, 0.0), np.append(base_of(c.astype(float)), 0.0)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
