@@ -206,6 +206,7 @@ class Reader:
 #: behind a word's letters unless an apostrophe follows: there the pattern always cuts.
 _CHUNK = re.compile(r"[^ \n]+")
 _LATIN_CHUNK = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+(?=[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff'])|[^ \n]+")
+_LATIN_WORD = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 CACHE_CHUNKS = 300_000
 CACHE_CHARS = 64
 
@@ -224,10 +225,14 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.code = {"<u2": "H", "<u4": "I"}[dtype]
+        self.dtype, self.code = dtype, {"<u2": "H", "<u4": "I"}[dtype]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         kind = json.loads(Path(path).read_text())
+        suffix = kind["model"].get("end_of_word_suffix")
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         steps = [x.get("type") for x in (kind.get("normalizer") or {}).get("normalizers", [])]
         if steps != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("the chunks are right for vocabularies that compose, drop white space and lower the case")
@@ -267,6 +272,17 @@ class ChunkEncoder:
             return _CHUNK.findall(text)
         return _LATIN_CHUNK.findall(text.lower())
 
+    def _joined(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Encode words of letters in one call, as a text of them, and cut its ids where a token ends a word."""
+        ids = np.array(self.lib.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return  # what isn't one token sequence a word is left to be encoded by itself
+        data, size, at = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize, 0
+        for w, end in zip(words, (ends * size).tolist()):
+            into[w] = data[at:end]
+            at = end
+
     def texts(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
         young, old, code = self.young, self.old, self.code
@@ -274,7 +290,12 @@ class ChunkEncoder:
         if missing:
             now = {c: old[c] for c in missing if c in old}
             new = [c for c in missing if c not in now]
-            for c, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            words = [c for c in new if _LATIN_WORD(c)]
+            for lo in range(0, len(words), 512):
+                part = words[lo : lo + 512]
+                self._joined(part, now)
+            rest = [c for c in new if c not in now]
+            for c, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 now[c] = array(code, e.ids).tobytes()
             if len(young) + len(now) > CACHE_CHUNKS:
                 # what these texts need stays at hand; the rest moves to the older generation
