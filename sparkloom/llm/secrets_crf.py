@@ -1,6 +1,6 @@
 """Secret scan: fixed patterns plus a linear-chain conditional random field.
 
-Tokens are runs of [A-Za-z0-9+/_.-] with up to two equals signs behind. The CRF tags each as B (a secret begins), I (it goes on) or O, from the token's
+Tokens are runs of [A-Za-z0-9+/_.-], with up to two equals signs behind where nothing goes on after them. The CRF tags each as B (a secret begins), I (it goes on) or O, from the token's
 shape, its neighbouring words and features of the whole file, and Viterbi decodes the best tag sequence. It runs over
 all tokens of every passage: BEFORE tokens in front of and AFTER tokens behind each token that can hold a secret by
 itself (not `plain`: under 8 characters, or under 20 without a digit) and each word of credentials (`_CUE`). Passages that
@@ -39,7 +39,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+={0,2}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+(?:={1,2}(?![A-Za-z0-9+/_.=-]))?")
 _NEAR = re.compile(r"[^\W\d_]+|[^\w\s]")
 #: Bound of the sample of passages that training reads from the table.
 SAMPLE = 400
@@ -244,7 +244,7 @@ class _Sequences:
         return prob, move
 
 
-def train(examples: list[tuple[str, list[tuple[int, int]]]], partly: list[tuple[str, list[tuple[int, int]]]] = (), rounds: int = 200, rate: float = 0.4, ridge: float = 0.02) -> Model:
+def train(examples: list[tuple[str, list[tuple[int, int]]]], partly: list[tuple[str, list[tuple[int, int]]]] = (), rounds: int = 120, rate: float = 0.4, ridge: float = 0.02) -> Model:
     """Maximum likelihood by adaptive gradient steps over all runs at once.
 
     Of the texts in `partly` only the given secrets are known; the likelihood sums over the tags of their other tokens.
@@ -315,9 +315,9 @@ def generated(n: int = 2500, seed: int = SEED) -> list[tuple[str, list[tuple[int
     others = [
         lambda: pick(string.digits, 8, 19), lambda: f"{rnd.randint(1990, 2030)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02}", lambda: ".".join(str(rnd.randint(0, 255)) for _ in range(4)), lambda: f"+{rnd.randint(1, 99)}-{pick(string.digits, 3, 3)}-{pick(string.digits, 4, 8)}",
         lambda: f"{pick(hexa, 8, 8)}-{pick(hexa, 4, 4)}-{pick(hexa, 4, 4)}-{pick(hexa, 4, 4)}-{pick(hexa, 12, 12)}", lambda: f"http://www.{word()}.com/{word()}/{rnd.randint(1, 9999)}", lambda: f"{word()}.{word()}{rnd.randint(1, 99)}", lambda: word() + word() + word() + word(), lambda: f"{word()}_{word()}_{rnd.randint(1, 999)}",
-        lambda: f"v{rnd.randint(1, 20)}.{rnd.randint(0, 20)}.{rnd.randint(0, 99)}-{word()}{rnd.randint(1, 9)}", lambda: f"/usr/{word()}/{word()}{rnd.randint(1, 9)}.{word()}", lambda: f"{word()}-{word()}-{word()}-{word()}", lambda: word().capitalize() + word() + word().upper() + word() + word(), lambda: f"{rnd.choice(['DE', 'FR', 'GB'])}{pick(string.digits, 18, 22)}", lambda: "=" * rnd.randint(8, 60), lambda: f"+{rnd.randint(1, 99)} ({pick(string.digits, 3, 3)}) {pick(string.digits, 3, 3)}-{pick(string.digits, 4, 4)}", lambda: f"{word()}.{rnd.randint(1, 99)}@{word()}{rnd.randint(0, 9)}.{word()}.com", lambda: "-".join(pick(string.digits, 4, 4) for _ in range(4)),
+        lambda: f"v{rnd.randint(1, 20)}.{rnd.randint(0, 20)}.{rnd.randint(0, 99)}-{word()}{rnd.randint(1, 9)}", lambda: f"/usr/{word()}/{word()}{rnd.randint(1, 9)}.{word()}", lambda: f"{word()}-{word()}-{word()}-{word()}", lambda: word().capitalize() + word() + word().upper() + word() + word(), lambda: f"{rnd.choice(['DE', 'FR', 'GB'])}{pick(string.digits, 18, 22)}", lambda: "=" * rnd.randint(8, 60), lambda: f"+{rnd.randint(1, 99)} ({pick(string.digits, 3, 3)}) {pick(string.digits, 3, 3)}-{pick(string.digits, 4, 4)}", lambda: f"{word()}.{rnd.randint(1, 99)}@{word()}{rnd.randint(0, 9)}.{word()}.com", lambda: "-".join(pick(string.digits, 4, 4) for _ in range(4)), lambda: rnd.choice("#@") + word() + word().capitalize() + pick(string.digits, 0, 4), lambda: f"{word()}{word().capitalize()}{pick(string.digits, 1, 4)}",
     ]
-    lead = ["{w} {w} ", 'key = "', "secret: ", "Authorization: Bearer ", 'token="', "api key ", "{w} ", "{w}\n", "export AUTH={w}\nKEY=", '"client": "', "{w}, "]
+    lead = ["{w}://{w}:", "{w} {w} ", 'key = "', "secret: ", "Authorization: Bearer ", 'token="', "api key ", "{w} ", "{w}\n", "export AUTH={w}\nKEY=", '"client": "', "{w}, "]
     for _ in range(n):
         text, spans = "", []
         for _ in range(rnd.randint(1, 3)):
@@ -327,7 +327,8 @@ def generated(n: int = 2500, seed: int = SEED) -> list[tuple[str, list[tuple[int
                 start = start.replace("{w}", word(), 1)
             text += start
             bad = rnd.random() < 0.5
-            value = rnd.choice(secrets if bad else others)()
+            in_url = "://" in start
+            value = pick(alnum, 10, 24) if bad and in_url and rnd.random() < 0.7 else rnd.choice(secrets if bad else others)()
             parts = [value]
             if bad and rnd.random() < 0.08:  # a wrapped key, whose last line is mostly a short one
                 parts += [pick(b64, 64, 64) for _ in range(rnd.randint(1, 4))]
@@ -335,7 +336,7 @@ def generated(n: int = 2500, seed: int = SEED) -> list[tuple[str, list[tuple[int
             whole = rnd.choice([" ", "\n"]).join(parts)
             if bad:
                 spans.append((len(text), len(text) + len(whole)))
-            text += whole + rnd.choice(['"', " ", "\n", ". ", ", "]) + word() + " "
+            text += whole + ("@" if in_url else rnd.choice(['"', " ", "\n", ". ", ", "])) + word() + " "
         out.append((text, spans))
     camel = lambda: "".join(word().capitalize() for _ in range(rnd.randint(2, 4)))
     mixed = lambda: "".join(rnd.choice(string.ascii_uppercase) + rnd.choice(string.ascii_lowercase) for _ in range(rnd.randint(4, 9)))
