@@ -79,4 +79,69 @@ def test_query_and_recall(spark):
         b -= a * (a @ b)
         b /= np.linalg.norm(b)
         pairs += [(0, 0, a), (1, 0, 0.98001 * a + math.sqrt(1 - 0.98001**2) * b)]
-    assert M.recall(pairs) >= 0.99
+    for n in (100, 5000, 200_000):  # however many tables the number of rows asks for
+        assert M.recall(pairs, n=n) >= 0.99
+
+
+def test_plan_keeps_the_miss_probability():
+    for n in (0, 1, 10**3, 10**6, 10**9):
+        k, tables = M.plan(n, 0.98)
+        assert (1 - M.collide(0.2) ** k) ** tables <= M.MISS
+        assert k == 8 or n * M.collide(math.sqrt(2)) ** k <= M.MATES
+    rng = np.random.default_rng(5)  # the probability of one projection, against draws
+    for distance in (0.2, 1.0, math.sqrt(2)):
+        x = rng.standard_normal(200_000) * distance
+        same = np.floor((x + (b := rng.random(200_000) * M.WIDTH)) / M.WIDTH) == np.floor(b / M.WIDTH)
+        assert abs(same.mean() - M.collide(distance)) < 0.01
+
+
+@pytest.mark.parametrize("hashes", [("xxhash64(label, v)", "1"), ("2L", "1"), ("xxhash64(element_at(v, 1))", "1")])
+def test_vectors_with_equal_hashes_stay_apart(spark, monkeypatch, hashes):
+    monkeypatch.setattr(M, "HASHES", hashes)
+    rows = data(120, np.random.default_rng(4))
+    rows += [(500 + i, [1.0, *r[1][1:]], r[2], "") for i, r in enumerate(rows[:30])] + [(600, rows[3][1], rows[3][2], "")]
+    got = M.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.id, r.n_links, r.component_id) for r in got), key=str) == brute(rows)
+
+
+def test_sketches_lose_no_pair_and_forests_span():
+    rng = np.random.default_rng(9)
+    for dim in (3, 12, 64):
+        m = rng.standard_normal((150, dim))
+        m[75:] = m[:75] + rng.standard_normal((75, dim)) * rng.choice([0.001, 0.02, 0.05], (75, 1))
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        reach = (math.sqrt(0.04) + 4 * math.sqrt(M.SKETCH) * M.STEP) ** 2
+        mine = rng.integers(0, 2, 150)
+        hit = m @ m.T >= 0.98
+        np.fill_diagonal(hit, False)
+        assert not (hit.any(1) & ~M.near_mates(mine, M.sketches(m), 0, 0, reach)).any()
+        across = hit & (mine[:, None] != mine[None])
+        assert not (across.any(1) & ~M.near_mates(mine, M.sketches(m), 0, 1, reach)).any()
+        links, edges = M.judge(mine, np.arange(1, 151), m, np.zeros((150, 0), int), 0, 0, 0.98)
+        assert (links == hit @ np.arange(1, 151)).all() and all(hit[a, b] for a, b in edges)
+        up = list(range(150))
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            up[find(a)] = find(b)
+        assert all(find(a) == find(b) for a, b in zip(*np.nonzero(hit))) and len(edges) == 150 - len({find(x) for x in range(150)})
+        links, edges = M.judge(mine, np.arange(1, 151), m, np.zeros((150, 0), int), 0, 1, 0.98)
+        assert (links == across @ np.arange(1, 151)).all() and all(across[a, b] for a, b in edges)
+        seen = rng.integers(0, 3, (150, 2))  # buckets of earlier tables
+        old = (seen[:, None] == seen[None]).any(2)
+        links, _ = M.judge(mine, np.ones(150, int), m, seen, 0, 0, 0.98)
+        assert (links == (hit & ~old).sum(1)).all()
+
+
+def test_one_large_group_over_many_blocks(spark, monkeypatch):
+    """Hundreds of near copies in one label: every pair is counted once, whatever the blocks."""
+    monkeypatch.setattr(M, "BLOCK", 32)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal(16)
+    rows = [(i, [float(np.float32(x)) for x in base + rng.standard_normal(16) * 0.05], 1, "") for i in range(400)]
+    got = M.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.id, r.n_links, r.component_id) for r in got), key=str) == brute(rows)
