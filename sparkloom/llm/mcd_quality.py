@@ -11,8 +11,10 @@ The estimate, for all groups at once and in a fixed number of passes over one na
 Which half is nearest is read off a histogram of distances (buckets of 1/32 in log(1 + d2)), so no group is ever
 sorted or gathered, a hot group is pre-aggregated like any other, and the half is at least half, ties included.
 Statistics are rounded to 1/4096 and summed as integers: every sum is exact, hence independent of the partitioning.
-Most documents share exact values (no symbol, no repeated line), so the scatter is regularised: FLOOR squared is
-added on its diagonal, which also keeps harmless deviations of tiny variance from counting.
+The statistics are the log word length, log(1 + symbols per word), and the shares of repeated lines and words, shrunk
+by LINES and WORDS: in a short text one repeated line is a large share but one event. Most documents share exact values
+(no symbol, no repeated line), so the scatter is regularised: FLOOR squared, about one event in a text of usual length,
+is added on its diagonal. The cutoff is a chi-square quantile.
 
 A group under MIN_GROUP documents joins the pooled small groups of its language, these the pooled rest of all
 languages; what stays under MIN_GROUP is judged by the fixed rules alone.
@@ -32,12 +34,15 @@ from sparkloom.llm.common import stage
 MIN_GROUP = 50
 #: Rounding unit of the transformed statistics.
 UNIT = 4096
-#: Regularisation in transformed units: log word length, log(1 + symbols per word), shares of repeated lines and words.
-FLOOR = (0.08, 0.02, 0.12, 0.10)
+#: Lines and words that every text is taken to have besides its own when shares are formed.
+LINES, WORDS = 5, 100
+#: Regularisation in transformed units: a word length 5 % off, 2 symbols in 100 words, one repeated line in 20, six
+#: repeated words in 50.
+FLOOR = (0.05, 0.02, 0.04, 0.04)
 #: Chi-square quantiles (4 degrees of freedom) at 0.5 and 0.975, and the scatter's consistency factors there.
 HALF_FACTOR, REWEIGHT_D2, REWEIGHT_FACTOR = 2.11, 11.143, 1.106
-#: Squared distance beyond which a document is rejected (chi-square tail 4e-13).
-CUTOFF_D2 = 64.0
+#: Squared distance beyond which a document is rejected: the chi-square quantile at 1 - 1e-6.
+CUTOFF_D2 = 33.377
 STEPS = 3
 #: A group's rows meet its parameters in so many parts.
 SALTS = 16
@@ -79,7 +84,7 @@ def _base_failed() -> str:
 
 def vectors(stats: DataFrame) -> DataFrame:
     """x1 .. x4: the transformed statistics in units of 1/UNIT; null where the text has no word."""
-    tf = ["ln(word_chars / n_words)", "ln(1 + n_symbols / n_words)", "n_dup_lines / greatest(n_lines, 1)", "n_repeat_words / n_words"]
+    tf = ["ln(word_chars / n_words)", "ln(1 + n_symbols / n_words)", f"n_dup_lines / (n_lines + {LINES})", f"n_repeat_words / (n_words + {WORDS})"]
     return stats.withColumn("base_failed", F.expr(_base_failed())).select("*", *[F.expr(f"CAST(IF(n_words = 0, NULL, round({t} * {UNIT})) AS BIGINT)").alias(f"x{i}") for i, t in enumerate(tf, 1)])
 
 
@@ -88,12 +93,12 @@ def _grouped(v: DataFrame, min_group: int) -> DataFrame:
     key = lambda c: f"coalesce(concat(length({c}), ':', {c}), '-')"
     rows = v.withColumn("ls", F.expr(f"concat({key('lang')}, ' ', {key('source')})")).withColumn("l", F.expr(key("lang")))
     per = rows.where("NOT base_failed").groupBy("l", "ls").agg(F.count("*").alias("n"))
-    per = per.withColumn("n_small", F.expr(f"sum(IF(n < {min_group}, n, 0)) OVER (PARTITION BY l)"))
-    per = per.withColumn("g", F.expr(f"CASE WHEN n >= {min_group} THEN concat('source ', ls) WHEN n_small >= {min_group} THEN concat('language ', l) ELSE 'rest' END"))
-    rest = per.where("g = 'rest'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rest"))
-    per = per.join(rest).select(F.col("ls").alias("k"), F.expr(f"IF(g = 'rest' AND n_rest < {min_group}, NULL, g)").alias("g"))
+    small = per.where(F.col("n") < min_group).groupBy("l").agg(F.sum("n").alias("n_small"))
+    per = per.join(small, "l", "left").withColumn("g", F.expr(f"CASE WHEN n >= {min_group} THEN concat('source ', ls) WHEN n_small >= {min_group} THEN concat('language ', l) ELSE 'rest' END"))
     # a row per language and source: staged, so that its size is known before the join with the rows is planned
-    per = stage(per.repartition(1), "quality-keys")
+    per = stage(per.select(F.col("ls").alias("k"), "g", "n"), "quality-keys")
+    n_rest = per.where("g = 'rest'").agg(F.sum("n")).first()[0] or 0
+    per = per.select("k", F.col("g") if n_rest >= min_group else F.expr("nullif(g, 'rest')").alias("g"))
     return rows.join(per, rows.ls == per.k, "left").drop("k", "ls", "l")
 
 
@@ -108,7 +113,7 @@ def _residuals() -> list[str]:
 def _attach(x: DataFrame, params: DataFrame) -> DataFrame:
     """x joined with its group's row or rows of params on (g, salt): a hot group is spread over SALTS tasks.
 
-    params is staged as one file, so that its size is known; small, it's broadcast by that size.
+    params is staged, so that its size is known; small, it's broadcast by that size.
     """
     return x.join(params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"])
 
@@ -157,7 +162,7 @@ def _median_start(x: DataFrame) -> DataFrame:
         h = h.selectExpr("g", "i", "b", "sum(c) OVER (PARTITION BY g, i ORDER BY b) AS upto", "sum(c) OVER (PARTITION BY g, i) AS n")
         return h.where("2 * upto >= n").groupBy("g", "i").agg(F.min("b").alias("b"))
 
-    med = stage(middle(long.selectExpr("g", "i", f"x DIV {step} AS b")).withColumnRenamed("b", "med").groupBy("g").agg(*[F.max(F.expr(f"IF(i = {i - 1}, med, NULL)")).alias(f"b{i}") for i in range(1, DIM + 1)]).repartition(1), "medians")
+    med = stage(middle(long.selectExpr("g", "i", f"x DIV {step} AS b")).withColumnRenamed("b", "med").groupBy("g").agg(*[F.max(F.expr(f"IF(i = {i - 1}, med, NULL)")).alias(f"b{i}") for i in range(1, DIM + 1)]), "medians")
     dev = _attach(x, med).select("g", F.posexplode(F.array(*[F.expr(f"abs(x{i} DIV {step} - b{i})") for i in range(1, DIM + 1)])).alias("i", "b"))
     mad = middle(dev).groupBy("g").agg(*[F.max(F.expr(f"IF(i = {i - 1}, b, NULL)")).alias(f"a{i}") for i in range(1, DIM + 1)])
     both = med.join(mad, "g")
@@ -171,18 +176,18 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     x = rows.where("g IS NOT NULL AND NOT base_failed").select("g", F.expr(f"CAST(pmod(xxhash64(id, word_chars, n_words, {', '.join(xs)}), {SALTS}) AS INT)").alias("salt"), *xs)
     cols = ["g", "start", *_params(), "det"]
     par = _median_start(x).withColumn("start", F.lit(1)).select(*cols).union(_factors(_moments(x, "g"), 1.0, "g").withColumn("start", F.lit(2)).select(*cols))
-    par = stage(par.repartition(1), "mcd")
+    par = stage(par, "mcd")
     for _ in range(steps):
         d = _with_d2(_attach(x, par)).select("g", "salt", "start", *[f"x{i}" for i in range(1, DIM + 1)], F.expr("CAST(floor(32 * ln(1 + d2)) AS INT)").alias("b"))
         h = d.groupBy("g", "start", "b").agg(F.count("*").alias("c"))
         h = h.selectExpr("g", "start", "b", "sum(c) OVER (PARTITION BY g, start ORDER BY b) AS upto", "sum(c) OVER (PARTITION BY g, start) AS n")
-        near = stage(h.where(f"2 * upto >= n + {DIM + 1} OR upto = n").groupBy("g", "start").agg(F.min("b").alias("most")).repartition(1), "mcd-half")
+        near = stage(h.where(f"2 * upto >= n + {DIM + 1} OR upto = n").groupBy("g", "start").agg(F.min("b").alias("most")), "mcd-half")
         near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         half = d.join(near, ["g", "salt", "start"]).where("b <= most")
-        par = stage(_factors(_moments(half, "g", "start"), HALF_FACTOR, "g", "start").select(*cols).repartition(1), "mcd")
+        par = stage(_factors(_moments(half, "g", "start"), HALF_FACTOR, "g", "start").select(*cols), "mcd")
     best = par.selectExpr("*", "row_number() OVER (PARTITION BY g ORDER BY det, start) AS r").where("r = 1").drop("r", "start", "det")
-    inner = _with_d2(_attach(x, stage(best.repartition(1), "mcd"))).where(f"d2 <= {REWEIGHT_D2}")
-    return stage(_factors(_moments(inner, "g"), REWEIGHT_FACTOR, "g").drop("det").repartition(1), "mcd")
+    inner = _with_d2(_attach(x, stage(best, "mcd"))).where(f"d2 <= {REWEIGHT_D2}")
+    return stage(_factors(_moments(inner, "g"), REWEIGHT_FACTOR, "g").drop("det"), "mcd")
 
 
 def judge(docs: DataFrame, cutoff_d2: float = CUTOFF_D2, min_group: int = MIN_GROUP, **cols: str) -> DataFrame:

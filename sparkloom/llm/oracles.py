@@ -12,7 +12,7 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
 def _op9() -> str:
     """Robust covariance per group in plain SQL: the same starts, steps and cutoffs, written as joined CTEs."""
     dims, unit = (1, 2, 3, 4), 4096
-    floor = {1: 0.08, 2: 0.02, 3: 0.12, 4: 0.10}
+    floor = {1: 0.05, 2: 0.02, 3: 0.04, 4: 0.04}
     pairs = [(i, j) for i in dims for j in range(1, i + 1)]
     out: list[tuple[str, str]] = []
 
@@ -56,7 +56,7 @@ def _op9() -> str:
     cte("g2", "SELECT *, sum(CASE WHEN n < 50 THEN n ELSE 0 END) OVER (PARTITION BY l) AS small FROM g1")
     cte("g3", "SELECT ls, n, CASE WHEN n >= 50 THEN 'source ' || ls WHEN small >= 50 THEN 'language ' || l ELSE 'rest' END AS g FROM g2")
     cte("g4", "SELECT ls, CASE WHEN g = 'rest' AND (SELECT sum(n) FROM g3 WHERE g = 'rest') < 50 THEN NULL ELSE g END AS g FROM g3")
-    cte("v", f"SELECT g0.*, g, round(ln(word_chars / n_words) * {unit})::BIGINT AS x1, round(ln(1 + n_symbols / n_words) * {unit})::BIGINT AS x2, round(n_dup_lines / greatest(n_lines, 1) * {unit})::BIGINT AS x3, round(n_repeat_words / n_words * {unit})::BIGINT AS x4 FROM g0 LEFT JOIN g4 ON g0.ls = g4.ls")
+    cte("v", f"SELECT g0.*, g, round(ln(word_chars / n_words) * {unit})::BIGINT AS x1, round(ln(1 + n_symbols / n_words) * {unit})::BIGINT AS x2, round(n_dup_lines / (n_lines + 5) * {unit})::BIGINT AS x3, round(n_repeat_words / (n_words + 100) * {unit})::BIGINT AS x4 FROM g0 LEFT JOIN g4 ON g0.ls = g4.ls")
     cte("x", "SELECT doc_id, g, x1, x2, x3, x4 FROM v WHERE g IS NOT NULL AND NOT base_failed")
     step = unit // 64
     med, mad = [], []
@@ -80,7 +80,7 @@ def _op9() -> str:
     best = cte("best", f"SELECT * EXCLUDE (start, det) FROM {par} QUALIFY row_number() OVER (PARTITION BY g ORDER BY det, start) = 1")
     inner = cte("inn", f"SELECT g, x1, x2, x3, x4 FROM {distances('ee', best)} WHERE d2 <= 11.143")
     last = cte("fin", f"SELECT * EXCLUDE (det) FROM {moments('ff', inner, 'g', 1.106)}")
-    verdict = cte("verdict", f"SELECT doc_id, d2 <= 64.0 AS fine FROM {distances('zz', last)}")
+    verdict = cte("verdict", f"SELECT doc_id, d2 <= 33.377 AS fine FROM {distances('zz', last)}")
     body = ",\n".join(f"{n} AS MATERIALIZED ({q})" for n, q in out)
     return f"WITH {body}\nSELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fine, TRUE) AS kept FROM b LEFT JOIN {verdict} ON b.doc_id = verdict.doc_id"
 
