@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.profile import local_outlier_factor, numeric_columns
+from sparkloom.plans.ordering import quantiles
+from sparkloom.plans.staging import stage
 
 SAMPLE, DEPTH, TREES = 256, 8, 100
 #: Copies of one vector that are numbered at once when the sample is drawn.
@@ -147,7 +149,8 @@ def detect(df: DataFrame, columns: Sequence[str] | None = None, algorithm: str =
         s = df.join(st).withColumn("score", far / (far + 3)).drop(*[f"__{a}_{c}" for a in "ms" for c in columns])
     else:
         raise ValueError(f"unknown detector {algorithm}")
-    cut = s.agg(F.percentile("score", 1 - contamination).alias("__cut"))
+    s = stage(s, "scores")
+    cut = quantiles(s, "score", {"__cut": 1 - contamination})
     return s.join(cut).withColumn("anomaly", F.col("score") > F.col("__cut")).drop("__cut")
 
 
@@ -161,5 +164,5 @@ def ensemble(df: DataFrame, key: str, columns: Sequence[str], algorithms: Sequen
     votes = sum((F.col(f"a_{a}").cast("int") for a in algorithms), F.lit(0))
     if how == "vote":
         return out.select(key, score.alias("score"), (votes * 2 > len(algorithms)).alias("anomaly"))
-    s = out.select(key, score.alias("score"))
-    return s.join(s.agg(F.percentile("score", 1 - contamination).alias("__c"))).select(key, "score", (F.col("score") > F.col("__c")).alias("anomaly"))
+    s = stage(out.select(key, score.alias("score")), "scores")
+    return s.join(quantiles(s, "score", {"__c": 1 - contamination})).select(key, "score", (F.col("score") > F.col("__c")).alias("anomaly"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.plans.ordering import matched, quantiles
+
 REGIMES = ("strong bull", "bull", "weak bull", "volatile", "sideways", "quiet", "weak bear", "bear", "strong bear")
 
 
@@ -78,11 +80,11 @@ def risk(df: DataFrame, time: str, x: str, keys: Sequence[str] = (), year: int =
     g = d.groupBy(*keys).agg(
         F.count("ret").alias("n"), ((F.max_by(x, time) - first) / F.nullif(first, F.lit(0.0))).alias("total_return"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("sd"),
         F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), 2))).alias("down"), F.max("drawdown").alias("max_drawdown"), (F.count_if(r > 0) / F.greatest(F.count(r), F.lit(1))).alias("win_rate"),
-        (F.sum(F.greatest(r, F.lit(0.0))) / F.nullif(F.sum(F.greatest(-r, F.lit(0.0))), F.lit(0.0))).alias("profit_factor"), F.percentile(r, 0.05).alias("q5"),
+        (F.sum(F.greatest(r, F.lit(0.0))) / F.nullif(F.sum(F.greatest(-r, F.lit(0.0))), F.lit(0.0))).alias("profit_factor"),
     )
-    tail = d.join(g.select(*keys, "q5"), list(keys)) if keys else d.join(g.select("q5"))
-    tail = tail.where(r <= F.col("q5")).groupBy(*keys).agg(F.avg(r).alias("es"))
-    g = g.join(tail, list(keys), "left") if keys else g.join(tail)
+    g = matched(g, quantiles(d, "ret", {"q5": 0.05}, keys), keys, "left")
+    tail = matched(d, g.select(*keys, "q5"), keys).where(r <= F.col("q5")).groupBy(*keys).agg(F.avg(r).alias("es"))
+    g = matched(g, tail, keys, "left")
     safe = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
     return g.select(
         *keys, "n", "total_return", (F.col("sd") * root).alias("volatility"), safe(F.col("mean") * root, F.col("sd")).alias("sharpe"), safe(F.col("mean") * root, F.col("down")).alias("sortino"),

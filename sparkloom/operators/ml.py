@@ -221,7 +221,11 @@ def scale(df: DataFrame, columns: Sequence[str], kind: str = "standard") -> Data
     elif kind == "minmax":
         s = df.agg(*[F.min(c).alias(f"m_{c}") for c in columns], *[(F.max(c) - F.min(c)).alias(f"s_{c}") for c in columns])
     elif kind == "robust":
-        s = df.agg(*[F.median(c).alias(f"m_{c}") for c in columns], *[(F.percentile(c, 0.75) - F.percentile(c, 0.25)).alias(f"s_{c}") for c in columns])
+        from sparkloom.operators.profile import counted, quantiles
+
+        found = {r.column: r for r in quantiles(counted(df, list(columns)), {"low": 0.25, "mid": 0.5, "high": 0.75}).collect()}  # a row a column
+        middle = {c: (found[c].mid, found[c].high - found[c].low) if c in found else (0.0, 0.0) for c in columns}
+        s = df.sparkSession.range(1).select(*[F.lit(float(v)).alias(f"{n}_{c}") for c, ms in middle.items() for n, v in zip("ms", ms)])
     else:
         raise ValueError(f"unknown scaling {kind}")
     return df.join(s).select(*[F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}").cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])

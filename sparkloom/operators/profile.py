@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from sparkloom.functions.aggregates import corr
 from sparkloom.operators.stats import descriptive as D
 from sparkloom.operators.stats.information import binned
+from sparkloom.plans import ordering
 from sparkloom.plans.blocks import pair_blocks
 from sparkloom.plans.ordering import average_ranks
 from sparkloom.plans.staging import stage
@@ -71,8 +72,7 @@ def counted(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def quantiles(values: DataFrame, ps: dict[str, float]) -> DataFrame:
     """column and one exact quantile per name, from distinct values weighted by their counts."""
-    q = values.groupBy("column").agg(F.percentile("v", F.array(*[F.lit(p) for p in ps.values()]), F.col("n")).alias("q"))
-    return q.select("column", *[F.col("q")[i].alias(k) for i, k in enumerate(ps)])
+    return ordering.quantiles(values, "v", ps, ("column",), "n")
 
 
 def summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -222,7 +222,7 @@ def outliers(df: DataFrame, key: str, columns: list[str], contamination: float =
     ends = s.agg(*[f(c).alias(f"{n}_{c}") for c in ("maha", "near", "lof") for f, n in ((F.min, "lo"), (F.max, "hi"))])
     unit = lambda c: F.coalesce((F.col(c) - F.col(f"lo_{c}")) / F.nullif(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(0.0)), F.lit(0.0))
     s = s.join(ends).select(key, (0.4 * unit("maha") + 0.3 * unit("near") + 0.3 * unit("lof")).alias("score"))
-    cut = s.agg(F.percentile("score", 1 - contamination).alias("cut"))
+    cut = ordering.quantiles(stage(s, "scores"), "score", {"cut": 1 - contamination})
     return s.join(cut).select(key, "score", (F.col("score") > F.col("cut")).alias("outlier"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.market import REGIMES
 from sparkloom.operators.tsprep import interval_seconds
+from sparkloom.plans.ordering import matched, quantiles
 
 OMEGA, ALPHA, BETA = 1e-6, 0.1, 0.85
 SCENARIOS = {"BASE": (0.0, 1.0), "BULL": (0.0005, 0.9), "BEAR": (-0.0005, 1.2), "CRASH": (-0.004, 3.0), "RALLY": (0.003, 1.5), "VOLATILE": (0.0, 2.0), "SIDEWAYS": (0.0, 0.6)}
@@ -71,4 +72,4 @@ def simulate(spark: SparkSession, start: dict, steps: int, paths: int, interval:
 
 def outcomes(sim: DataFrame) -> DataFrame:
     """Per step: mean price and the 5, 50 and 95 % quantiles over the paths."""
-    return sim.groupBy("step").agg(F.avg("price").alias("mean"), F.percentile("price", 0.05).alias("p5"), F.percentile("price", 0.5).alias("p50"), F.percentile("price", 0.95).alias("p95"))
+    return matched(sim.groupBy("step").agg(F.avg("price").alias("mean")), quantiles(sim, "price", {"p5": 0.05, "p50": 0.5, "p95": 0.95}, ("step",)), ("step",), "left")

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.plans.ordering import cumulative, value_counts
+from sparkloom.plans import ordering
+from sparkloom.plans.ordering import cumulative, matched, value_counts
 
 
 def mean(x: Column) -> Column:
     return F.coalesce(F.avg(x), F.lit(0.0))
 
 
-def median(x: Column) -> Column:
-    return F.median(x)
+def quantiles(df: DataFrame, x: str, ps: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys and q, an array: linear interpolation at p * (n - 1)."""
+    named = {f"q{i}": p for i, p in enumerate(ps)}
+    return ordering.quantiles(df, x, named, keys).select(*keys, F.array(*named).alias("q"))
 
 
-def quantiles(x: Column, ps: tuple[float, ...]) -> Column:
-    """Linear interpolation at p * (n - 1)."""
-    return F.percentile(x, F.array(*[F.lit(p) for p in ps]))
+def median(df: DataFrame, x: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    return ordering.quantiles(df, x, {"median": 0.5}, keys)
 
 
 def variance(x: Column, sample: bool = True) -> Column:
@@ -34,8 +36,8 @@ def value_range(x: Column) -> Column:
     return F.max(x) - F.min(x)
 
 
-def iqr(x: Column) -> Column:
-    return F.percentile(x, 0.75) - F.percentile(x, 0.25)
+def iqr(df: DataFrame, x: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    return ordering.quantiles(df, x, {"a": 0.25, "b": 0.75}, keys).select(*keys, (F.col("b") - F.col("a")).alias("iqr"))
 
 
 def coefficient_of_variation(x: Column) -> Column:
@@ -75,9 +77,9 @@ def standardized_moment(df: DataFrame, x: str, k: int, keys: tuple[str, ...] = (
 
 def mad(df: DataFrame, x: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Median of absolute deviations from the median."""
-    m = df.groupBy(*keys).agg(F.median(x).alias("__m"))
-    both = df.join(m, list(keys)) if keys else df.join(m)
-    return both.groupBy(*keys).agg(F.median(F.abs(F.col(x) - F.col("__m"))).alias("mad"))
+    m = ordering.quantiles(df, x, {"__m": 0.5}, keys)
+    off = matched(df.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("__x")), m, keys)
+    return ordering.quantiles(off.withColumn("__d", F.abs(F.col("__x") - F.col("__m"))), "__d", {"mad": 0.5}, keys)
 
 
 def modes(df: DataFrame, x: str) -> DataFrame:
@@ -120,6 +122,8 @@ def l_moments(df: DataFrame, x: str) -> DataFrame:
 
 
 def summary(df: DataFrame, x: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Count to quartiles in one aggregation."""
+    """Count to quartiles: moments in one aggregation, quartiles by places."""
     c = F.col(x)
-    return df.groupBy(*keys).agg(F.count(c).alias("n"), mean(c).alias("mean"), median(c).alias("median"), variance(c).alias("variance"), stddev(c).alias("stddev"), value_range(c).alias("range"), iqr(c).alias("iqr"), coefficient_of_variation(c).alias("cv"), skewness(c).alias("skewness"), kurtosis(c).alias("kurtosis"))
+    base = df.groupBy(*keys).agg(F.count(c).alias("n"), mean(c).alias("mean"), variance(c).alias("variance"), stddev(c).alias("stddev"), value_range(c).alias("range"), coefficient_of_variation(c).alias("cv"), skewness(c).alias("skewness"), kurtosis(c).alias("kurtosis"))
+    q = ordering.quantiles(df, x, {"a": 0.25, "median": 0.5, "b": 0.75}, keys)
+    return matched(base, q, keys, "left").select(*keys, "n", "mean", "median", "variance", "stddev", "range", (F.col("b") - F.col("a")).alias("iqr"), "cv", "skewness", "kurtosis")

@@ -43,7 +43,7 @@ def _(t):
 
 @query("stat_quantiles", "SELECT l_returnflag, [round(quantile_cont(l_extendedprice, 0.1), 4), round(quantile_cont(l_extendedprice, 0.9), 4)] AS q FROM lineitem GROUP BY 1")
 def _(t):
-    return t.lineitem.groupBy("l_returnflag").agg(F.transform(D.quantiles(c("l_extendedprice"), (0.1, 0.9)), lambda v: F.round(v, 4)).alias("q"))
+    return D.quantiles(t.lineitem, "l_extendedprice", (0.1, 0.9), ("l_returnflag",)).select("l_returnflag", F.transform("q", lambda v: F.round(v, 4)).alias("q"))
 
 
 @query("stat_trimmed_mean", "WITH r AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT round(avg(x), 4) AS trimmed_mean FROM r WHERE i >= floor(0.1 * n) AND i < n - floor(0.1 * n)")
