@@ -202,15 +202,36 @@ class Reader:
                 yield id_of(k), v
 
 
-#: Text is cut at spaces and newlines, which normalizer and pattern of the vocabulary drop, and in Latin-1 texts also
-#: behind a word's letters unless an apostrophe follows: there the pattern always cuts.
-_CHUNK = re.compile(r"[^ \n]+")
-_LATIN_CHUNK = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+(?=[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff'])|[^ \n]+")
+#: Text is cut at spaces and newlines, which normalizer and pattern of the vocabulary drop. A chunk is cut again behind
+#: its first letters (small, Latin-1) where a Latin-1 character follows that is neither a letter nor an apostrophe: there
+#: the pattern always cuts, and nothing composes.
 _LATIN_WORD = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
-CACHE_CHUNKS = 300_000
+_LATIN_PARTS = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([\x00-\x26\x28-\x40\x5b-\x60\x7b-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf].*)", re.S).fullmatch
+CACHE_CHUNKS = 500_000
 CACHE_CHARS = 64
 
 
+class Known(dict):
+    """Chunk to ids. What isn't known is looked for in the older generation, else noted to be encoded: then a list stands
+    for it until `settle` puts the ids in."""
+
+    def __init__(self, older: dict):
+        super().__init__()
+        self.older, self.new, self.parts = older, {}, []
+
+    def __missing__(self, chunk: str) -> bytes | list:
+        found = self.older.get(chunk)
+        if found is None:
+            found = []
+            m = _LATIN_PARTS(chunk)
+            if m:
+                self.parts.append((chunk, found, self[m[1]], self[m[2]]))
+            else:
+                self.new[chunk] = found
+        self[chunk] = found
+        return found
+
+
 class ChunkEncoder:
     """Whole-text encoding with the tokenizers library, one call for the chunks that a worker hasn't met.
 
@@ -226,8 +247,7 @@ class ChunkEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.dtype, self.code = dtype, {"<u2": "H", "<u4": "I"}[dtype]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = Known({})
         kind = json.loads(Path(path).read_text())
         suffix = kind["model"].get("end_of_word_suffix")
         vocab = self.lib.get_vocab(with_added_tokens=True)
@@ -254,7 +274,7 @@ class ChunkEncoder:
             if part in self.added:
                 out.append(part)
             else:  # in lower case other letters could spell an added token
-                out += _CHUNK.findall(part) if self._spells(part) else self._plain(part)
+                out += self._chunks(part) if self._spells(part) else self._plain(part)
         return out
 
     def _spells(self, text: str) -> bool:
@@ -263,49 +283,67 @@ class ChunkEncoder:
         return any(x in low for x in self.added_lower)
 
     @staticmethod
-    def _plain(text: str) -> list[str]:
+    def _chunks(text: str) -> list[str]:
+        """Runs without space and newline; empty ones between two of those stand for no ids."""
+        return text.replace("\n", " ").split(" ")
+
+    @classmethod
+    def _plain(cls, text: str) -> list[str]:
         if text.isascii():
-            return _LATIN_CHUNK.findall(text.lower())
+            return cls._chunks(text.lower())
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return _CHUNK.findall(text)
-        return _LATIN_CHUNK.findall(text.lower())
+            return cls._chunks(text)
+        return cls._chunks(text.lower())
 
-    def _joined(self, words: list[str], into: dict[str, bytes]) -> None:
-        """Encode words of letters in one call, as a text of them, and cut its ids where a token ends a word."""
+    def _joined(self, words: list[str]) -> list[bytes] | None:
+        """The ids of words of letters by one call, as a text of them, cut where a token ends a word."""
         ids = np.array(self.lib.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(words) or ends[-1] != len(ids):
-            return  # what isn't one token sequence a word is left to be encoded by itself
-        data, size, at = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize, 0
-        for w, end in zip(words, (ends * size).tolist()):
-            into[w] = data[at:end]
-            at = end
+            return None  # what isn't one token sequence a word is left to be encoded by itself
+        data, size = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+        ends = (ends * size).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def settle(self) -> None:
+        """Encode what was new; the lists that stood for it get their ids."""
+        known = self.known
+        words = [c for c in known.new if _LATIN_WORD(c)]
+        rest = [c for c in known.new if not _LATIN_WORD(c)]
+        for lo in range(0, len(words), 512):
+            part = words[lo : lo + 512]
+            got = self._joined(part)
+            if got is None:
+                rest += part
+                continue
+            for c, v in zip(part, got, strict=True):
+                known.new[c].append(v)
+                known[c] = v
+        for c, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            v = array(self.code, e.ids).tobytes()
+            known.new[c].append(v)
+            known[c] = v
+        bytes_of = lambda x: x if type(x) is bytes else x[0]
+        for chunk, stand, a, b in known.parts:
+            v = bytes_of(a) + bytes_of(b)
+            stand.append(v)
+            known[chunk] = v
+        for c in [c for c in known.new if len(c) > CACHE_CHARS] + [p[0] for p in known.parts if len(p[0]) > CACHE_CHARS]:
+            known.pop(c, None)
+        known.new, known.parts = {}, []
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        young, old, code = self.young, self.old, self.code
-        missing = set().union(*cut).difference(young)
-        if missing:
-            now = {c: old[c] for c in missing if c in old}
-            new = [c for c in missing if c not in now]
-            words = [c for c in new if _LATIN_WORD(c)]
-            for lo in range(0, len(words), 512):
-                part = words[lo : lo + 512]
-                self._joined(part, now)
-            rest = [c for c in new if c not in now]
-            for c, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                now[c] = array(code, e.ids).tobytes()
-            if len(young) + len(now) > CACHE_CHUNKS:
-                # what these texts need stays at hand; the rest moves to the older generation
-                keep = {c: young[c] for x in cut for c in x if c in young}
-                self.old, self.young = young, keep
-                young = keep
-            young.update(now)
-        out = [b"".join(map(young.__getitem__, x)) for x in cut]
-        for c in [c for c in missing if len(c) > CACHE_CHARS]:
-            young.pop(c, None)
+        known = self.known
+        found = [list(map(known.__getitem__, self.cut(t))) for t in texts]
+        fresh = bool(known.new or known.parts)
+        if fresh:
+            self.settle()
+        out = [b"".join([x if type(x) is bytes else x[0] for x in f]) if fresh else b"".join(f) for f in found]
+        if len(known) > CACHE_CHUNKS:  # the rest of what is needed comes back from the older generation
+            known.older = {}
+            self.known = Known(dict(known))
         return out
 
 
