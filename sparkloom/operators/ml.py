@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, MinMaxScaler, RobustScaler, StandardScaler, StringIndexer, VectorAssembler
@@ -20,10 +20,10 @@ from pyspark.sql import types as T
 REGRESSION = {
     "REGRESSION": lambda **k: GBTRegressor(lossType="squared", **k),
     "REGRESSION_L1": lambda **k: GBTRegressor(lossType="absolute", **k),
-    "MAPE": lambda **k: GBTRegressor(lossType="absolute", **k),
+    "MAPE": lambda **k: Reweighted("mape", **_reweighted(k)),
     "HUBER": lambda **k: LinearRegression(loss="huber", **_no_trees(k)),
-    "FAIR": lambda **k: LinearRegression(loss="huber", **_no_trees(k)),
-    "QUANTILE": lambda **k: GBTRegressor(lossType="absolute", **k),
+    "FAIR": lambda **k: Reweighted("fair", **_reweighted(k)),
+    "QUANTILE": lambda **k: Reweighted("quantile", **_reweighted(k)),
     "POISSON": lambda **k: GeneralizedLinearRegression(family="poisson", **_no_trees(k)),
     "GAMMA": lambda **k: GeneralizedLinearRegression(family="gamma", link="log", **_no_trees(k)),
     "TWEEDIE": lambda **k: GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, **_no_trees(k)),
@@ -39,8 +39,45 @@ CLASSIFICATION = {
 }
 
 
+class Reweighted(Estimator):
+    """A linear model of a loss that Spark has none for, by iteratively reweighted least squares.
+
+    quantile: tau * r above the fit, (1 - tau) * -r below; mape: |r| / |y|; fair: c^2 (|r| / c - log(1 + |r| / c)).
+    Every step is one weighted regression over all rows; the fitted stage is Spark's own linear model.
+    """
+
+    def __init__(self, loss: str, labelCol: str, featuresCol: str, maxIter: int = 20, alpha: float = 0.9):
+        super().__init__()
+        self.loss, self.label, self.features, self.steps, self.alpha = loss, labelCol, featuresCol, maxIter, alpha
+
+    def _fit(self, dataset: DataFrame):
+        y, spread = F.col(self.label), dataset.agg(F.stddev_pop(self.label)).first()[0] or 1.0
+        small = F.lit(1e-6 * spread)
+        plain = {"labelCol": self.label, "featuresCol": self.features, "solver": "normal"}
+        model = LinearRegression(**plain).fit(dataset)
+        for _ in range(self.steps):
+            r = y - F.col("__fit")
+            if self.loss == "quantile":
+                weight = F.when(r >= 0, self.alpha).otherwise(1 - self.alpha) / F.greatest(F.abs(r), small)
+            elif self.loss == "mape":
+                weight = 1 / (F.greatest(F.abs(r), small) * F.greatest(F.abs(y), F.lit(1e-10)))
+            else:
+                weight = 1 / (1 + F.abs(r) / spread)
+            scored = model.setPredictionCol("__fit").transform(dataset).withColumn("__weight", weight)
+            step = LinearRegression(weightCol="__weight", **plain).fit(scored)
+            moved = max([abs(a - b) for a, b in zip(step.coefficients, model.coefficients)] + [abs(step.intercept - model.intercept)])
+            model = step
+            if moved <= 1e-9 * spread:
+                break
+        return model.setPredictionCol("prediction")
+
+
+def _reweighted(k: dict) -> dict:
+    return {a: b for a, b in k.items() if a in ("labelCol", "featuresCol", "maxIter", "alpha")}
+
+
 def _no_trees(k: dict) -> dict:
-    return {a: b for a, b in k.items() if a not in ("maxDepth", "seed", "stepSize")}
+    return {a: b for a, b in k.items() if a not in ("maxDepth", "seed", "stepSize", "alpha")}
 
 
 def _no_iter(k: dict) -> dict:
@@ -100,7 +137,7 @@ def _numeric(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.select("*", *[]) if not any(isinstance(df.schema[f].dataType, T.BooleanType | T.LongType | T.IntegerType | T.DecimalType) for f in features) else df.withColumns({f: F.col(f).cast("double") for f in features if not isinstance(df.schema[f].dataType, T.StringType)})
 
 
-def train(df: DataFrame, name: str, features: Sequence[str], target: str | None, algorithm: str = "LIGHTGBM", iterations: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 1, test_share: float = 0.2, where: Column | None = None, clusters: int = 4) -> Model:
+def train(df: DataFrame, name: str, features: Sequence[str], target: str | None, algorithm: str = "LIGHTGBM", iterations: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 1, test_share: float = 0.2, where: Column | None = None, clusters: int = 4, alpha: float = 0.9) -> Model:
     """Fit a pipeline and measure it on a held-out share; binary iff all labels are 0 or 1."""
     algorithm = algorithm.upper()
     check_options(algorithm, features, target, 1 - test_share, iterations)
@@ -133,6 +170,8 @@ def train(df: DataFrame, name: str, features: Sequence[str], target: str | None,
         make = CLASSIFICATION["MULTICLASS" if algorithm in ("LIGHTGBM", "BINARY") else algorithm]
     if make in (CLASSIFICATION["BINARY"], REGRESSION["REGRESSION"], CLASSIFICATION["LIGHTGBM"]):
         common["stepSize"] = rate
+    if algorithm == "QUANTILE":
+        common["alpha"] = alpha
     fit, held = d.randomSplit([1 - test_share, test_share], seed=seed)
     pipeline = Pipeline(stages=[*stages, make(**common)]).fit(fit)
     model = Model(Card(name, algorithm, kind, list(features), target, labels), pipeline)

@@ -97,8 +97,8 @@ def heatmap(df: DataFrame, row: str, column: str, value: str | None = None) -> D
 
 
 def boxplot(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
-    """column, whisker ends, quartiles, median, number of outliers; ten numeric columns by default."""
-    columns = list(columns or numeric_columns(df)[:10])
+    """column, whisker ends, quartiles, median, number of outliers; all numeric columns by default."""
+    columns = list(columns or numeric_columns(df))
     values = counted(df, columns)
     r = k * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(F.col("q1") - r, F.col("q3") + r)
@@ -170,8 +170,8 @@ def rescale(df: DataFrame, x: str, kind: str) -> DataFrame:
 
 
 def dashboard(df: DataFrame) -> dict[str, DataFrame]:
-    """Named frames for the first numeric columns: histogram, box plot, correlation."""
-    cols = numeric_columns(df)[:4]
+    """Named frames for all numeric columns: histogram, box plot, correlation."""
+    cols = numeric_columns(df)
     out = {f"histogram_{c}": histogram(df, c) for c in cols}
     if cols:
         out["boxplot"] = boxplot(df, cols)

@@ -18,15 +18,16 @@ from sparkloom.functions.aggregates import corr
 from sparkloom.operators.stats import descriptive as D
 from sparkloom.operators.stats.information import binned
 from sparkloom.plans import ordering
-from sparkloom.plans.blocks import pair_blocks
 from sparkloom.plans.ordering import average_ranks
 from sparkloom.plans.staging import stage
 
+TYPES = ("SUMMARY", "COMPREHENSIVE", "CORRELATION", "IMPORTANCE", "CLUSTERING", "OUTLIER", "DISTRIBUTION", "TIMESERIES", "QUALITY")
+# --- fixed values of the quality report: patterns, weights of the six scores, scores without a measurement, limits ---
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 URL = r"^(https?|ftp)://[^\s/$.?#].[^\s]*$"
-TYPES = ("SUMMARY", "CORRELATION", "IMPORTANCE", "CLUSTERING", "OUTLIER", "DISTRIBUTION", "TIMESERIES", "QUALITY")
-#: Weights of completeness, consistency, accuracy, uniqueness, validity and timeliness in the quality score.
-WEIGHTS = (0.2, 0.15, 0.15, 0.1, 0.2, 0.2)
+WEIGHTS = {"completeness": 0.2, "consistency": 0.15, "accuracy": 0.15, "timeliness": 0.1, "validity": 0.2, "uniqueness": 0.2}
+ACCURACY, TIMELINESS = 0.9, 0.9
+EXTREME, LONG_TEXT, OLDEST = 1e6, 1000, 150
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -134,24 +135,54 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return out.select(parts[0].alias("a"), parts[1].alias("b"), "n", "pearson", "spearman", "slope", "intercept", strength(p).alias("strength"), kind.alias("relation"))
 
 
+#: A feature with so many values at most counts as categorical.
+FEW = 10
+
+
+def scores(df: DataFrame, target: str, features: list[str], bins: int = 20) -> DataFrame:
+    """Per feature |pearson|, |spearman|, mutual information, |slope|, and where it has FEW values at most chi-square
+    against the target's five parts of equal frequency and one-way F."""
+    from sparkloom.operators.stats.tests import anova, chi_square
+
+    d = stage(df.select(target, *features).na.drop(), "importance")
+    n = d.count()
+    y = F.col(target).cast("double")
+    parts = max(2, min(5, n // 10))
+    cuts = ordering.at_places(d, target, {f"c{b}": b * n // parts for b in range(1, parts)}).first()
+    part = F.lit(0)
+    for b in range(1, parts):
+        part = F.when(y > F.lit(cuts[f"c{b}"]), b).otherwise(part)
+    d = d.withColumn("__part", part)
+    ranked = average_ranks(d, target, "__ry")
+    j = binned(d, target, bins, "__j")
+    out = None
+    for f in features:
+        x = F.col(f).cast("double")
+        line = d.agg(F.abs(corr(x, y)).alias("pearson"), F.abs(F.coalesce(F.covar_pop(x, y) / F.nullif(F.var_pop(x), F.lit(0.0)), F.lit(0.0))).alias("slope"), F.countDistinct(f).alias("values"))
+        rank = average_ranks(ranked, f, "__rx").agg(F.abs(corr(F.col("__rx"), F.col("__ry"))).alias("spearman"))
+        c = binned(j, f, bins, "__i").groupBy("__i", "__j").agg(F.count("*").alias("c"))
+        all_, ci, cj = (F.sum("c").over(w) for w in (Window.partitionBy(), Window.partitionBy("__i"), Window.partitionBy("__j")))
+        mi = c.select((F.col("c") / all_).alias("p"), (ci / all_).alias("a"), (cj / all_).alias("b")).agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("a") * F.col("b")))).alias("mutual_information"))
+        one = line.join(rank).join(mi)
+        if 1 < (line.first()["values"] or 0) <= FEW:
+            one = one.join(chi_square(d, f, "__part").select(F.col("statistic").alias("chi_square"))).join(anova(d, target, f).select(F.col("statistic").alias("anova_f")))
+        else:
+            one = one.withColumn("chi_square", F.lit(None).cast("double")).withColumn("anova_f", F.lit(None).cast("double"))
+        one = one.select(F.lit(f).alias("column"), "values", "pearson", "spearman", "mutual_information", "slope", "chi_square", "anova_f")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def importance(df: DataFrame, target: str, features: list[str] | None = None, bins: int = 20) -> DataFrame:
-    """Per feature |pearson|, mutual information and a boosted-tree importance, highest tree importance first."""
+    """The scores of each feature and a boosted-tree importance, highest tree importance first."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     features = features or [c for c in numeric_columns(df) if c != target]
     d = df.select(target, *features).na.drop()
-    r = _long(d, {f: {"pearson": F.abs(corr(F.col(f), F.col(target)))} for f in features}, {"pearson": "double"})
-    mi = None
-    y = binned(d, target, bins, "__j")
-    for f in features:
-        c = binned(y, f, bins, "__i").groupBy("__i", "__j").agg(F.count("*").alias("c"))
-        n, ci, cj = (F.sum("c").over(w) for w in (Window.partitionBy(), Window.partitionBy("__i"), Window.partitionBy("__j")))
-        one = c.select((F.col("c") / n).alias("p"), (ci / n).alias("a"), (cj / n).alias("b")).agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("a") * F.col("b")))).alias("mutual_information")).select(F.lit(f).alias("column"), "mutual_information")
-        mi = one if mi is None else mi.union(one)
     model = GBTRegressor(labelCol=target, featuresCol="__f", maxIter=10, maxDepth=4, seed=1).fit(VectorAssembler(inputCols=features, outputCol="__f").transform(d))
     tree = df.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, model.featureImportances.toArray())], "column string, tree double")
-    return r.join(mi, "column").join(tree, "column").orderBy(F.desc("tree"), "column")
+    return scores(df, target, features, bins).join(tree, "column").orderBy(F.desc("tree"), "column")
 
 
 def clusters(df: DataFrame, columns: list[str], k: int | None = None, most: int = 10, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -167,7 +198,10 @@ def clusters(df: DataFrame, columns: list[str], k: int | None = None, most: int
     fits = lambda n: KMeans(k=n, seed=seed, featuresCol="__x", predictionCol="cluster", maxIter=100).fit(x)
     if k is None:
         x = x.persist()
-        cost = [fits(n).summary.trainingCost for n in range(2, most + 1)]
+        try:
+            cost = [fits(n).summary.trainingCost for n in range(2, most + 1)]
+        finally:
+            x.unpersist()
         bend = [cost[i - 1] - 2 * cost[i] + cost[i + 1] for i in range(1, len(cost) - 1)]
         k = 3 + int(np.argmax(bend)) if bend else 2
     m = fits(k)
@@ -177,27 +211,53 @@ def clusters(df: DataFrame, columns: list[str], k: int | None = None, most: int
     return out.drop("__raw", "__x"), profile
 
 
-def nearest(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
-    """key, neighbours array<struct<d, id>>: the k nearest other rows, by blocks; each block pair keeps k a row."""
-
-    def top(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        def one(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-            x, y = p[columns].to_numpy(float), q[columns].to_numpy(float)
-            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-            if same:
-                np.fill_diagonal(d, np.inf)
-            m = min(k, d.shape[1])
-            at = np.argsort(d, axis=1, kind="stable")[:, :m]
-            ids = q[key].to_numpy()
-            r = np.repeat(np.arange(len(p)), m)
-            out = pd.DataFrame({key: p[key].to_numpy()[r], "d": d[r, at.ravel()], "id": ids[at.ravel()]})
-            return out[np.isfinite(out.d)]
-
-        return one(a, b) if same else pd.concat([one(a, b), one(b, a)])
-
-    kind = df.schema[key].dataType.simpleString()
-    part = pair_blocks(df.select(key, *columns), top, f"{key} {kind}, d double, id {kind}", key)
-    return part.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, k).alias("neighbours"))
+def _closest(p: pd.DataFrame, q: pd.DataFrame, key: str, columns: list[str], k: int, same: bool) -> pd.DataFrame:
+    """key, d, id: the k rows of q nearest to each row of p, by distance, then by id."""
+    q = q.sort_values(key, kind="stable")
+    square = np.zeros((len(p), len(q)))
+    for c in columns:
+        square += np.subtract.outer(p[c].to_numpy(float), q[c].to_numpy(float)) ** 2
+    if same:
+        square[p[key].to_numpy()[:, None] == q[key].to_numpy()[None]] = np.inf
+    m = min(k, len(q))
+    at = np.argsort(square, axis=1, kind="stable")[:, :m]
+    r = np.repeat(np.arange(len(p)), m)
+    out = pd.DataFrame({key: p[key].to_numpy()[r], "d": np.sqrt(square[r, at.ravel()]), "id": q[key].to_numpy()[at.ravel()]})
+    return out[np.isfinite(out["d"])]
+
+
+def nearest(df: DataFrame, key: str, columns: list[str], k: int, size: int = 2048) -> DataFrame:
+    """key, neighbours array<struct<d, id>>: the k nearest other rows, exactly.
+
+    Rows are cut into blocks along the column that varies most. A row's k nearest in its own block bound how far away
+    the others can be, so it visits only blocks whose stretch of that column comes as near; k a row leave each block.
+    Rows with a NULL in a column are left out; keys are unique.
+    """
+    spark = df.sparkSession
+    d = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).na.drop(subset=columns)
+    spread = d.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
+    lead = max(columns, key=lambda c: spread[c] or 0.0)
+    d = stage(ordering.running(d, [lead, key]).withColumn("__b", F.floor(F.col("before") / size)).drop("before", "total"), "blocks")
+    kind = d.schema[key].dataType.simpleString()
+    own = stage(d.groupBy("__b").applyInPandas(lambda g: _closest(g, g, key, columns, k, True).assign(b=g["__b"].iloc[0])[["b", key, "d", "id"]], f"b long, {key} {kind}, d double, id {kind}"), "own-block")
+    full = F.when(F.count("*") < k, F.lit(float("inf"))).otherwise(F.max("d"))
+    reach = own.groupBy(key).agg(full.alias("__r")).withColumnRenamed(key, "__k")
+    d = stage(d.join(reach, F.col(key) == F.col("__k"), "left").withColumn("__r", F.coalesce("__r", F.lit(float("inf")))).drop("__k"), "reach")
+    ends = d.groupBy("__b").agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"), F.max("__r").alias("r")).orderBy("__b").toPandas()  # a row per block
+    found = own.drop("b")
+    if len(ends) > 1:
+        blocks, lo, hi, r = (ends[c].to_numpy() for c in ("__b", "lo", "hi", "r"))
+        first, last = np.searchsorted(hi, lo - r, "left"), np.searchsorted(lo, hi + r, "right") - 1
+        spans = spark.createDataFrame(pd.DataFrame({"__b1": blocks, "first": first, "last": last}))
+        table = spark.createDataFrame(pd.DataFrame({"__o": blocks, "place": np.arange(len(blocks)), "__lo": lo, "__hi": hi}))
+        pairs = stage(spans.select("__b1", F.explode(F.sequence("first", "last")).alias("at")).join(table, F.col("at") == F.col("place")).where("__b1 <> __o").select("__b1", "__o", "__lo", "__hi"), "block-pairs")
+        gap = F.greatest(F.col("__lo") - F.col(lead), F.col(lead) - F.col("__hi"), F.lit(0.0))
+        asking = d.join(pairs, F.col("__b") == F.col("__b1")).where(gap <= F.col("__r") * (1 + 1e-9)).select(key, *columns, F.col("__b1").alias("b1"), F.col("__o").alias("b2"))
+        base = d.select(key, *columns, "__b").join(pairs.select(F.col("__b1").alias("b1"), F.col("__o").alias("b2")), F.col("__b") == F.col("b2")).drop("__b")
+        visit = lambda p, q: _closest(p, q, key, columns, k, False) if len(p) and len(q) else pd.DataFrame({key: p[key].iloc[:0], "d": pd.Series(dtype=float), "id": p[key].iloc[:0]})
+        found = found.unionByName(asking.groupBy("b1", "b2").cogroup(base.groupBy("b1", "b2")).applyInPandas(visit, f"{key} {kind}, d double, id {kind}"))
+    best = found.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("d", "id"))).where(F.col("__n") <= k)
+    return best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("neighbours"))
 
 
 def local_outlier_factor(df: DataFrame, key: str, columns: list[str], k: int = 10) -> DataFrame:
@@ -273,25 +333,32 @@ def time_series(df: DataFrame, order: str, x: str, period: int, keys: tuple[str,
 
 
 def quality(df: DataFrame) -> DataFrame:
-    """One row: the six dimensions, the weighted score, duplicate rows and candidate keys."""
+    """One row: the six dimensions, the weighted score, violations, duplicate rows and candidate keys.
+
+    Consistency loses a hundredth for every column that breaks a rule: numbers beyond a million on either side, text
+    over 1000 characters. Accuracy is the share of plausible ages in columns named so, timeliness a fixed score: a table
+    doesn't say how old it is. Distinct counts come from the counted values of all columns in one shuffle.
+    """
     cols = [c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]
     n = F.count("*")
-    checks = []
-    for c in cols:
-        if isinstance(df.schema[c].dataType, T.StringType):
-            if "email" in c.lower():
-                checks.append(F.count_if(F.col(c).rlike(EMAIL)) / F.greatest(F.count(c), F.lit(1)))
-            elif "url" in c.lower():
-                checks.append(F.count_if(F.col(c).rlike(URL)) / F.greatest(F.count(c), F.lit(1)))
-    validity = sum(checks[1:], checks[0]) / len(checks) if checks else F.lit(1.0)
+    numeric, text = (([c for c in cols if isinstance(df.schema[c].dataType, t)]) for t in (T.NumericType, T.StringType))
+    share = lambda ok, c: F.count_if(ok) / F.greatest(F.count(c), F.lit(1))
+    checks = [share(F.col(c).rlike(EMAIL if "mail" in c.lower() else URL), c) for c in text if any(w in c.lower() for w in ("mail", "url", "website"))]
+    checks += [share(F.col(c).between(0, 100), c) for c in numeric if "percent" in c.lower()]
+    ages = [share(F.col(c).between(0, OLDEST), c) for c in numeric if "age" in c.lower().split("_")]
+    mean = lambda x, none: sum(x[1:], x[0]) / len(x) if x else F.lit(none)
+    broken = [F.coalesce(F.max(F.abs(F.col(c).cast("double"))) > EXTREME, F.lit(False)) for c in numeric] + [F.coalesce(F.max(F.length(c)) > LONG_TEXT, F.lit(False)) for c in text]
     complete = sum((F.count(c) for c in cols), F.lit(0)) / F.greatest(n * len(cols), F.lit(1))
-    accurate = [F.count_if(F.col(c) >= 0) / F.greatest(F.count(c), F.lit(1)) for c in cols if c.lower() in ("age", "price", "quantity", "amount")]
-    one = df.agg(n.alias("n"), complete.alias("completeness"), validity.alias("validity"), (sum(accurate[1:], accurate[0]) / len(accurate) if accurate else F.lit(0.85)).alias("accuracy"), *[F.countDistinct(c).alias(f"__d{i}") for i, c in enumerate(cols)], *[F.count(c).alias(f"__c{i}") for i, c in enumerate(cols)])
+    one = df.agg(n.alias("n"), complete.alias("completeness"), mean(checks, 1.0).alias("validity"), mean(ages, ACCURACY).alias("accuracy"), sum((x.cast("long") for x in broken), F.lit(0).cast("long")).alias("violations"))
+    # every column's distinct values by hash pairs, counted once for all columns
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(c).alias("h"), F.hash(c).alias("g"), F.col(c).isNull().alias("none")) for i, c in enumerate(cols)])).alias("v")
+    per = df.select(values).select("v.*").where("NOT none").groupBy("i", "h", "g").agg(F.count("*").alias("k")).groupBy("i").agg(F.count("*").alias("d"), F.sum("k").alias("k"))
     rows = df.groupBy(F.xxhash64(*cols).alias("h"), F.hash(*cols).alias("g")).agg(F.count("*").alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("duplicates"))
-    keys = F.filter(F.array(*[F.when((F.col(f"__d{i}") == F.col("n")) & (F.col("n") > 0), F.lit(c)) for i, c in enumerate(cols)]), lambda x: x.isNotNull())
-    out = one.join(rows).select("n", "completeness", F.lit(0.9).alias("consistency"), "accuracy", (1 - F.col("duplicates") / F.greatest(F.col("n"), F.lit(1))).alias("uniqueness"), "validity", F.lit(0.8).alias("timeliness"), "duplicates", keys.alias("candidate_keys"))
-    score = sum((F.col(c) * w for c, w in zip(("completeness", "consistency", "accuracy", "uniqueness", "validity", "timeliness"), WEIGHTS)), F.lit(0.0))
-    return out.withColumn("score", score)
+    found = per.agg(F.collect_list(F.struct("i", "d")).alias("per"))  # an entry a column
+    keyed = lambda i: F.exists("per", lambda x: (x["i"] == i) & (x["d"] == F.col("n")))
+    keys = F.filter(F.array(*[F.when(keyed(i) & (F.col("n") > 0), F.lit(c)) for i, c in enumerate(cols)]), lambda x: x.isNotNull())
+    out = one.join(rows).join(found).select("n", "completeness", (1 - F.least(F.lit(1.0), F.col("violations") / 100.0)).alias("consistency"), "accuracy", F.lit(TIMELINESS).alias("timeliness"), "validity", (1 - F.col("duplicates") / F.greatest(F.col("n"), F.lit(1))).alias("uniqueness"), "violations", "duplicates", keys.alias("candidate_keys"))
+    return out.withColumn("score", sum((F.col(c) * w for c, w in WEIGHTS.items()), F.lit(0.0)))
 
 
 def insights(summary_rows: list, correlation_rows: list, quality_row) -> list[str]:
@@ -340,12 +407,30 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.select("column", *[F.col(m).alias(f"a_{m}") for m in ("n", "mean", "stddev")]).join(right.select("column", *[F.col(m).alias(f"b_{m}") for m in ("n", "mean", "stddev")]), "column")
 
 
+def comprehensive(df: DataFrame, columns: list[str]) -> DataFrame:
+    """section, item, measure, value: summary of every column, every pair's correlation, and quality, as one report."""
+
+    def long(d: DataFrame, section: str, item: Column, skip: tuple[str, ...]) -> DataFrame:
+        values = [c for c in d.columns if c not in skip and isinstance(d.schema[c].dataType, T.NumericType)]
+        rows = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in values])).alias("v")
+        return d.select(F.lit(section).alias("section"), item.alias("item"), rows).select("section", "item", "v.*")
+
+    out = long(quality(df), "quality", F.lit("table"), ())
+    if columns:
+        out = long(summary(df, columns), "summary", F.col("column"), ("column",)).union(out)
+    if len(columns) > 1:
+        out = out.union(long(correlations(df, columns), "correlation", F.concat_ws(", ", "a", "b"), ("a", "b")))
+    return out
+
+
 def analyze(df: DataFrame, kind: str = "SUMMARY", target: str | None = None, features: list[str] | None = None, key: str | None = None, **options: object) -> DataFrame:
     """ANALYZE DATA by type."""
     kind = kind.upper()
     cols = features or numeric_columns(df)
-    if kind in ("SUMMARY", "COMPREHENSIVE"):
+    if kind == "SUMMARY":
         return summary(df, cols)
+    if kind == "COMPREHENSIVE":
+        return comprehensive(df, cols)
     if kind == "CORRELATION":
         return correlations(df, cols)
     if kind == "IMPORTANCE":
@@ -358,6 +443,12 @@ def analyze(df: DataFrame, kind: str = "SUMMARY", target: str | None = None, fea
         return outliers(df.withColumn("__key", F.monotonically_increasing_id()) if key is None else df, key or "__key", cols, float(options.get("contamination", 0.05)))
     if kind == "DISTRIBUTION":
         return distribution(df, target or cols[0])
+    if kind == "TIMESERIES":
+        times = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DateType | T.TimestampType | T.TimestampNTZType)]
+        time, value = options.get("time") or (times[0] if times else None), target or next((c for c in cols if c != options.get("time")), None)
+        if time is None or value is None:
+            raise ValueError("TIMESERIES needs a time column (WITH (time = c)) and a number")
+        return time_series(df, str(time), value, int(options.get("period", 7))).select(str(time), value, "trend", "seasonal", "residual")
     if kind == "QUALITY":
         return quality(df)
     raise ValueError(f"unknown analysis {kind}; one of {', '.join(TYPES)}")

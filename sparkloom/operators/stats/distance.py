@@ -52,11 +52,8 @@ def jaccard_weights(a: Column, b: Column) -> Column:
 def mahalanobis(x: Column, mean: list[float], inverse_covariance: list[list[float]]) -> Column:
     """Against a given mean and inverse covariance (driver-side, of fixed dimension)."""
     d = len(mean)
-    diff = [F.element_at(x, i + 1).cast("double") - mean[i] for i in range(d)]
-    total = F.lit(0.0)
-    for i in range(d):
-        row = F.lit(0.0)
-        for j in range(d):
-            row = row + diff[j] * float(inverse_covariance[i][j])
-        total = total + diff[i] * row
-    return F.sqrt(F.greatest(total, F.lit(0.0)))
+    off = F.zip_with(F.slice(x, 1, d), F.array(*[F.lit(float(m)) for m in mean]), lambda a, m: a.cast("double") - m)
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in inverse_covariance])
+    # one array function over the rows, not d * d terms: generated code stays small for any dimension
+    solved = F.transform(rows, lambda row: _sum(F.zip_with(row, off, lambda v, o: v * o)))
+    return F.sqrt(F.greatest(_sum(F.zip_with(solved, off, lambda a, b: a * b)), F.lit(0.0)))

@@ -405,7 +405,7 @@ class Engine:
         return self._fit(n, df, features, target, algorithm, opts, replace)
 
     def _fit(self, n: str, df: DataFrame, features: list[str], target: str | None, algorithm: str, opts: dict, replace: bool, where=None) -> DataFrame:
-        m = M.train(df, n, features, target, algorithm, iterations=int(opts.get("iterations", opts.get("num_iterations", 20))), depth=int(opts.get("max_depth", 5)), rate=float(opts.get("learning_rate", 0.1)), test_share=1 - float(opts.get("split", 0.8)), where=where, clusters=int(opts.get("clusters", 4)))
+        m = M.train(df, n, features, target, algorithm, iterations=int(opts.get("iterations", opts.get("num_iterations", 20))), depth=int(opts.get("max_depth", 5)), rate=float(opts.get("learning_rate", 0.1)), test_share=1 - float(opts.get("split", 0.8)), where=where, clusters=int(opts.get("clusters", 4)), alpha=float(opts.get("alpha", 0.9)))
         self.models.save(m, replace=replace)
         return self.spark.createDataFrame([(n, m.card.kind, k, float(v)) for k, v in (m.card.metrics or {"trained": 1.0}).items()], "model string, kind string, metric string, value double")
 

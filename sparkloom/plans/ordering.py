@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.plans.staging import stage
 
@@ -34,7 +35,8 @@ def running(df: DataFrame, order: Sequence[Column | str], weight: Column | None
     w = F.lit(1) if weight is None else weight
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     ranges = [F.col(k) for k in keys] + cols
-    parts = stage(df.withColumn("__w", w.cast("double" if weight is not None and "double" in str(weight) else "long")).repartitionByRange(*ranges).withColumn("__p", F.spark_partition_id()), "ranged")
+    kind = df.select(w.alias("w")).schema[0].dataType
+    parts = stage(df.withColumn("__w", w.cast("double" if isinstance(kind, T.FractionalType) else "long")).repartitionByRange(*ranges).withColumn("__p", F.spark_partition_id()), "ranged")
     sums = parts.groupBy("__p", *keys).agg(F.sum("__w").alias("__s"))
     # a row per partition and key in it: a key spans many partitions or a partition many keys, not both
     of_key = Window.partitionBy(*keys)
@@ -63,6 +65,12 @@ def quantiles(df: DataFrame, column: str, ps: dict[str, float], keys: Sequence[s
     return got.select(*keys, *[(F.col(f"__l{i}") + share(p) * (F.col(f"__h{i}") - F.col(f"__l{i}"))).alias(k) for i, (k, p) in enumerate(ps.items())])
 
 
+def at_places(df: DataFrame, column: str, places: dict[str, int]) -> DataFrame:
+    """One row: the values at places (0: the smallest) of the column in order, NULL beyond its end."""
+    c = cumulative(df, column)
+    return c.agg(*[F.max(F.when((F.col("before") <= k) & (F.lit(k) < F.col("before") + F.col("n")), F.col("v"))).alias(name) for name, k in places.items()])
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """v, n: the distinct values with their counts, combined on the map side."""
     return df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))

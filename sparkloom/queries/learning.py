@@ -8,6 +8,7 @@ from sparkloom.operators import anomaly as A
 from sparkloom.operators import ml as M
 from sparkloom.plans.staging import shared_dir
 from sparkloom.queries import query
+from sparkloom.queries.profiling import lof_sql
 from sparkloom.queries.statistics import rounded
 
 c = F.col
@@ -137,9 +138,9 @@ def _(t):
     return A.detect(t.orders.select("o_orderkey", "o_totalprice", F.dayofyear("o_orderdate").cast("double").alias("day")), ["o_totalprice", "day"])
 
 
-@query("anomaly_lof")
+@query("anomaly_lof", "WITH " + lof_sql("SELECT s_suppkey, s_acctbal AS a FROM supplier", "s_suppkey", ("a",), 19) + ", s AS (SELECT s_suppkey, s_acctbal, 1 - 1 / greatest(lof, 1) AS score FROM lof JOIN supplier USING (s_suppkey)) SELECT s_suppkey, s_acctbal, round(score, 6) AS score, score > (SELECT quantile_cont(score, 0.95) FROM s) AS anomaly FROM s")
 def _(t):
-    return A.detect(t.supplier.select("s_suppkey", "s_acctbal"), ["s_acctbal"], "lof", key="s_suppkey")
+    return rounded(A.detect(t.supplier.select("s_suppkey", "s_acctbal"), ["s_acctbal"], "lof", key="s_suppkey"))
 
 
 @query("anomaly_autoencoder")

@@ -45,9 +45,12 @@ def _(t):
     return rounded(M.bollinger(hourly(t), "start", "close", 20, 2.0, ("s",)).select("s", c("start").cast("timestamp_ntz").alias("start"), "bb_upper"))
 
 
-@query("market_ema")
+@query(
+    "market_ema",
+    f"{_C.replace('WITH', 'WITH RECURSIVE', 1)}, i AS (SELECT s, start, close, row_number() OVER {_W} AS i FROM c), e AS (SELECT s, start, close, i, close AS ema FROM i WHERE i = 1 UNION ALL SELECT i.s, i.start, i.close, i.i, i.close * 2 / 13 + e.ema * 11 / 13 FROM e JOIN i ON i.s = e.s AND i.i = e.i + 1) SELECT s, start, close, round(ema, 6) AS ema_12 FROM e",
+)
 def _(t):
-    return M.ema(hourly(t).select("s", "start", "close"), "start", "close", 12, ("s",))
+    return rounded(M.ema(hourly(t).select("s", "start", "close"), "start", "close", 12, ("s",)).select("s", c("start").cast("timestamp_ntz").alias("start"), "close", "ema_12"))
 
 
 @query(
@@ -63,9 +66,15 @@ def _(t):
     return rounded(M.drawdown(hourly(t), "start", "close", ("s",)).select("s", c("start").cast("timestamp_ntz").alias("start"), "drawdown"), 8)
 
 
-@query("market_regimes")
+_REGIME = "CASE WHEN trend IS NULL OR vol IS NULL THEN NULL " + " ".join(f"WHEN {x} THEN '{M.REGIMES[k]}'" for x, k in (("trend > 0.10", 0), ("trend > 0.05", 1), ("trend > 0.02", 2), ("trend < -0.10", 8), ("trend < -0.05", 7), ("trend < -0.02", 6), ("vol > 0.03", 3), ("vol < 0.005", 5))) + f" ELSE '{M.REGIMES[4]}' END"
+
+
+@query(
+    "market_regimes",
+    f"{_C}, r AS (SELECT s, start, close, close / nullif(lag(close, 20) OVER {_W}, 0) - 1 AS trend, (close - lag(close) OVER {_W}) / nullif(lag(close) OVER {_W}, 0) AS r FROM c), v AS (SELECT s, start, trend, stddev_samp(r) OVER {_rows(19)} AS vol FROM r) SELECT s, start, {_REGIME} AS regime FROM v",
+)
 def _(t):
-    return M.regimes(hourly(t), "start", "close", 20, ("s",)).select("s", "start", "regime")
+    return M.regimes(hourly(t), "start", "close", 20, ("s",)).select("s", c("start").cast("timestamp_ntz").alias("start"), "regime")
 
 
 @query("market_levels", f"{_C}, a AS (SELECT s, start, close, min(close) OVER w AS lo, max(close) OVER w AS hi, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY s ORDER BY start ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) SELECT s, start, CASE WHEN close = lo THEN 'support' ELSE 'resistance' END AS level FROM a WHERE n = 11 AND (close = lo OR close = hi)")

@@ -58,9 +58,12 @@ def _(t):
     return rounded(P.boxplot(t.lineitem, ["l_quantity", "l_extendedprice"]))
 
 
-@query("plot_violin")
+_KDE = "(WITH s AS (SELECT count(*) AS n, min({0}) AS lo, max({0}) AS hi, greatest(0.1, 1.06 * stddev_samp({0}) * pow(count(*), -0.2)) AS h FROM lineitem), v AS (SELECT {0} AS v, count(*) AS c FROM lineitem GROUP BY 1), g AS (SELECT lo + i * ((hi - lo) / 29) AS x, n, h FROM s, (SELECT unnest(range(0, 30)) AS i)) SELECT '{0}' AS \"column\", round(x, 6) AS x, round(sum(c * exp(-0.5 * pow((x - v) / h, 2))) / (n * h * sqrt(2 * pi())), 8) AS density FROM g, v GROUP BY g.x, n, h)"
+
+
+@query("plot_violin", " UNION ALL ".join(f"SELECT * FROM {_KDE.format(x)}" for x in ("l_quantity", "l_tax")))
 def _(t):
-    return P.violin(t.lineitem, ["l_quantity", "l_tax"])
+    return P.violin(t.lineitem, ["l_quantity", "l_tax"]).select("column", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
 
 
 @query("plot_series", "SELECT p_partkey AS x, 'p_size' AS series, p_size::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")

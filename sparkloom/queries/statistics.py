@@ -89,12 +89,18 @@ def _(t):
     return rounded(D.l_moments(t.part, "p_retailprice"), 4)
 
 
+#: The normal distribution function as a series: 1/2 + density * sum of z^(2k+1) / (2k+1)!!.
+_PHI = "(0.5 + sign({0}) * exp(-{0} * {0} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 90), lambda k: exp((2 * k + 1) * ln(greatest(abs({0}), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))))"
+
+
 @query(
     "stat_pearson",
-    "SELECT 'pearson' AS measure, round(corr(l_quantity, l_extendedprice), 8) AS value, count(*) AS n, round(tanh(atanh(corr(l_quantity, l_extendedprice)) - 1.96 / sqrt(count(*) - 3)), 8) AS low, round(tanh(atanh(corr(l_quantity, l_extendedprice)) + 1.96 / sqrt(count(*) - 3)), 8) AS high FROM lineitem",
+    f"""WITH c AS (SELECT corr(l_tax, l_extendedprice) AS r, count(*) AS n FROM lineitem), t AS (SELECT *, abs(r) * sqrt((n - 2) / (1 - r * r)) AS t FROM c),
+    z AS (SELECT *, t * (1 - 1 / (4.0 * (n - 2))) / sqrt(1 + t * t / (2.0 * (n - 2))) AS z FROM t)
+    SELECT 'pearson' AS measure, round(r, 6) AS value, round(2 * (1 - {_PHI.format('z')}), 6) AS p_value, n, round(tanh(atanh(r) - 1.96 / sqrt(n - 3)), 6) AS low, round(tanh(atanh(r) + 1.96 / sqrt(n - 3)), 6) AS high FROM z""",
 )
 def _(t):
-    return rounded(C.pearson(t.lineitem, "l_quantity", "l_extendedprice").drop("p_value"), 8)
+    return rounded(C.pearson(t.lineitem, "l_tax", "l_extendedprice"))
 
 
 _RANKS = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0)"
@@ -125,9 +131,17 @@ def _(t):
     return rounded(C.distance_correlation(t.supplier, "s_acctbal", "s_nationkey"), 6)
 
 
-@query("stat_hoeffding_d")
+@query(
+    "stat_hoeffding_d",
+    """
+    WITH p AS (SELECT a.c_custkey AS k, CASE WHEN b.c_acctbal < a.c_acctbal THEN 1.0 WHEN b.c_acctbal = a.c_acctbal THEN 0.5 ELSE 0 END AS x, CASE WHEN b.c_nationkey < a.c_nationkey THEN 1.0 WHEN b.c_nationkey = a.c_nationkey THEN 0.5 ELSE 0 END AS y FROM customer a JOIN customer b ON a.c_custkey <> b.c_custkey),
+    q AS (SELECT sum(x)::DOUBLE + 1 AS r, sum(y)::DOUBLE + 1 AS s, sum(x * y)::DOUBLE + 1 AS q FROM p GROUP BY k),
+    d AS (SELECT count(*)::DOUBLE AS n, sum((q - 1) * (q - 2)) AS d1, sum((r - 1) * (r - 2) * (s - 1) * (s - 2)) AS d2, sum((r - 2) * (s - 2) * (q - 1)) AS d3 FROM q)
+    SELECT round(30 * ((n - 2) * (n - 3) * d1 + d2 - 2 * (n - 2) * d3) / (n * (n - 1) * (n - 2) * (n - 3) * (n - 4)), 8) AS hoeffding_d FROM d
+    """,
+)
 def _(t):
-    return C.hoeffding_d(t.customer, "c_acctbal", "c_nationkey")
+    return rounded(C.hoeffding_d(t.customer, "c_acctbal", "c_nationkey"), 8)
 
 
 @query("stat_maximal_information")
@@ -179,9 +193,11 @@ def _(t):
     return t.embeddings.join(q).select("vec_id", *[F.round(f, 6).alias(n) for n, f in (("euclidean", X.euclidean(a, b)), ("manhattan", X.manhattan(a, b)), ("chebyshev", X.chebyshev(a, b)), ("minkowski", X.minkowski(a, b, 3)), ("cosine", X.cosine_similarity(a, b)))])
 
 
-@query("stat_mahalanobis", "SELECT vec_id, round(sqrt((embedding[1]::DOUBLE - 0.1) ** 2 / 0.04 + (embedding[2]::DOUBLE + 0.2) ** 2 / 0.09), 6) AS d FROM embeddings")
+@query("stat_mahalanobis", "SELECT vec_id, round(sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - 0.1) ** 2 * (1 + i / 8.0))) + 2 * list_sum(list_transform(range(1, len(embedding)), lambda i: 0.25 * (embedding[i]::DOUBLE - 0.1) * (embedding[i + 1]::DOUBLE - 0.1)))), 6) AS d FROM embeddings")
 def _(t):
-    return t.embeddings.select("vec_id", F.round(X.mahalanobis(c("embedding"), [0.1, -0.2], [[25.0, 0.0], [0.0, 1 / 0.09]]), 6).alias("d"))
+    n = 64  # all dimensions, with a band beside the diagonal
+    inverse = [[1 + (i + 1) / 8 if i == j else 0.25 if abs(i - j) == 1 else 0.0 for j in range(n)] for i in range(n)]
+    return t.embeddings.select("vec_id", F.round(X.mahalanobis(c("embedding"), [0.1] * n, inverse), 6).alias("d"))
 
 
 @query(
@@ -203,24 +219,37 @@ def _(t):
     return t.events.select("event_id", F.round(P.density_column("normal", "value", mu=50.0, sigma=20.0), 8).alias("d"))
 
 
-@query("stat_jarque_bera")
+@query(
+    "stat_jarque_bera",
+    "WITH b AS (SELECT count(*) AS n, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS sd FROM orders), k AS (SELECT any_value(n) AS n, avg((o_totalprice - m) ** 3) / any_value(sd) ** 3 * sqrt(any_value(n) * (any_value(n) - 1.0)) / (any_value(n) - 2) AS s, avg((o_totalprice - m) ** 4) / any_value(sd) ** 4 - 3 AS k FROM orders, b) SELECT round(n / 6.0 * (s * s + k * k / 4), 4) AS statistic, round(exp(-n / 6.0 * (s * s + k * k / 4) / 2), 8) AS p_value FROM k",
+)
 def _(t):
-    return H.jarque_bera(t.orders, "o_totalprice")
+    return H.jarque_bera(t.orders, "o_totalprice").select(F.round("statistic", 4).alias("statistic"), F.round("p_value", 8).alias("p_value"))
 
 
-@query("stat_kolmogorov_smirnov")
+@query(
+    "stat_kolmogorov_smirnov",
+    """
+    WITH v AS (SELECT value AS v, count(*) AS c FROM events GROUP BY 1), e AS (SELECT v, sum(c) OVER (ORDER BY v) AS upto, c, sum(c) OVER () AS n, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) AS f FROM v),
+    d AS (SELECT max(greatest(abs(upto / n - f), abs((upto - c) / n - f))) AS d, any_value(n) AS n FROM e), z AS (SELECT d, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS z FROM d)
+    SELECT round(d, 8) AS statistic, round(CASE WHEN z > 0.2 THEN least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * z * z))))) ELSE 1 END, 8)::DOUBLE AS p_value FROM z
+    """,
+)
 def _(t):
-    return H.kolmogorov_smirnov(t.events, "value", "uniform")
+    return rounded(H.kolmogorov_smirnov(t.events, "value", "uniform"), 8)
+
+
+_EDF = f"WITH b AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events), r AS (SELECT (value - m) / s AS z, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM events, b), e AS (SELECT i, n, least(greatest({_PHI.format('z')}, 1e-15), 1 - 1e-15) AS f FROM r)"
 
 
-@query("stat_anderson_darling")
+@query("stat_anderson_darling", f"{_EDF} SELECT round(-max(n) - sum((2 * i - 1) / n * ln(f) + (2 * (n - i) + 1) / n * ln(1 - f)), 6) AS statistic FROM e")
 def _(t):
-    return H.anderson_darling(t.events, "value")
+    return rounded(H.anderson_darling(t.events, "value"))
 
 
-@query("stat_cramer_von_mises")
+@query("stat_cramer_von_mises", f"{_EDF} SELECT round(1 / (12.0 * max(n)) + sum(((2 * i - 1) / (2.0 * n) - f) ** 2), 6) AS statistic FROM e")
 def _(t):
-    return H.cramer_von_mises(t.events, "value")
+    return rounded(H.cramer_von_mises(t.events, "value"))
 
 
 @query("stat_shapiro_wilk")
@@ -284,9 +313,19 @@ def _(t):
     return H.adf(t.events, "event_id", "value", ("event_type",)).select("event_type", "n", F.round("statistic", 4).alias("statistic"))
 
 
-@query("stat_kpss")
+@query(
+    "stat_kpss",
+    """
+    WITH m AS (SELECT event_type, count(*) AS n, avg(value) AS m, floor(4 * pow(count(*) / 100.0, 2 / 9.0)) AS h FROM events GROUP BY 1),
+    e AS (SELECT event_type, value - m AS e, n, h, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events JOIN m USING (event_type)),
+    s AS (SELECT *, sum(e) OVER (PARTITION BY event_type ORDER BY i) AS s FROM e),
+    g AS (SELECT a.event_type, sum(2 * (1 - (a.i - b.i) / (a.h + 1)) * a.e * b.e / a.n) AS g FROM e a JOIN e b ON a.event_type = b.event_type AND a.i > b.i AND a.i <= b.i + a.h GROUP BY 1),
+    v AS (SELECT event_type, any_value(n) AS n, sum(s * s) AS ss, sum(e * e) / any_value(n) AS v FROM s GROUP BY 1)
+    SELECT event_type, round(ss / (n * n) / (v + coalesce(g, 0)), 6) AS statistic, ss / (n * n) / (v + coalesce(g, 0)) < 0.463 AS stationary FROM v LEFT JOIN g USING (event_type)
+    """,
+)
 def _(t):
-    return H.kpss(t.events, "event_id", "value", ("event_type",))
+    return rounded(H.kpss(t.events, "event_id", "value", ("event_type",)))
 
 
 @query("stat_grubbs", "SELECT 'low' AS side, min(c_acctbal) AS value, round((avg(c_acctbal) - min(c_acctbal)) / stddev_samp(c_acctbal), 6) AS g FROM customer UNION ALL SELECT 'high', max(c_acctbal), round((max(c_acctbal) - avg(c_acctbal)) / stddev_samp(c_acctbal), 6) FROM customer")
@@ -294,9 +333,12 @@ def _(t):
     return H.grubbs(t.customer, "c_acctbal").select("side", "value", F.round("g", 6).alias("g"))
 
 
-@query("stat_dixon")
+@query(
+    "stat_dixon",
+    "WITH v AS (SELECT list(n_nationkey::DOUBLE ORDER BY n_nationkey) AS v FROM nation), q AS (SELECT 'low' AS side, v[1] AS value, (v[2] - v[1]) / (v[-1] - v[1]) AS q FROM v UNION ALL SELECT 'high', v[-1], (v[-1] - v[-2]) / (v[-1] - v[1]) FROM v) SELECT side, value, round(q, 8) AS q, 0.317::DOUBLE AS critical, q > 0.317 AS outlier FROM q",
+)
 def _(t):
-    return H.dixon(t.nation, "n_nationkey")
+    return rounded(H.dixon(t.nation, "n_nationkey"), 8)
 
 
 @query("stat_iqr_outliers", "WITH b AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events GROUP BY 1) SELECT event_id, value FROM events JOIN b USING (event_type) WHERE value < a - 0.2 * (b - a) OR value > b + 0.2 * (b - a)")
@@ -322,7 +364,19 @@ def _(t):
     return rounded(S.acf(t.events, "event_id", "value", 5, ("event_type",)))
 
 
-@query("stat_pacf")
+def _pacf_sql(lags: int) -> str:
+    """Partial autocorrelations by the Durbin-Levinson recursion, a common table a lag."""
+    r = ", ".join(f"(SELECT sum(a.e * b.e) FROM e a JOIN e b ON a.i = b.i + {k}) / (SELECT sum(e * e) FROM e) AS r{k}" for k in range(1, lags + 1))
+    parts = ["t AS (SELECT o_orderdate::DATE AS d, sum(o_totalprice) AS v FROM orders GROUP BY 1)", "e AS (SELECT v - avg(v) OVER () AS e, row_number() OVER (ORDER BY d) AS i FROM t)", f"k0 AS (SELECT {r})", "k1 AS (SELECT *, r1 AS f1_1 FROM k0)"]
+    for k in range(2, lags + 1):
+        top = f"r{k}" + "".join(f" - f{k - 1}_{j} * r{k - j}" for j in range(1, k))
+        below = "1" + "".join(f" - f{k - 1}_{j} * r{j}" for j in range(1, k))
+        parts.append(f"p{k} AS (SELECT *, ({top}) / ({below}) AS f{k}_{k} FROM k{k - 1})")
+        parts.append(f"k{k} AS (SELECT *, " + ", ".join(f"f{k - 1}_{j} - f{k}_{k} * f{k - 1}_{k - j} AS f{k}_{j}" for j in range(1, k)) + f" FROM p{k})")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {k}::INT AS lag, round(f{k}_{k}, 6) AS pacf FROM k{lags}" for k in range(1, lags + 1))
+
+
+@query("stat_pacf", _pacf_sql(7))
 def _(t):
     daily = t.orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("v"))
     return rounded(S.pacf(daily, "d", "v", 7))

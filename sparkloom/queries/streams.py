@@ -69,14 +69,24 @@ def _(t):
     return S.history(t.events, "ts", "7 DAYS").select("event_id")
 
 
-@query("stream_gap_anchored")
+@query(
+    "stream_gap_anchored",
+    """
+    WITH RECURSIVE w AS (SELECT event_type, min(ts) AS start FROM events GROUP BY 1 UNION ALL SELECT w.event_type, (SELECT min(ts) FROM events e WHERE e.event_type = w.event_type AND e.ts >= w.start + INTERVAL 1 HOUR) FROM w WHERE w.start IS NOT NULL),
+    s AS (SELECT event_type, start, lead(start) OVER (PARTITION BY event_type ORDER BY start) AS stop FROM w WHERE start IS NOT NULL)
+    SELECT s.event_type, start + INTERVAL 30 MINUTE AS label, round(avg(value), 6) AS value, count(*) AS n FROM s JOIN events e ON e.event_type = s.event_type AND e.ts >= start AND (stop IS NULL OR e.ts < stop) GROUP BY s.event_type, start
+    """,
+)
 def _(t):
-    return S.gap_anchored(t.events, "ts", "value", 3600.0, ("event_type",))
+    return ntz(rounded(S.gap_anchored(t.events, "ts", "value", 3600.0, ("event_type",))))
 
 
-@query("stream_alarms")
+@query(
+    "stream_alarms",
+    "WITH w AS (SELECT event_type, ts, value, count(*) OVER p AS n, avg(value) OVER p AS m, stddev_samp(value) OVER p AS s FROM events WINDOW p AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT event_type, ts, value, round(CASE WHEN s > 0 THEN abs(value - m) / s ELSE 0 END, 6) AS z, coalesce(n >= 10 AND abs(value - m) / s > 2, FALSE) AS alarm FROM w",
+)
 def _(t):
-    return S.drain(S.adaptive_alarms(stream(t), "event_type", "ts", "value", 2.0))
+    return ntz(rounded(S.drain(S.adaptive_alarms(stream(t), "event_type", "ts", "value", 2.0))))
 
 
 @query("stream_incremental_profile", "SELECT count(value) AS value_n, count(*) - count(value) AS value_nulls, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_stddev, min(value) AS value_min, max(value) AS value_max FROM events")

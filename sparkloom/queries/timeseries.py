@@ -57,12 +57,16 @@ def _(t):
     return P.split(daily(t), "d", keys=("o_orderstatus",)).drop("v")
 
 
-@query("ts_walk_forward", "SELECT * FROM (VALUES (1, 30), (2, 30), (3, 30)) v(fold, n)")
+@query(
+    "ts_walk_forward",
+    "WITH t AS (SELECT o_orderdate::DATE AS d, sum(o_totalprice) AS v, row_number() OVER (ORDER BY o_orderdate::DATE) AS i, count(*) OVER () AS n FROM orders GROUP BY 1), f AS (SELECT unnest([1, 2, 3]) AS fold) SELECT fold, (count(*) FILTER (i > n - (4 - fold) * 30 AND i <= n - (3 - fold) * 30))::INT AS n, min(d) FILTER (i > n - (4 - fold) * 30) AS first, round(sum(v) FILTER (i > n - (4 - fold) * 30 AND i <= n - (3 - fold) * 30), 2) AS total, (count(*) FILTER (i <= n - (4 - fold) * 30 - 2))::INT AS trained, max(d) FILTER (i <= n - (4 - fold) * 30 - 2) AS last FROM t, f GROUP BY fold",
+)
 def _(t):
     m = t.orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("v"))
     out = None
-    for i, (_, test) in enumerate(P.walk_forward(m, "d", 3, 30, gap=2), 1):
-        one = test.agg(F.lit(i).alias("fold"), F.count("*").cast("int").alias("n"))
+    for i, (train, test) in enumerate(P.walk_forward(m, "d", 3, 30, gap=2), 1):
+        of_train = train.agg(F.count("*").cast("int").alias("trained"), F.max("d").alias("last"))
+        one = test.agg(F.lit(i).alias("fold"), F.count("*").cast("int").alias("n"), F.min("d").alias("first"), F.round(F.sum("v"), 2).alias("total")).join(of_train)
         out = one if out is None else out.union(one)
     return out
 
@@ -75,13 +79,23 @@ def _(t):
     return rounded(P.stationarity(daily(t), "d", "v", keys=("o_orderstatus",)))
 
 
-@query("ts_detect_seasonality")
+#: A weekly wave on the events' values, in the order of their keys.
+_WAVE = "SELECT event_id, 10 * sin(2 * pi() * event_id / 7) + value / 50 AS v FROM events"
+
+
+@query(
+    "ts_detect_seasonality",
+    f"WITH w AS ({_WAVE}), e AS (SELECT v - avg(v) OVER () AS e, row_number() OVER (ORDER BY event_id) AS i FROM w), a AS (SELECT k AS lag, sum(a.e * b.e) / (SELECT sum(e * e) FROM e) AS acf FROM e a, (SELECT unnest(range(1, 31)) AS k), e b WHERE a.i = b.i + k GROUP BY 1), n AS (SELECT *, lag(acf) OVER (ORDER BY lag) AS l, lead(acf) OVER (ORDER BY lag) AS r FROM a) SELECT lag::INT AS period, round(acf, 6) AS strength FROM n WHERE lag >= 2 AND acf > 0.3 AND acf > l AND acf >= coalesce(r, -1)",
+)
 def _(t):
-    wave = t.spark_range(730).select(c("id").alias("i"), (F.sin(c("id") * 2 * 3.141592653589793 / 7) * 10 + F.pmod(F.xxhash64("id"), F.lit(100)) / 50).alias("v"))
-    return P.detect_seasonality(wave, "i", "v", 30)
+    wave = t.events.select("event_id", (10 * F.sin(2 * F.pi() * c("event_id") / 7) + c("value") / 50).alias("v"))
+    return rounded(P.detect_seasonality(wave, "event_id", "v", 30))
 
 
-@query("ts_seasonal_strengths")
+@query(
+    "ts_seasonal_strengths",
+    f"{_D}, e AS (SELECT o_orderstatus, v - avg(v) OVER (PARTITION BY o_orderstatus) AS e, row_number() OVER {_W} AS i FROM t), a AS (SELECT a.o_orderstatus, k AS period, sum(a.e * b.e) AS p FROM e a, (SELECT unnest([7, 30]) AS k), e b WHERE a.o_orderstatus = b.o_orderstatus AND a.i = b.i + k GROUP BY 1, 2), v AS (SELECT o_orderstatus, sum(e * e) AS v FROM e GROUP BY 1) SELECT o_orderstatus, period::INT AS period, round(p / v, 6) AS acf, p / v > 0.3 AS seasonal FROM a JOIN v USING (o_orderstatus)",
+)
 def _(t):
     return rounded(P.seasonal_strengths(daily(t), "d", "v", (7, 30), ("o_orderstatus",)))
 
@@ -131,9 +145,15 @@ def _(t):
     return Y.backtest(daily(t), "d", "v", 7, 3, ("o_orderstatus",))
 
 
-@query("forecast_decomposition")
+@query(
+    "forecast_decomposition",
+    f"""{_D}, i AS (SELECT *, row_number() OVER {_W} - 1 AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n, avg(v) OVER (PARTITION BY o_orderstatus ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM t),
+    f AS (SELECT o_orderstatus, max(m) FILTER (i = 3) AS a, max(m) FILTER (i = n - 4) AS z FROM i GROUP BY 1), r AS (SELECT o_orderstatus, d, v, i, CASE WHEN i < 3 THEN a WHEN i > n - 4 THEN z ELSE m END AS trend FROM i JOIN f USING (o_orderstatus)),
+    s AS (SELECT o_orderstatus, i % 7 AS p, avg(v - trend) AS s FROM r GROUP BY 1, 2), c AS (SELECT o_orderstatus, p, s - avg(s) OVER (PARTITION BY o_orderstatus) AS s FROM s)
+    SELECT o_orderstatus, d, round(trend, 2) AS trend, round(s, 2) AS seasonal, round(v - trend - s, 2) AS residual FROM r JOIN c USING (o_orderstatus) WHERE i % 7 = p""",
+)
 def _(t):
-    return Y.decomposition(daily(t), "d", "v", 7, ("o_orderstatus",))
+    return rounded(Y.decomposition(daily(t), "d", "v", 7, ("o_orderstatus",)), 2)
 
 
 @query("interval_parsing", "SELECT * FROM (VALUES ('30s', 30), ('5m', 300), ('4h', 14400), ('1d', 86400)) v(text, seconds)")
