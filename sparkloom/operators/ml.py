@@ -248,6 +248,31 @@ def explain(model: Model, df: DataFrame, key: str, top: int = 3) -> DataFrame:
     return e.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).drop("r")
 
 
+def explained(model: Model, df: DataFrame, out: str, top: int = 3) -> DataFrame:
+    """df with an array of (feature, effect): how the prediction moves when a feature is set to its mean, largest first.
+
+    The rows pass once through the model as they are and once with each numeric feature at its mean; nothing is joined.
+    """
+    feats = [f for f in model.card.features if isinstance(df.schema[f].dataType, T.NumericType | T.BooleanType)]
+    if not feats:
+        return df.withColumn(out, F.array().cast("array<struct<feature:string,effect:double>>"))
+    means = df.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in feats]).first()
+    score = vector_to_array("probability")[1] if model.card.kind == "binary" else F.col("prediction").cast("double")
+    kept = [F.col(f"__in.{c}").alias(c) for c in df.columns]
+    d = df.select(F.struct(*df.columns).alias("__in"))
+
+    def pass_through(d: DataFrame, name: str, change: dict) -> DataFrame:
+        done = [c for c in d.columns if c != "__in"]
+        rows = d.select("__in", *done, *[change.get(f, F.col(f"__in.{f}").cast("double") if f in feats else F.col(f"__in.{f}")).alias(f) for f in model.card.features])
+        return model.pipeline.transform(rows).select("__in", *done, score.alias(name))
+
+    d = pass_through(d, "__base", {})
+    for i, f in enumerate(feats):
+        d = pass_through(d, f"__s{i}", {f: F.lit(float(means[f] or 0.0))})
+    effects = F.array(*[F.struct((-F.abs(F.col("__base") - F.col(f"__s{i}"))).alias("o"), F.lit(f).alias("feature"), (F.col("__base") - F.col(f"__s{i}")).alias("effect")) for i, f in enumerate(feats)])
+    return d.select(*kept, F.transform(F.slice(F.sort_array(effects), 1, top), lambda x: F.struct(x["feature"].alias("feature"), x["effect"].alias("effect"))).alias(out))
+
+
 def drift(scored: DataFrame, probability: str, order: str, recent: int = 1000) -> DataFrame:
     """1 - mean confidence over the most recent scored rows (a window of the report)."""
     return scored.orderBy(F.desc(order)).limit(recent).agg(F.count("*").alias("n"), F.avg(1 - 2 * F.abs(F.col(probability) - 0.5)).alias("drift"))
@@ -377,10 +402,13 @@ class Registry:
         fs, p = self._fs(self._dir(name))
         fs.delete(p, True)
 
-    def models(self) -> DataFrame:
-        """name, algorithm, kind, target, features, metrics."""
+    def names(self) -> list[str]:
         fs, p = self._fs(self.path)
         names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-        cards = [self.load(n).card for n in names if self.exists(n)]
+        return [n for n in names if self.exists(n)]
+
+    def models(self) -> DataFrame:
+        """name, algorithm, kind, target, features, metrics."""
+        cards = [self.load(n).card for n in self.names()]
         rows = [(c.name, c.algorithm, c.kind, c.target, ",".join(c.features), json.dumps(c.metrics)) for c in cards]
         return self.spark.createDataFrame(rows, "name string, algorithm string, kind string, target string, features string, metrics string")

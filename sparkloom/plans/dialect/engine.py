@@ -42,7 +42,7 @@ class Engine:
     def _say(self, text: str, n: int | None = None) -> DataFrame:
         return self.spark.createDataFrame([(text, n)], "status string, rows long")
 
-    def query(self, sql: str, models: set[str] = frozenset()) -> DataFrame:
+    def query(self, sql: str, models: dict[str, set[str]] | None = None) -> DataFrame:
         """Spark SQL text over the known relations, each bound under its own name.
 
         A relation with all features of a model that the query's AI functions use is scored once; the functions read
@@ -52,21 +52,38 @@ class Engine:
         for n in known:
             if f"`{n}`" in sql:
                 df = self.relation(n)
-                for m in sorted(models):
-                    df = self._scored(df, m)
+                for m, wanted in sorted((models or {}).items()):
+                    df = self._scored(df, m, wanted)
                 df.createOrReplaceTempView(n)
         return self.spark.sql(sql)
 
-    def _scored(self, df: DataFrame, name: str) -> DataFrame:
+    def _scored(self, df: DataFrame, name: str, wanted: set[str]) -> DataFrame:
+        """df with what the query's functions read of a model; unchanged if it lacks the model's features.
+
+        anomaly is the z-score detector's score over the model's features, residual the target less its prediction,
+        explanation the three features whose mean would move the prediction most.
+        """
         m = self.models.load(name)
         if not set(m.card.features) <= set(df.columns):
             return df
-        out = M.predict(m, df)
-        for c in ("prediction", "probability", "confidence"):
-            if c in out.columns and c not in df.columns:
-                out = out.withColumnRenamed(c, f"__ai_{name}_{c}")
+        out = df
+        if wanted & {"prediction", "probability", "confidence", "residual"}:
+            columns = {c: f"__own_{c}" for c in ("prediction", "probability", "confidence") if c in df.columns}
+            out = M.predict(m, df.withColumnsRenamed(columns))
+            out = out.withColumnsRenamed({c: f"__ai_{name}_{c}" for c in ("prediction", "probability", "confidence") if c in out.columns} | {v: k for k, v in columns.items()})
+            if "residual" in wanted and m.card.target in df.columns:
+                out = out.withColumn(f"__ai_{name}_residual", F.col(m.card.target).cast("double") - F.col(f"__ai_{name}_prediction"))
+        if "anomaly" in wanted:
+            numbers = [f for f in m.card.features if f in A.numeric_columns(df)]
+            columns = {c: f"__own_{c}" for c in ("score", "anomaly") if c in out.columns}
+            out = detect(out.withColumnsRenamed(columns), numbers, "zscore").drop("anomaly").withColumnRenamed("score", f"__ai_{name}_anomaly").withColumnsRenamed({v: k for k, v in columns.items()})
+        if "explanation" in wanted:
+            out = M.explained(m, out, f"__ai_{name}_explanation")
         return out
 
+    def _known(self) -> set[str]:
+        return set(self.models.names())
+
     def run_batch(self, text: str, workers: int = 4) -> list[DataFrame]:
         """BEGIN BATCH s; s; ... END BATCH: the statements as concurrent Spark jobs, results in order."""
         from concurrent.futures import ThreadPoolExecutor
@@ -104,7 +121,7 @@ class Engine:
         return out
 
     def run(self, text: str) -> DataFrame:
-        p = Parser(text)
+        p = Parser(text, self._known())
         for words, f in self._statements():
             if p.at(*words):
                 for _ in words:
@@ -121,7 +138,8 @@ class Engine:
     def _statements(self):
         return (
             (("CREATE", "DATABASE"), self._create_database), (("USE",), self._use), (("SHOW", "DATABASES"), lambda p: self.catalog.databases()), (("SHOW", "TABLES"), lambda p: self.catalog.tables()),
-            (("SHOW", "TABLE", "STRUCTURE"), lambda p: self.catalog.structure(p.ident())), (("SHOW", "TABLE", "STATS"), lambda p: self.catalog.stats(p.ident())), (("SHOW", "DATABASE", "STRUCTURE"), self._database_structure),
+            (("SHOW", "TABLE", "STRUCTURE"), lambda p: self.catalog.structure(p.ident())), (("SHOW", "TABLE", "STATS"), lambda p: self.catalog.stats(p.ident())), (("SHOW", "DATABASE", "STRUCTURE"), self._database_structure), (("SHOW", "DATABASE", "STATS"), self._database_stats),
+            (("BEGIN",), self._begin), (("COMMIT",), self._commit), (("ROLLBACK",), self._rollback),
             (("SHOW", "MODELS"), lambda p: self.models.models()), (("SHOW_MODELS",), lambda p: self.models.models()), (("CREATE", "OR", "REPLACE", "MODEL"), lambda p: self._create_model(p, True)), (("CREATE", "MODEL"), self._create_model),
             (("CREATE_MODEL",), self._create_model), (("CREATE", "TABLE"), self._create_table), (("DROP", "TABLE"), self._drop_table), (("DROP", "MODEL"), self._drop_model), (("ALTER", "TABLE"), self._alter), (("INSERT", "INTO"), self._insert),
             (("BULK", "INSERT", "INTO"), self._insert), (("BULK", "UPDATE"), self._bulk_update), (("BULK", "DELETE", "FROM"), self._bulk_delete), (("UPDATE",), self._update), (("DELETE", "FROM"), self._delete), (("LOAD", "DATA"), self._load),
@@ -139,6 +157,26 @@ class Engine:
         self.catalog.use(n := p.ident())
         return self._say(f"using {n}")
 
+    def _begin(self, p: Parser) -> DataFrame:
+        p.take("TRANSACTION")
+        self.catalog.begin()
+        return self._say("transaction open")
+
+    def _commit(self, p: Parser) -> DataFrame:
+        p.take("TRANSACTION")
+        self.catalog.commit()
+        return self._say("transaction committed")
+
+    def _rollback(self, p: Parser) -> DataFrame:
+        p.take("TRANSACTION")
+        self.catalog.rollback()
+        return self._say("transaction rolled back")
+
+    def _database_stats(self, p: Parser) -> DataFrame:
+        if p.now.kind == "name":
+            self.catalog.use(p.ident())
+        return self.catalog.database_stats()
+
     def _database_structure(self, p: Parser) -> DataFrame:
         if p.now.kind == "name":
             self.catalog.use(p.ident())

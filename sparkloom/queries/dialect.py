@@ -68,26 +68,34 @@ def _(t):
     return engine(t).run("ANALYZE DATA orders FEATURES (o_totalprice) TYPE SUMMARY").select("column", "n", F.round("mean", 4).alias("mean"))
 
 
-@query("dialect_prepare_and_forecast", "SELECT 5 AS steps, 1000 AS enough")
+@query(
+    "dialect_prepare_and_forecast",
+    """
+    WITH t AS (SELECT o_orderdate::DATE AS d, sum(o_totalprice) AS v FROM orders GROUP BY 1), p AS (SELECT d, v, lag(v, 7) OVER (ORDER BY d) AS l, avg(v) OVER (ORDER BY d ROWS 2 PRECEDING) AS m, (row_number() OVER (ORDER BY d) - 1) / count(*) OVER () AS x FROM t)
+    SELECT count(*) AS rows, round(sum(l), 2) AS lags, round(sum(m), 2) AS means, count(*) FILTER (x < 0.7) AS train, sum(month(d))::BIGINT AS months, round(arg_max(v, d), 2) AS last, 5::BIGINT AS steps FROM p
+    """,
+)
 def _(t):
     from pyspark.sql import functions as F
 
     e = engine(t)
     e.register("daily", t.orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("v")))
-    rows = e.run("PREPARE TIME SERIES ready FROM daily TIME COLUMN d TARGET v WITH LAGS (1, 7) ROLLING_WINDOWS (3) ADD_DATETIME_FEATURES NO_AUTO_DETECT SPLIT (TRAIN = 0.7, VALIDATION = 0.15)").count()
-    steps = e.run("FORECAST USING ensemble FROM daily TIME COLUMN d VALUE COLUMNS (v) HORIZON 5 WITH CONFIDENCE").count()
-    return t.spark.createDataFrame([(steps, 1000 if rows >= 1000 else rows)], "steps int, enough int")
+    ready = e.run("PREPARE TIME SERIES ready FROM daily TIME COLUMN d TARGET v WITH LAGS (1, 7) ROLLING_WINDOWS (3) ADD_DATETIME_FEATURES NO_AUTO_DETECT SPLIT (TRAIN = 0.7, VALIDATION = 0.15)")
+    told = ready.agg(F.count("*").alias("rows"), F.round(F.sum("v_lag_7"), 2).alias("lags"), F.round(F.sum("v_mean_3"), 2).alias("means"), F.count_if(F.col("part") == "train").alias("train"), F.sum(F.col("month").cast("long")).alias("months"))
+    ahead = e.run("FORECAST USING persistence FROM daily TIME COLUMN d VALUE COLUMNS (v) HORIZON 5 WITH CONFIDENCE")
+    return told.join(ahead.agg(F.round(F.max("value"), 2).alias("last"), F.count("*").alias("steps")))
 
 
-@query("dialect_models", "SELECT count(*) AS n, TRUE AS scored FROM part WHERE p_size > 10")
+@query("dialect_models", "SELECT count(*) AS n, round(avg(3.5 * p_size + 7), 4)::DOUBLE AS mean, round(min(3.5 * p_size + 7), 4)::DOUBLE AS low, round(max(3.5 * p_size + 7), 4)::DOUBLE AS high FROM part WHERE p_size > 10")
 def _(t):
     from pyspark.sql import functions as F
 
     e = engine(t)
-    e.run("CREATE MODEL price USING REGRESSION FEATURES (p_size, p_type) TARGET p_retailprice FROM part WITH (iterations = 3)")
-    e.run("TRAIN MODEL again USING LIGHTGBM FEATURES (p_size) TARGET p_retailprice FROM part WITH HYPERPARAMETERS (num_iterations = 2) WHERE p_size > 3")
-    out = e.run("PREDICT USING price ON part WHERE p_size > 10 OUTPUT (p_partkey, prediction)")
-    return out.agg(F.count("*").alias("n"), F.every(F.col("prediction") > 0).alias("scored"))
+    e.register("priced", t.part.selectExpr("p_partkey", "p_size", "p_size * 3.5 + 7 AS price"))
+    e.run("CREATE MODEL price USING LINEAR FEATURES (p_size) TARGET price FROM priced WITH (iterations = 30)")
+    e.run("TRAIN MODEL again USING LIGHTGBM FEATURES (p_size) TARGET price FROM priced WITH HYPERPARAMETERS (num_iterations = 2) WHERE p_size > 3")
+    out = e.run("PREDICT USING price ON priced WHERE p_size > 10 OUTPUT (p_partkey, prediction)")
+    return out.agg(F.count("*").alias("n"), *[F.round(f("prediction"), 4).alias(n) for n, f in (("mean", F.avg), ("low", F.min), ("high", F.max))])
 
 
 @query("dialect_plot", "SELECT c_mktsegment AS category, round(sum(c_acctbal), 2) AS value FROM customer GROUP BY 1")
@@ -97,20 +105,57 @@ def _(t):
     return engine(t).run("PLOT BAR FOR SELECT c_mktsegment, c_acctbal FROM customer").select("category", F.round("value", 2).alias("value"))
 
 
-@query("dialect_simulate", "SELECT 200 AS n")
+@query("dialect_simulate", "SELECT unnest(range(1, 11))::BIGINT AS step, 20::BIGINT AS paths, TRUE AS distinct_paths, TRUE AS ordered")
 def _(t):
+    from pyspark.sql import functions as F
+
     out = engine(t).run("SIMULATE USING m FROM orders TIME COLUMN o_orderdate PRICE COLUMN o_totalprice STEPS 10 PATHS 20 INTERVAL 1d WITH_SCENARIO BULL")
-    return t.spark.createDataFrame([(out.count(),)], "n int")
+    of = out.groupBy(F.col("step").cast("long").alias("step"))
+    return of.agg(F.countDistinct("path").alias("paths"), (F.countDistinct("price") > 10).alias("distinct_paths"), F.every((F.col("bid") < F.col("price")) & (F.col("price") < F.col("ask"))).alias("ordered"))
+
+
+@query("dialect_ai_functions", "SELECT p_partkey, y AS guess, y AS own, y AS direct, y AS ahead, 0.0::DOUBLE AS rest FROM (SELECT p_partkey, (3.5 * p_size + 7)::DOUBLE AS y FROM part WHERE p_size > 20)")
+def _(t):
+    from pyspark.sql import functions as F
+
+    e = engine(t)
+    e.register("priced", t.part.selectExpr("p_partkey", "p_size", "p_size * 3.5D + 7 AS price"))
+    e.run("CREATE MODEL cost USING LINEAR FEATURES (p_size) TARGET price FROM priced WITH (iterations = 30)")
+    out = e.run("SELECT p_partkey, AI_PREDICT('cost', p_size) AS guess, PREDICT_USING_cost(p_size) AS own, cost(p_size) AS direct, FORECAST('cost', p_size) AS ahead, RESIDUAL_USING_cost(p_size) AS rest FROM priced WHERE p_size > 20")
+    return out.select("p_partkey", *[(F.round(c, 4) + 0.0).alias(c) for c in out.columns[1:]])
+
+
+@query(
+    "dialect_ai_anomaly_and_explain",
+    "WITH z AS (SELECT p_partkey, p_size, abs(p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS z, avg(p_size) OVER () AS m FROM part) SELECT p_partkey, round(z / (z + 3), 6) AS score, 'p_size' AS feature, round(3.5 * (p_size - m), 4)::DOUBLE AS effect FROM z",
+)
+def _(t):
+    from pyspark.sql import functions as F
+
+    e = engine(t)
+    e.register("priced", t.part.selectExpr("p_partkey", "p_size", "p_size * 3.5D + 7 AS price"))
+    e.run("CREATE MODEL cost USING LINEAR FEATURES (p_size) TARGET price FROM priced WITH (iterations = 30)")
+    out = e.run("SELECT p_partkey, AI_PREDICT_ANOMALY('cost', p_size) AS score, AI_EXPLAIN('cost', p_size) AS why FROM priced")
+    return out.select("p_partkey", F.round("score", 6).alias("score"), F.col("why")[0]["feature"].alias("feature"), (F.round(F.col("why")[0]["effect"], 4) + 0.0).alias("effect"))
+
+
+@query("dialect_transactions", "SELECT * FROM (VALUES (1, 'kept'), (2, 'kept'), (3, 'later')) v(k, v)")
+def _(t):
+    e = engine(t)
+    e.run("CREATE TABLE notes (k INT PRIMARY_KEY, v TEXT)")
+    for text in ("BEGIN", "INSERT INTO notes VALUES (1, 'kept')", "INSERT INTO notes VALUES (2, 'kept')", "COMMIT", "BEGIN TRANSACTION", "DELETE FROM notes", "INSERT INTO notes VALUES (9, 'gone')", "ROLLBACK", "INSERT INTO notes VALUES (3, 'later')"):
+        e.run(text)
+    return e.run("SELECT k, v FROM notes")
 
 
-@query("dialect_ai_functions", "SELECT count(*) AS n, TRUE AS scored FROM part WHERE p_size > 20")
+@query("dialect_database_stats", "SELECT 'default' AS database, 2::INT AS tables, 3::INT AS columns, (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS rows, TRUE AS filled")
 def _(t):
     from pyspark.sql import functions as F
 
     e = engine(t)
-    e.run("CREATE MODEL cost USING REGRESSION FEATURES (p_size) TARGET p_retailprice FROM part WITH (iterations = 2)")
-    out = e.run("SELECT p_partkey, AI_PREDICT('cost', p_size) AS guess FROM part WHERE p_size > 20")
-    return out.agg(F.count("*").alias("n"), F.every(F.col("guess") > 0).alias("scored"))
+    e.run("CREATE TABLE r AS SELECT r_regionkey, r_name FROM region")
+    e.run("CREATE TABLE n AS SELECT n_name FROM nation")
+    return e.run("SHOW DATABASE STATS").select("database", "tables", "columns", "rows", ((F.col("bytes") > 0) & (F.col("files") >= 2)).alias("filled"))
 
 
 @query("dialect_batch_and_pipeline", "SELECT (SELECT count(*) FROM nation) AS a, (SELECT count(*) FROM region) AS b, 3::BIGINT AS c")
@@ -121,11 +166,12 @@ def _(t):
     return t.spark.createDataFrame([(a, b, e.run("RUN PIPELINE p").first()[0])], "a long, b long, c long")
 
 
-@query("dialect_detect_anomaly", "SELECT count(*) AS n FROM supplier")
+@query("dialect_detect_anomaly", "WITH z AS (SELECT s_suppkey, abs(s_acctbal - avg(s_acctbal) OVER ()) / stddev_pop(s_acctbal) OVER () AS z FROM supplier), s AS (SELECT s_suppkey, z / (z + 3) AS score FROM z) SELECT s_suppkey, round(score, 6) AS score, score > (SELECT quantile_cont(score, 0.95) FROM s) AS anomaly FROM s")
 def _(t):
     from pyspark.sql import functions as F
 
-    return engine(t).run("DETECT ANOMALY IN supplier FEATURES (s_acctbal) USING zscore").agg(F.count("*").alias("n"))
+    out = engine(t).run("DETECT ANOMALY IN supplier FEATURES (s_acctbal) USING zscore")
+    return out.select("s_suppkey", F.round("score", 6).alias("score"), "anomaly")
 
 
 @query("dialect_user_function", "SELECT n_nationkey, n_regionkey * 2 + 1.0::DOUBLE AS d FROM nation")
