@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.profile import local_outlier_factor, numeric_columns
-from sparkloom.plans.ordering import quantiles
+from sparkloom.plans.ordering import matched, quantiles
 from sparkloom.plans.staging import stage
 
+# --- fixed values: rows a tree, its depth, trees ---
 SAMPLE, DEPTH, TREES = 256, 8, 100
 #: Copies of one vector that are numbered at once when the sample is drawn.
 COPIES = 10_000
@@ -126,6 +127,27 @@ def series_anomalies(df: DataFrame, time: str, y: str, keys: Sequence[str] = (),
     return out
 
 
+def collective(df: DataFrame, time: str, y: str, keys: Sequence[str] = (), width: int = 3, z: float = 3.0) -> DataFrame:
+    """Adds collective: the row lies in a stretch of `width` rows whose mean is more than z deviations of all other rows
+    from their mean."""
+    if width < 3:
+        raise ValueError("a stretch has three rows or more")
+    v, w = F.col(y).cast("double"), Window.partitionBy(*keys).orderBy(time)
+    whole = df.groupBy(*keys).agg(F.count(v).cast("double").alias("__n"), F.avg(v).alias("__m"), F.stddev_pop(v).alias("__s"))
+    d = matched(df, whole, keys)
+    # about the mean of all: sums of the others follow from those of the stretch
+    off = v - F.col("__m")
+    span = w.rowsBetween(-(width - 1), 0)
+    k, a, b = F.count(v).over(span), F.sum(off).over(span), F.sum(off * off).over(span)
+    d = d.select("*", k.alias("__k"), a.alias("__a"), b.alias("__b"))
+    rest = F.nullif(F.col("__n") - F.col("__k"), F.lit(0.0))
+    mean, square = -F.col("__a") / rest, (F.col("__n") * F.col("__s") * F.col("__s") - F.col("__b")) / rest
+    sd = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+    far = (F.col("__k") == width) & (F.abs(F.col("__a") / width - mean) / (sd + 1e-10) > z)
+    d = d.withColumn("__far", F.coalesce(far, F.lit(False)).cast("int"))
+    return d.withColumn("collective", F.max("__far").over(w.rowsBetween(0, width - 1)) == 1).drop("__n", "__m", "__s", "__k", "__a", "__b", "__far")
+
+
 def detect(df: DataFrame, columns: Sequence[str] | None = None, algorithm: str = "isolation_forest", contamination: float = 0.05, key: str | None = None, seed: int = 1) -> DataFrame:
     """df with score (0 to 1) and anomaly: the scores above the 1 - contamination quantile."""
     columns = list(columns or feature_columns(df))

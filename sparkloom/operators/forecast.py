@@ -39,6 +39,18 @@ def decompose(x: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return t, season, x - t - season
 
 
+def find_period(x: np.ndarray, most: int = 365, least: float = 0.3) -> int:
+    """The lag of the strongest peak of the autocorrelation above `least`, 0 without one."""
+    x = np.asarray(x, float)
+    most = min(most, len(x) // 2)
+    if most < 2 or np.var(x) < 1e-12:
+        return 0
+    e = x - x.mean()
+    r = np.array([1.0] + [(e[:-k] * e[k:]).mean() / e.var() for k in range(1, most + 1)])
+    peaks = [k for k in range(2, most) if r[k] > r[k - 1] and r[k] > r[k + 1] and r[k] > least]
+    return max(peaks, key=lambda k: r[k], default=0)
+
+
 def forecast_values(x: np.ndarray, horizon: int, strategy: str = "ensemble", lags: int = 7, period: int = 0) -> np.ndarray:
     """horizon values after x."""
     x = np.asarray(x, float)
@@ -89,8 +101,8 @@ def _bands(x: np.ndarray, horizon: int, levels: Sequence[float]) -> list[np.ndar
     return [np.quantile(err, level) * (1 + 0.1 * np.arange(horizon)) for level in levels]
 
 
-def forecast(df: DataFrame, time: str, y: str, horizon: int, keys: Sequence[str] = (), strategy: str = "ensemble", lags: int = 7, period: int = 0) -> DataFrame:
-    """keys, step, value and the 80 % and 95 % bands after each series' last row."""
+def forecast(df: DataFrame, time: str, y: str, horizon: int, keys: Sequence[str] = (), strategy: str = "ensemble", lags: int = 7, period: int | None = None) -> DataFrame:
+    """keys, step, value and the 80 % and 95 % bands after each series' last row; without a period each series' own is found."""
     if horizon < 1:
         raise ValueError("the horizon is at least 1")
     if strategy not in STRATEGIES:
@@ -98,7 +110,8 @@ def forecast(df: DataFrame, time: str, y: str, horizon: int, keys: Sequence[str]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(time, kind="stable")[y].dropna().to_numpy(float)
-        v = forecast_values(x, horizon, strategy, lags, period)
+        own = find_period(x) if period is None and strategy in ("seasonal", "ensemble") else period or 0
+        v = forecast_values(x, horizon, strategy, lags, own)
         b80, b95 = _bands(x, horizon, (0.8, 0.95))
         out = pd.DataFrame({k: [pdf[k].iloc[0]] * horizon for k in keys})
         for name, col in (("step", np.arange(1, horizon + 1)), ("value", v), ("low80", v - b80), ("high80", v + b80), ("low95", v - b95), ("high95", v + b95)):
@@ -109,6 +122,17 @@ def forecast(df: DataFrame, time: str, y: str, horizon: int, keys: Sequence[str]
     return df.select(*keys, time, y).groupBy(*keys).applyInPandas(run, fields + "step long, value double, low80 double, high80 double, low95 double, high95 double")
 
 
+def periods(df: DataFrame, time: str, y: str, keys: Sequence[str] = (), most: int = 365) -> DataFrame:
+    """keys, period: what a forecast takes for each series' season, 0 for none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(time, kind="stable")[y].dropna().to_numpy(float)
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), find_period(x, most)]], columns=[*keys, "period"])
+
+    fields = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return df.select(*keys, time, y).groupBy(*keys).applyInPandas(run, fields + "period int")
+
+
 def backtest(df: DataFrame, time: str, y: str, horizon: int, folds: int = 3, keys: Sequence[str] = (), strategies: Sequence[str] = STRATEGIES, lags: int = 7, period: int = 7) -> DataFrame:
     """keys, strategy, mape and rmse over expanding splits: the auto-tuner takes the smallest."""
 

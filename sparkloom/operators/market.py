@@ -110,6 +110,18 @@ def regime(trend: Column, vol: Column) -> Column:
     )
 
 
+def trend_lines(df: DataFrame, time: str, x: str, half: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, level, slope (a bar) and value at the last bar of the line through the two latest supports, and resistances."""
+    bars = df.select(*keys, time, x, F.row_number().over(_w(time, keys)).alias("__i"))
+    ends = bars.groupBy(*keys).agg(F.max("__i").alias("__last"))
+    latest = F.row_number().over(Window.partitionBy(*keys, "level").orderBy(F.desc("__i")))
+    two = levels(bars, time, x, half, keys).withColumn("__n", latest).where("__n <= 2")
+    at = lambda c, k: F.max(F.when(F.col("__n") == k, F.col(c)))
+    line = two.groupBy(*keys, "level").agg(F.count("*").alias("__k"), at("__i", 1).alias("i1"), at("__i", 2).alias("i2"), at(x, 1).alias("x1"), at(x, 2).alias("x2")).where("__k = 2")
+    slope = (F.col("x1") - F.col("x2")) / (F.col("i1") - F.col("i2"))
+    return matched(line, ends, keys).select(*keys, "level", slope.alias("slope"), (F.col("x1") + slope * (F.col("__last") - F.col("i1"))).alias("value"))
+
+
 def levels(df: DataFrame, time: str, x: str, half: int = 5, keys: Sequence[str] = ()) -> DataFrame:
     """Support and resistance: rows that are the lowest or highest of their surroundings."""
     around = _w(time, keys).rowsBetween(-half, half)

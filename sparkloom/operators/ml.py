@@ -324,11 +324,11 @@ def sample(df: DataFrame, ratio: float, by: str | None = None, seed: int = 1) ->
     h = F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(1_000_000)) < int(ratio * 1_000_000)
     if by is None:
         return df.filter(h)
-    from pyspark.sql import Window
+    from sparkloom.plans.ordering import running
 
-    w = Window.partitionBy(by).orderBy(F.xxhash64(*df.columns, F.lit(seed)), *df.columns)
-    share = F.row_number().over(w) <= F.ceil(F.count("*").over(Window.partitionBy(by)) * ratio)
-    return df.withColumn("__s", share).where("__s").drop("__s")
+    # places by ranges of hash within each stratum: a hot stratum is spread like any other rows
+    d = df.withColumn("__h", F.xxhash64(*df.columns, F.lit(seed)))
+    return running(d, ["__h", *df.columns], before="__b", total="__t", keys=(by,)).where(F.col("__b") < F.ceil(F.col("__t") * ratio)).drop("__h", "__b", "__t")
 
 
 def select_features(df: DataFrame, features: Sequence[str], target: str | None = None, method: str = "variance", threshold: float = 0.0, top: int | None = None) -> DataFrame:

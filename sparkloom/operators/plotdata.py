@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import math
 from collections.abc import Sequence
 
@@ -14,6 +15,7 @@ from sparkloom.operators.profile import counted, numeric_columns, quantiles
 from sparkloom.operators.stats.correlation import matrix
 from sparkloom.operators.stats.information import binned
 from sparkloom.plans.ordering import cumulative
+from sparkloom.plans.staging import write_text
 
 
 def classify(df: DataFrame) -> dict[str, str]:
@@ -180,6 +182,63 @@ def dashboard(df: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+# --- files ---
+
+
+def svg(rows: list[dict], kind: str, width: int = 640, height: int = 400) -> str:
+    """A frame of a few rows as a drawing: bars over categories or bins, else a line or points for each series."""
+    names = list(rows[0]) if rows else []
+    numbers = [n for n in names if all(isinstance(r[n], (int, float)) and not isinstance(r[n], bool) for r in rows)]
+    value = next((n for n in ("value", "n", "density", "residual", "ecdf") if n in numbers), numbers[-1] if numbers else None)
+    at = next((n for n in ("x", "category", "low", "bin", "column") if n in names and n != value), names[0] if names else None)
+    of = next((n for n in ("series",) if n in names), None)
+    if value is None or at is None:
+        raise ValueError("nothing to draw: a plot takes a number")
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(r[of] if of else "", []).append((r[at], float(r[value])))
+    places = sorted({x for g in groups.values() for x, _ in g}, key=lambda x: (str(type(x)), x))
+    scale = isinstance(places[0], (int, float)) and kind not in ("BAR", "STACKED_BAR", "PIE", "HISTOGRAM")
+    lo, hi = (min(places), max(places)) if scale else (0, max(len(places) - 1, 1))
+    ys = [y for g in groups.values() for _, y in g]
+    low, high = min(0.0, *ys), max(0.0, *ys)
+    px = lambda x: 40 + (width - 60) * ((x if scale else places.index(x)) - lo) / ((hi - lo) or 1)
+    py = lambda y: height - 30 - (height - 50) * (y - low) / ((high - low) or 1)
+    colours = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b")
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">', f'<line x1="40" y1="{py(0):.1f}" x2="{width - 20}" y2="{py(0):.1f}" stroke="#888"/>']
+    for i, (name, points) in enumerate(sorted(groups.items(), key=lambda g: str(g[0]))):
+        c = colours[i % len(colours)]
+        points.sort(key=lambda p: px(p[0]))
+        if kind in ("BAR", "STACKED_BAR", "PIE", "HISTOGRAM", "DISTRIBUTION"):
+            wide = max(1.0, (width - 60) / (len(places) + 1) * 0.8)
+            out += [f'<rect x="{px(x) - wide / 2:.1f}" y="{min(py(y), py(0)):.1f}" width="{wide:.1f}" height="{abs(py(y) - py(0)):.1f}" fill="{c}"/>' for x, y in points]
+        elif kind in ("SCATTER", "QQ", "RESIDUALS"):
+            out += [f'<circle cx="{px(x):.1f}" cy="{py(y):.1f}" r="2" fill="{c}"/>' for x, y in points]
+        else:
+            out.append(f'<polyline fill="none" stroke="{c}" points="' + " ".join(f"{px(x):.1f},{py(y):.1f}" for x, y in points) + '"/>')
+        if name:
+            out.append(f'<text x="50" y="{20 + 14 * i}" font-size="12" fill="{c}">{html.escape(str(name))}</text>')
+    return "\n".join([*out, "</svg>"])
+
+
+#: Rows of a frame that a drawing takes; larger frames are saved as data.
+DRAWN = 100_000
+
+
+def save(df: DataFrame, path: str, kind: str = "LINE") -> None:
+    """By the path's ending: .svg a drawing of the frame, .parquet, .csv and .json its rows, written by the executors."""
+    ending = path.rsplit(".", 1)[-1].lower()
+    if ending == "svg":
+        rows = df.limit(DRAWN + 1).collect()
+        if len(rows) > DRAWN:
+            raise ValueError(f"a drawing takes {DRAWN} rows; aggregate the plot or save its rows")
+        write_text(df.sparkSession, path, svg([r.asDict() for r in rows], kind.upper()))
+    elif ending in ("parquet", "csv", "json"):
+        df.write.mode("overwrite").option("header", True).format(ending).save(path)
+    else:
+        raise ValueError("a plot is saved as .svg, .parquet, .csv or .json")
+
+
 # --- geographic frames ---
 
 

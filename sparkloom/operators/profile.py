@@ -19,7 +19,7 @@ from sparkloom.operators.stats import descriptive as D
 from sparkloom.operators.stats.information import binned
 from sparkloom.plans import ordering
 from sparkloom.plans.ordering import average_ranks
-from sparkloom.plans.staging import stage
+from sparkloom.plans.staging import stage, write_text
 
 TYPES = ("SUMMARY", "COMPREHENSIVE", "CORRELATION", "IMPORTANCE", "CLUSTERING", "OUTLIER", "DISTRIBUTION", "TIMESERIES", "QUALITY")
 # --- fixed values of the quality report: patterns, weights of the six scores, scores without a measurement, limits ---
@@ -396,8 +396,7 @@ def report(df: DataFrame, kind: str = "MARKDOWN") -> str:
 def save_report(df: DataFrame, path: str) -> None:
     """By the file's ending: .json, .md, .html, .csv."""
     kind = {"json": "JSON", "md": "MARKDOWN", "html": "HTML", "csv": "CSV"}[path.rsplit(".", 1)[-1].lower()]
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(report(df, kind))
+    write_text(df.sparkSession, path, report(df, kind))
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from sparkloom.operators.market import REGIMES
 from sparkloom.operators.tsprep import interval_seconds
 from sparkloom.plans.ordering import matched, quantiles
 
+# --- fixed values: variance recursion, drift and volatility factor of each scenario ---
 OMEGA, ALPHA, BETA = 1e-6, 0.1, 0.85
 SCENARIOS = {"BASE": (0.0, 1.0), "BULL": (0.0005, 0.9), "BEAR": (-0.0005, 1.2), "CRASH": (-0.004, 3.0), "RALLY": (0.003, 1.5), "VOLATILE": (0.0, 2.0), "SIDEWAYS": (0.0, 0.6)}
 SCHEMA = "simulation_id string, step int, path int, timestamp timestamp, price double, return double, volatility double, volume double, regime string, sma_20 double, rsi double, bid double, ask double, confidence double"

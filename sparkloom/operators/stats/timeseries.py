@@ -89,6 +89,18 @@ def sample_entropy(x: np.ndarray, m: int = 2, tolerance: float = 0.2) -> float:
     return -math.log(a / b) if a and b else 0.0
 
 
+def approximate_entropy(x: np.ndarray, m: int = 2, tolerance: float = 0.2) -> float:
+    """Log of how often stretches that agree on m values, each with itself too, agree on the next."""
+    r = tolerance * x.std()
+
+    def phi(k: int) -> float:
+        e = np.stack([x[i : len(x) - k + 1 + i] for i in range(k)], 1)
+        share = np.array([(np.abs(e - row).max(1) <= r).mean() for row in e])
+        return float(np.log(share).mean())
+
+    return phi(m) - phi(m + 1) if len(x) > m + 1 else 0.0
+
+
 def ewma_variance(x: np.ndarray, decay: float = 0.94) -> np.ndarray:
     out, v = np.zeros(len(x)), 0.0
     for i, r in enumerate(x):
@@ -98,14 +110,14 @@ def ewma_variance(x: np.ndarray, decay: float = 0.94) -> np.ndarray:
 
 
 def per_series(df: DataFrame, order: str, x: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Hurst, Lyapunov and sample entropy of each key's series; a series must fit one task."""
+    """Hurst, Lyapunov, sample and approximate entropy of each key's series; a series must fit one task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values(order, kind="stable")[x].dropna().to_numpy(float)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), len(v), hurst_exponent(v), lyapunov_exponent(v), sample_entropy(v)]], columns=[*keys, "n", "hurst", "lyapunov", "sample_entropy"])
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), len(v), hurst_exponent(v), lyapunov_exponent(v), sample_entropy(v), approximate_entropy(v)]], columns=[*keys, "n", "hurst", "lyapunov", "sample_entropy", "approximate_entropy"])
 
     fields = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
-    return df.groupBy(*keys).applyInPandas(run, fields + "n long, hurst double, lyapunov double, sample_entropy double")
+    return df.groupBy(*keys).applyInPandas(run, fields + "n long, hurst double, lyapunov double, sample_entropy double, approximate_entropy double")
 
 
 def spectrum(df: DataFrame, order: str, x: str, keys: tuple[str, ...] = (), top: int = 5) -> DataFrame:

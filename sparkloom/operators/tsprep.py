@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.stats.timeseries import acf
+from sparkloom.plans.ordering import running
+from sparkloom.plans.staging import stage
 
 AUTO_LAGS, AUTO_WINDOWS = (1, 2, 3, 7, 14, 30), (7, 14, 30)
 
@@ -69,7 +71,8 @@ def split(df: DataFrame, time: str, train: float = 0.7, validation: float = 0.15
 
 def walk_forward(df: DataFrame, time: str, folds: int, test_size: int, gap: int = 0) -> list[tuple[DataFrame, DataFrame]]:
     """Expanding training windows with a gap before each test window, by position in time."""
-    d = df.withColumn("__i", F.row_number().over(_w(time, ()))).persist()
+    # places by ranges of time: no task has all rows, and folds read what is staged
+    d = stage(running(df, [time], before="__b", total="__t").withColumn("__i", F.col("__b") + 1).drop("__b", "__t"), "folds")
     n = d.count()
     out = []
     for k in range(folds, 0, -1):
@@ -109,7 +112,7 @@ def prepare(
     """PREPARE TIME SERIES: explicit options win over automatic ones; all take effect."""
     if auto and lags is None and windows is None:
         lags, windows = AUTO_LAGS, AUTO_WINDOWS
-        make_stationary = make_stationary or not all(r.stationary for r in stationarity(df, time, y, keys=keys).select("stationary").collect())
+        make_stationary = make_stationary or not stationarity(df, time, y, keys=keys).agg(F.every("stationary")).first()[0]
     out = lag_features(df, time, y, lags or (), keys)
     out = rolling_features(out, time, y, windows or (), keys)
     if make_stationary:

@@ -320,8 +320,8 @@ class Engine:
                 p.need("TYPE")
                 p.need("=")
                 p.value()
-        good, bad = self.catalog.load_csv(path, n, header, delimiter, columns)
-        return self._say(f"{bad} lines left out", good)
+        good, bad, lost = self.catalog.load_csv(path, n, header, delimiter, columns)
+        return self._say(f"{bad} lines left out, {lost} values of another type are NULL", good)
 
     # --- analysis and series ---
 
@@ -560,11 +560,16 @@ class Engine:
             p.ident()
             opts = p.options() if p.at("(") else {}
             p.need("FOR")
-            return realtime_plot(self.query(p.select()), opts.get("window"), str(opts.get("method", "AVERAGE")))
+            return realtime_plot(self.query(p.select()), opts.get("window"), str(opts.get("method", "AVERAGE")), int(opts.get("n", 1)))
         kind = p.ident().upper()
         opts = p.options() if p.at("(") else {}
         p.need("FOR")
-        df = self.query(p.select())
+        out = self._frame(kind, opts, self.query(p.select()))
+        if "save" in opts:
+            P.save(out, str(opts["save"]), kind)
+        return out
+
+    def _frame(self, kind: str, opts: dict, df: DataFrame) -> DataFrame:
         roles = P.classify(df)
         numbers = [c for c, r in roles.items() if r in ("numeric", "integer")]
         other = [c for c in df.columns if c not in numbers]

@@ -21,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on whatever file system the path is of; an existing one is replaced."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"

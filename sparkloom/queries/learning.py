@@ -161,6 +161,14 @@ def _(t):
     return A.series_anomalies(t.events, "event_id", "value", ("event_type",), z=1.6).select("event_id", "point", "sliding")
 
 
+@query(
+    "anomaly_collective",
+    "WITH e AS (SELECT event_id, event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), w AS (SELECT event_type, count(*) AS n, sum(v) AS s, sum(v * v) AS q FROM e GROUP BY 1), g AS (SELECT e.event_type, i, count(*) OVER p AS k, sum(v) OVER p AS a, sum(v * v) OVER p AS b, n, s, q FROM e JOIN w USING (event_type) WINDOW p AS (PARTITION BY event_type ORDER BY i ROWS 2 PRECEDING)), f AS (SELECT event_type, i FROM g WHERE k = 3 AND abs(a / 3 - (s - a) / (n - 3)) / (sqrt((q - b) / (n - 3) - ((s - a) / (n - 3)) ** 2) + 1e-10) > 1.2) SELECT event_id, EXISTS (SELECT 1 FROM f WHERE f.event_type = e.event_type AND f.i BETWEEN e.i AND e.i + 2) AS collective FROM e",
+)
+def _(t):
+    return A.collective(t.events, "event_id", "value", ("event_type",), z=1.2).select("event_id", "collective")
+
+
 @query("anomaly_ensemble")
 def _(t):
     return A.ensemble(t.orders.select("o_orderkey", "o_totalprice", F.dayofyear("o_orderdate").cast("double").alias("day")), "o_orderkey", ["o_totalprice", "day"])

@@ -82,6 +82,14 @@ def _(t):
     return M.levels(hourly(t), "start", "close", 5, ("s",)).select("s", c("start").cast("timestamp_ntz").alias("start"), "level")
 
 
+@query(
+    "market_trend_lines",
+    f"{_C}, b AS (SELECT s, start, close, row_number() OVER {_W} AS i, count(*) OVER (PARTITION BY s) AS last FROM c), a AS (SELECT *, min(close) OVER w AS lo, max(close) OVER w AS hi, count(*) OVER w AS n FROM b WINDOW w AS (PARTITION BY s ORDER BY start ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)), l AS (SELECT s, i, close, last, CASE WHEN close = lo THEN 'support' ELSE 'resistance' END AS level FROM a WHERE n = 11 AND (close = lo OR close = hi)), r AS (SELECT *, row_number() OVER (PARTITION BY s, level ORDER BY i DESC) AS r FROM l), p AS (SELECT a.s, a.level, (a.close - b.close) / (a.i - b.i) AS slope, a.close, a.i, a.last FROM r a JOIN r b ON a.s = b.s AND a.level = b.level AND a.r = 1 AND b.r = 2) SELECT s, level, round(slope, 6) AS slope, round(close + slope * (last - i), 6) AS value FROM p",
+)
+def _(t):
+    return rounded(M.trend_lines(hourly(t), "start", "close", 5, ("s",)))
+
+
 def simulated(t, **k):
     start = S.calibrate(t.orders, "o_orderdate", "o_totalprice")
     return S.simulate(t.spark, start, 30, 50, "1d", seed=7, **k)

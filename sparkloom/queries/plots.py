@@ -108,6 +108,20 @@ def _(t):
     return rounded(P.rescale(d, "c_acctbal", "log").select("c_custkey", "n", c("scaled").alias("l")), 8)
 
 
+@query("plot_saved", "SELECT c_mktsegment AS category, round(sum(c_acctbal), 2) AS value, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS bars FROM customer GROUP BY 1")
+def _(t):
+    """The frame saved as rows and read again, and the number of bars in its drawing."""
+    import uuid
+
+    from sparkloom.plans.staging import shared_dir
+
+    frame, base = P.bar(t.customer, "c_mktsegment", "c_acctbal"), f"{shared_dir(t.spark)}/plot-{uuid.uuid4().hex}"
+    P.save(frame, f"{base}/rows.parquet")
+    P.save(frame, f"{base}/bars.svg", "BAR")
+    drawn = t.spark.read.text(f"{base}/bars.svg", wholetext=True).select(F.expr("regexp_count(value, '<rect ')").cast("long").alias("bars"))
+    return t.spark.read.parquet(f"{base}/rows.parquet").join(drawn).select("category", F.round("value", 2).alias("value"), "bars")
+
+
 @query("plot_dashboard", "SELECT 6 AS frames")
 def _(t):
     return t.spark.createDataFrame([(len(P.dashboard(t.lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax"))),)], "frames int")

@@ -40,6 +40,11 @@ def _(t):
     return ntz(parts[0].join(parts[1], "start").join(parts[2], "start"))
 
 
+@query("stream_every_n", "SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events) WHERE i % 10 = 0")
+def _(t):
+    return S.every_n(t.events, "ts", 10, ("event_type",), "event_id").select("event_id", "value")
+
+
 @query("stream_sliding", "SELECT w AS start, round(sum(value), 4) AS value FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k) AS w, value FROM events, (SELECT unnest([0, 1]) AS k)) GROUP BY 1")
 def _(t):
     return ntz(rounded(S.drain(S.downsample(stream(t), "ts", "value", "2 hours", "SUM", slide="1 hour"), "complete"), 4))

@@ -154,5 +154,5 @@ def _(t):
 def _(t):
     path = f"{shared_dir(t.spark)}/csv-{uuid.uuid4().hex}"
     t.spark.createDataFrame([("a;b",), ("1;x",), ("2;y;z",), ("3;w",)], "value string").coalesce(1).write.text(path)
-    good, bad = catalog(t).load_csv(path, "c", delimiter=";")
+    good, bad, _ = catalog(t).load_csv(path, "c", delimiter=";")
     return t.spark.createDataFrame([(good, bad)], "loaded int, bad int")

@@ -145,6 +145,16 @@ def _(t):
     return Y.backtest(daily(t), "d", "v", 7, 3, ("o_orderstatus",))
 
 
+@query("forecast_period", "SELECT event_type, 7::INT AS period FROM events GROUP BY 1")
+def _(t):
+    """A weekly wave on each type's events, in their order."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
+    wave = t.events.select("event_type", "event_id", (10 * F.sin(2 * F.pi() * place / 7) + c("value") / 100).alias("v"))
+    return Y.periods(wave, "event_id", "v", ("event_type",), 10)
+
+
 @query(
     "forecast_decomposition",
     f"""{_D}, i AS (SELECT *, row_number() OVER {_W} - 1 AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n, avg(v) OVER (PARTITION BY o_orderstatus ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m FROM t),

@@ -439,17 +439,17 @@ class Catalog:
         c.name = new
         self._publish(table, rows, cols, s["next_row"], s["version"] + 1)
 
-    def load_csv(self, path: str, table: str, header: bool = True, delimiter: str = ",", columns: Sequence[str] | None = None) -> tuple[int, int]:
-        """LOAD DATA: rows loaded and lines left out; a missing table is made from the header and a sample."""
+    def load_csv(self, path: str, table: str, header: bool = True, delimiter: str = ",", columns: Sequence[str] | None = None) -> tuple[int, int, int]:
+        """LOAD DATA: rows loaded, lines left out, values lost to the table's types; a missing table is made from the header and all values."""
         if table in self.table_names():
             cols = self.columns(table)
             names = list(columns) if columns else None if header else [c.name for c in cols]
             types = {c.name: c.type.upper() for c in cols}
-            good, bad = csv.load(self.spark, path, header, delimiter, types, names)
+            good, bad, lost = csv.load(self.spark, path, header, delimiter, types, names)
         else:
-            good, bad = csv.load(self.spark, path, header, delimiter, columns=list(columns) if columns else None)
+            good, bad, lost = csv.load(self.spark, path, header, delimiter, columns=list(columns) if columns else None)
             self.create_table(table, [ColumnDef.of(f) for f in good.schema.fields])
-        return self.insert(table, good), bad.count()
+        return self.insert(table, good), bad.count(), lost
 
     # --- reports ---
 

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.plans.ordering import running
 from sparkloom.plans.staging import shared_dir
 
-DOWNSAMPLES = ("AVERAGE", "MAX", "MIN", "LAST", "SUM", "COUNT")
+DOWNSAMPLES = ("AVERAGE", "MAX", "MIN", "LAST", "SUM", "COUNT", "EVERY_N")
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet", files_per_trigger: int = 1, glob: str | None = None) -> DataFrame:
@@ -43,6 +44,29 @@ def downsample(df: DataFrame, time: str, value: str, width: str, how: str = "AVE
     return out.select(*keys, F.col("__w.start").alias("start"), "value")
 
 
+def every_n(df: DataFrame, time: str, n: int, keys: tuple[str, ...] = (), tie: str | None = None) -> DataFrame:
+    """The first row in time order of each key, and every n-th after it.
+
+    A batch counts places by ranges of the order, so that no task needs all rows; a stream counts the rows of a key as
+    they arrive, in time order within a trigger.
+    """
+    if n < 1:
+        raise ValueError("every n-th row, from 1 on")
+    if not df.isStreaming:
+        order = [time, tie] if tie else [time]
+        return running(df, order, before="__before", total="__total", keys=keys).where(F.col("__before") % n == 0).drop("__before", "__total")
+
+    def keep(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values([time, tie] if tie else [time], kind="stable")
+        seen = state.get[0] if state.exists else 0
+        state.update((seen + len(rows),))
+        yield rows[[(seen + i) % n == 0 for i in range(len(rows))]]
+
+    d = _timed(df, time)
+    by = d.groupBy(*keys) if keys else d.groupBy(F.lit(0).alias("__all"))
+    return by.applyInPandasWithState(keep, d.schema, "seen long", "append", "NoTimeout")
+
+
 def sessions(df: DataFrame, time: str, gap: str, keys: tuple[str, ...], late: str = "1 hour") -> DataFrame:
     """Session windows: keys, start, end, n."""
     out = _timed(df, time).withWatermark(time, late).groupBy(*keys, F.session_window(time, gap).alias("__w")).agg(F.count("*").alias("n"))
@@ -140,7 +164,7 @@ def live_simulation(spark: SparkSession, start: float, drift: float, sd: float,
     return rate_stream(spark, steps_per_second).select("timestamp", F.col("value").alias("step"), (F.lit(drift) + F.lit(sd) * normal).alias("log_return"), F.lit(float(start)).alias("start"))
 
 
-def realtime_plot(df: DataFrame, width: str | None = None, how: str = "AVERAGE") -> DataFrame:
+def realtime_plot(df: DataFrame, width: str | None = None, how: str = "AVERAGE", n: int = 1) -> DataFrame:
     """The frame of a live plot: the first time-like column is x, numeric ones are series, text columns are groups."""
     from sparkloom.operators.plotdata import classify
 
@@ -151,6 +175,8 @@ def realtime_plot(df: DataFrame, width: str | None = None, how: str = "AVERAGE")
     if x is None or not ys:
         raise ValueError("a live plot needs a time and a number")
     long = df.select(F.col(x).alias("x"), *groups, F.explode(F.array(*[F.struct(F.lit(y).alias("series"), F.col(y).cast("double").alias("value")) for y in ys])).alias("p")).select("x", *groups, "p.*")
+    if how.upper() == "EVERY_N":
+        return every_n(long, "x", n, (*groups, "series"))
     return long if width is None else downsample(long, "x", "value", width, how, (*groups, "series")).withColumnRenamed("start", "x")
 
 

@@ -57,3 +57,22 @@ def test_gap_anchored_windows(spark):
 
 def test_rate_source_is_a_stream(spark):
     assert S.rate_stream(spark).isStreaming
+
+
+def test_every_nth_row_of_a_stream_equals_the_batch(spark):
+    t = S.file_stream(spark, "/root/testdata/sf0.001", spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema, glob="events.parquet")
+    got = S.drain(S.every_n(t, "ts", 7, ("event_type",), "event_id"))
+    want = S.every_n(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), "ts", 7, ("event_type",), "event_id")
+    assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect())
+
+
+def test_live_simulation_is_a_stream_of_seeded_returns(spark):
+    from pyspark.sql import functions as F
+
+    live = S.live_simulation(spark, 100.0, 0.001, 0.02, seed=5)
+    assert live.isStreaming and live.columns == ["timestamp", "step", "log_return", "start"]
+    # the return is a function of the step's number: the same expression over a batch of steps is normal and repeats
+    step = spark.range(4000).withColumnRenamed("id", "value").withColumn("timestamp", F.current_timestamp())
+    expr = lambda: step.select("value", (F.lit(0.001) + F.lit(0.02) * F.sqrt(-2 * F.log((F.pmod(F.xxhash64("value", F.lit(5), F.lit(1)), F.lit(1_000_003)) + 1) / 1_000_005)) * F.cos(2 * F.pi() * (F.pmod(F.xxhash64("value", F.lit(5), F.lit(2)), F.lit(1_000_003)) + 1) / 1_000_005)).alias("r"))
+    r = [x.r for x in expr().collect()]
+    assert r == [x.r for x in expr().collect()] and abs(sum(r) / len(r) - 0.001) < 0.002

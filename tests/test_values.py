@@ -167,6 +167,11 @@ def test_series_complexity_and_spectrum(run):
         near = lambda m, i, j: max(abs(x[i + t] - x[j + t]) for t in range(m)) <= 0.2 * x.std()
         a, b = (sum(near(m, i, j) for i in range(n - 2) for j in range(i + 1, n - 2)) for m in (3, 2))
         assert got[k].sample_entropy == pytest.approx(-math.log(a / b) if a and b else 0.0, abs=1e-5)
+        def phi(m):
+            stretches = [x[i : i + m] for i in range(n - m + 1)]
+            return np.mean([math.log(np.mean([max(abs(p - q)) <= 0.2 * x.std() for q in stretches])) for p in stretches])
+
+        assert got[k].approximate_entropy == pytest.approx(phi(2) - phi(3), abs=1e-5)
         e, total, used = np.stack([x[i : i + n - 3] for i in range(3)], 1), 0.0, 0
         for i in range(n - 4):
             d = [(np.linalg.norm(e[i] - e[j]), j) for j in range(n - 4) if abs(i - j) > 1]
