@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import ship, stage
+from sparkloom.plans.ordering import running
 
 #: Rows of a cell, about.
 CELL = 4096
@@ -45,18 +46,18 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     stops at `cap` times its source's words and the excess is shared among the others by weight, until none is above.
     Sorted by cap per weight, the sources that stop come first: running sums over the sources give the rest's rate.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.expr("(row_number() OVER (ORDER BY source IS NULL, source) - 1)") % len(weights) + 1).cast("int"))
-    per = per.withColumn("w", w).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    per = per.selectExpr(
-        "*",
-        f"{float(share)}D * sum(source_size) OVER () AS budget",
-        "coalesce(sum(most) OVER (ORDER BY most / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D) AS stopped",
-        "sum(w) OVER (ORDER BY most / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w",
-    )
-    per = per.withColumn("rate", F.expr("(budget - stopped) / open_w")).withColumn("stops", F.expr("w * rate >= most"))
-    per = per.withColumn("final", F.expr("min(IF(stops, NULL, rate)) OVER ()"))
-    return per.select("source", "source_size", "n_rows", F.expr("IF(stops, most, w * final)").alias("target"))
+    per = stage(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), "sources")
+    budget = float(share) * float(per.agg(F.sum("source_size")).first()[0] or 0)
+    # places and sums by ranges of the order: a source may be a host, so no task has all of them
+    last = F.col("source").isNull()
+    placed = running(per, [last, "source"], before="place", total="sources")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    placed = placed.withColumn("w", w).withColumn("most", F.col("source_size") * F.lit(float(cap)))
+    order = [F.col("most") / F.col("w"), last, "source"]
+    sums = running(running(placed, order, F.col("most"), "stopped", "all_most"), order, F.col("w"), "passed_w", "all_w")
+    rated = stage(sums.withColumn("rate", (F.lit(budget) - F.col("stopped")) / (F.col("all_w") - F.col("passed_w"))).withColumn("stops", F.expr("w * rate >= most")), "rates")
+    final = rated.where("NOT stops").agg(F.min("rate")).first()[0]
+    return rated.select("source", "source_size", "n_rows", F.when(F.col("stops"), F.col("most")).otherwise(F.col("w") * F.lit(final).cast("double")).alias("target"))
 
 
 def round_cell(x: np.ndarray, s: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
@@ -92,8 +93,8 @@ def mix(sized: DataFrame, shares: DataFrame, seed: int = 1) -> DataFrame:
     ship(spark)
     cell_rows = CELL
     keyed = sized.withColumn("sk", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
-    # a row per source: staged as one file, so that its size is known before the join is planned
-    per = stage(shares.repartition(1), "shares").select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("k"), "source_size", "target", F.ceil(F.col("n_rows") / cell_rows).alias("cells"))
+    # a row per source: staged, so that its size is known before the join is planned
+    per = stage(shares, "shares").select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("k"), "source_size", "target", F.ceil(F.col("n_rows") / cell_rows).alias("cells"))
     # rows that agree in identifier and text share a cell, unless they'd fill it: those are spread by row
     many = sized.groupBy("id", "tie").agg(F.count("*").alias("m")).where(F.col("m") > cell_rows).select(F.xxhash64("id", "tie").alias("crowd")).distinct()
     rows = keyed.join(per, keyed.sk == per.k).drop("k").withColumn("hash", F.xxhash64("id", "tie"))
