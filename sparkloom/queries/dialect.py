@@ -127,7 +127,7 @@ def _(t):
 
 @query(
     "dialect_ai_anomaly_and_explain",
-    "WITH z AS (SELECT p_partkey, p_size, abs(p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS z, avg(p_size) OVER () AS m FROM part) SELECT p_partkey, round(z / (z + 3), 6) AS score, 'p_size' AS feature, round(3.5 * (p_size - m), 4)::DOUBLE AS effect FROM z",
+    "WITH z AS (SELECT p_partkey, p_size, abs(p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS z, avg(p_size) OVER () AS m FROM part) SELECT p_partkey, round(z / (z + 3), 6) AS score, 'p_size' AS feature, round(3.5 * (p_size - m), 6)::DOUBLE AS effect FROM z",
 )
 def _(t):
     from pyspark.sql import functions as F
@@ -136,7 +136,7 @@ def _(t):
     e.register("priced", t.part.selectExpr("p_partkey", "p_size", "p_size * 3.5D + 7 AS price"))
     e.run("CREATE MODEL cost USING LINEAR FEATURES (p_size) TARGET price FROM priced WITH (iterations = 30)")
     out = e.run("SELECT p_partkey, AI_PREDICT_ANOMALY('cost', p_size) AS score, AI_EXPLAIN('cost', p_size) AS why FROM priced")
-    return out.select("p_partkey", F.round("score", 6).alias("score"), F.col("why")[0]["feature"].alias("feature"), (F.round(F.col("why")[0]["effect"], 4) + 0.0).alias("effect"))
+    return out.select("p_partkey", F.round("score", 6).alias("score"), F.col("why")[0]["feature"].alias("feature"), (F.round(F.col("why")[0]["effect"], 6) + 0.0).alias("effect"))
 
 
 @query("dialect_transactions", "SELECT * FROM (VALUES (1, 'kept'), (2, 'kept'), (3, 'later')) v(k, v)")

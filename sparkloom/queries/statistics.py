@@ -90,7 +90,7 @@ def _(t):
 
 
 #: The normal distribution function as a series: 1/2 + density * sum of z^(2k+1) / (2k+1)!!.
-_PHI = "(0.5 + sign({0}) * exp(-{0} * {0} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 90), lambda k: exp((2 * k + 1) * ln(greatest(abs({0}), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))))"
+_PHI = "(0.5 + sign({0}) * exp(-{0} * {0} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 300), lambda k: exp((2 * k + 1) * ln(greatest(abs({0}), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))))"
 
 
 @query(
