@@ -8,6 +8,16 @@ c AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c
 """
 
+#: Every pair of equal label by its cosine; a component is what links reach, step by step.
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r AS (SELECT vec_id AS x, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.x),
+c AS (SELECT x AS vec_id, min(c) AS component_id FROM r GROUP BY x), k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN k USING (vec_id)
+"""
+
 
 def _op9() -> str:
     """Robust covariance per group in plain SQL: the same starts, steps and cutoffs, written as joined CTEs."""

@@ -92,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_density": oracles.OP1_SQL, "op9_mcd_quality": oracles.OP9_SQL}
+    return {"op1_html_density": oracles.OP1_SQL, "op6_pstable_embeddings": oracles.OP6_SQL, "op9_mcd_quality": oracles.OP9_SQL}
