@@ -22,6 +22,7 @@ from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 SEGMENT = re.compile(f"[{_WS}]*[{_LETTER}]+(?=[.,{_WS}])|[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: Segments in each of the two generations that a worker keeps: a full young generation becomes the old one.
-CACHE_SEGMENTS = 250_000
+CACHE_SEGMENTS = 350_000
 #: Token pairs whose fit one worker keeps.
 FITS = 400_000
 #: Longer segments aren't kept.
@@ -55,6 +56,7 @@ class PrefixBPE:
         missing = [i for i in range(256) if bytes([i]) not in ranks]
         if missing:
             raise ValueError(f"no token for the single bytes {missing[:5]}")
+        self._before: tuple[bytes, list[int]] = (b"", [-1])  # the string encoded last and its table
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
 
@@ -150,6 +152,23 @@ class PrefixBPE:
             return [t]  # every token of a rank file encodes to itself
         return self.walk(self.table(data))
 
+    def encode_next(self, data: bytes) -> list[int]:
+        """The ids of the whole string, from the table of the string before: positions of the common prefix are kept.
+
+        Strings that come sorted share most of their prefixes.
+        """
+        t = self.ranks.get(data)
+        if t is not None:
+            return [t]
+        before, last = self._before
+        same, most = 0, min(len(before), len(data))
+        while same < most and before[same] == data[same]:
+            same += 1
+        last = last[: same + 1]
+        self.extend(data, last, same, len(data))
+        self._before = (data, last)
+        return self.walk(last)
+
     def append(self, data: bytes, last: list[int], more: bytes) -> tuple[bytes, list[int]]:
         """data + more and its table; only the new positions are computed."""
         data += more
@@ -193,28 +212,41 @@ class TextEncoder:
         self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def segment(self, s: str) -> tuple[bytes, bytes]:
-        out = self.older.get(s)
-        if out is None:
-            ids: list[int] = []
-            for m in self.split(s):
-                ids += self.bpe.encode(m.encode())
-            out = (array("i", ids).tobytes(), self.bpe.decode(ids))
-        if len(s) <= CACHE_CHARS:
-            if len(self.kept) >= CACHE_SEGMENTS:
-                self.older, self.kept = self.kept, {}
-            self.kept[s] = out
-        return out
+        """Packed ids of a segment and the bytes that they decode to."""
+        ids: list[int] = []
+        for m in self.split(s):
+            ids += self.bpe.encode_next(m.encode())
+        return array("i", ids).tobytes(), self.bpe.decode(ids)
 
-    def packed(self, s: str) -> tuple[bytes, bytes]:
-        """Packed ids of a whole text and the bytes that they decode to."""
-        found = SEGMENT.findall(s)
-        got = list(map(self.kept.get, found))
-        if None in got:
-            got = [g or self.segment(x) for g, x in zip(got, found)]
-        return b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
+    def packed(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Packed ids of whole texts and the bytes that they decode to.
+
+        What the texts hold of new segments is encoded in sorted order, so that each goes on from the one before.
+        """
+        found = [SEGMENT.findall(s) for s in texts]
+        kept, older = self.kept, self.older
+        missing = set().union(*found).difference(kept)
+        if missing:
+            now = {s: older[s] for s in missing if s in older}
+            new = sorted(missing.difference(now))
+            for s in new:
+                now[s] = self.segment(s)
+            if len(kept) + len(now) > CACHE_SEGMENTS:  # what these texts need stays at hand, the rest becomes the older generation
+                self.older, self.kept = kept, {s: kept[s] for f in found for s in f if s in kept}
+                kept = self.kept
+            kept.update(now)
+        out = []
+        for f in found:
+            got = list(map(kept.__getitem__, f))
+            out.append((b"".join([g[0] for g in got]), b"".join([g[1] for g in got])))
+        if missing:
+            for s in new:
+                if len(s) > CACHE_CHARS:
+                    del kept[s]
+        return out
 
     def text(self, s: str) -> tuple[list[int], bytes]:
-        ids, decoded = self.packed(s)
+        ids, decoded = self.packed([s])[0]
         return array("i", ids).tolist(), decoded
 
 
@@ -223,9 +255,16 @@ def _encoder(path: str, pattern: str) -> TextEncoder:
     return TextEncoder(PrefixBPE(read_ranks(path)), pattern)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, column: int, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of up to so many rows and, beyond a first row, so many bytes of text."""
+    ends = [0, *accumulate(pc.binary_length(batch.column(column)).to_pylist())]
+    at = 0
+    while at < batch.num_rows:
+        end = at + 1
+        while end < batch.num_rows and end - at < rows and ends[end + 1] - ends[at] <= size:
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,8 +279,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(ranks_path, pattern)
         for batch in batches:
-            for part in slices(batch):
-                both = [enc.packed(t) for t in part.column(1).to_pylist()]
+            for part in slices(batch, 1):
+                both = enc.packed(part.column(1).to_pylist())
                 ends = array("i", [0, *accumulate(len(x[0]) // 4 for x in both)])
                 ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join([x[0] for x in both]))])
                 col = pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)]), ids)
