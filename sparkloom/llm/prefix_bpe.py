@@ -37,7 +37,7 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 SEGMENT = re.compile(f"[{_WS}]*[{_LETTER}]+(?=[.,{_WS}])|[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: Segments in each of the two generations that a worker keeps: a full young generation becomes the old one.
-CACHE_SEGMENTS = 350_000
+CACHE_SEGMENTS = 200_000
 #: Token pairs whose fit one worker keeps.
 FITS = 400_000
 #: Longer segments aren't kept.
@@ -285,6 +285,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join([x[0] for x in both]))])
                 col = pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)]), ids)
                 yield pa.RecordBatch.from_arrays([part.column(0), col, pa.array([x[1] for x in both], pa.binary())], names=[id_col, "ids", "decoded"])
+        enc.older = {}  # an idle worker, which other stages use again, keeps one generation at most
+
 
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
     return src.mapInArrow(run, schema)
