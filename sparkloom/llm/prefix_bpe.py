@@ -287,7 +287,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), col, pa.array([x[1] for x in both], pa.binary())], names=[id_col, "ids", "decoded"])
         enc.older = {}  # an idle worker, which other stages use again, keeps one generation at most
 
-
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
     return src.mapInArrow(run, schema)
 
