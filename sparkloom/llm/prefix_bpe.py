@@ -255,7 +255,7 @@ def _encoder(path: str, pattern: str) -> TextEncoder:
     return TextEncoder(PrefixBPE(read_ranks(path)), pattern)
 
 
-def slices(batch: pa.RecordBatch, column: int, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of up to so many rows and, beyond a first row, so many bytes of text."""
     ends = [0, *accumulate(pc.binary_length(batch.column(column)).to_pylist())]
     at = 0
