@@ -253,7 +253,9 @@ def nearest(df: DataFrame, key: str, columns: list[str], k: int, size: int = 204
         pairs = stage(spans.select("__b1", F.explode(F.sequence("first", "last")).alias("at")).join(table, F.col("at") == F.col("place")).where("__b1 <> __o").select("__b1", "__o", "__lo", "__hi"), "block-pairs")
         gap = F.greatest(F.col("__lo") - F.col(lead), F.col(lead) - F.col("__hi"), F.lit(0.0))
         asking = d.join(pairs, F.col("__b") == F.col("__b1")).where(gap <= F.col("__r") * (1 + 1e-9)).select(key, *columns, F.col("__b1").alias("b1"), F.col("__o").alias("b2"))
-        base = d.select(key, *columns, "__b").join(pairs.select(F.col("__b1").alias("b1"), F.col("__o").alias("b2")), F.col("__b") == F.col("b2")).drop("__b")
+        # new names for the same columns: both sides of the cogroup come from d, whose columns would be ambiguous
+        there = d.select(*[F.col(x).alias(x) for x in (key, *columns, "__b")])
+        base = there.join(pairs.select(F.col("__b1").alias("b1"), F.col("__o").alias("b2")), F.col("__b") == F.col("b2")).drop("__b")
         visit = lambda p, q: _closest(p, q, key, columns, k, False) if len(p) and len(q) else pd.DataFrame({key: p[key].iloc[:0], "d": pd.Series(dtype=float), "id": p[key].iloc[:0]})
         found = found.unionByName(asking.groupBy("b1", "b2").cogroup(base.groupBy("b1", "b2")).applyInPandas(visit, f"{key} {kind}, d double, id {kind}"))
     best = found.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("d", "id"))).where(F.col("__n") <= k)
