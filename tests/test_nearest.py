@@ -31,3 +31,13 @@ def test_neighbours_across_blocks(spark, points, columns):
         assert [n.d for n in found] == pytest.approx(d[k], abs=1e-12)
         if len(columns) == 2:
             assert [n.id for n in found] == at[k].tolist()
+
+
+def test_lof_of_more_than_one_block(spark):
+    x = np.random.default_rng(4).normal(size=(2500, 1))
+    df = spark.createDataFrame([(i, float(a)) for i, (a,) in enumerate(x)], "k long, a double")
+    d, at = brute(x, 10)
+    density = 10 / np.maximum(d, d[:, -1][at]).sum(1)
+    rows = {r.k: r.lof for r in P.local_outlier_factor(df, "k", ["a"], 10).collect()}
+    assert len(rows) == 2500
+    assert [rows[i] for i in range(2500)] == pytest.approx(density[at].mean(1) / density, rel=1e-9)
