@@ -41,3 +41,21 @@ def test_lof_of_more_than_one_block(spark):
     rows = {r.k: r.lof for r in P.local_outlier_factor(df, "k", ["a"], 10).collect()}
     assert len(rows) == 2500
     assert [rows[i] for i in range(2500)] == pytest.approx(density[at].mean(1) / density, rel=1e-9)
+
+
+def lof(x, k):
+    d, at = brute(x, k)
+    density = k / np.maximum(d, d[:, -1][at]).sum(1)
+    return d[:, 0], density[at].mean(1) / density
+
+
+def test_outliers_of_more_than_one_block(spark):
+    x = np.random.default_rng(5).normal(size=(2500, 2))
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "k long, a double, b double")
+    z = (x - x.mean(0)) / x.std(0)
+    near, factor = lof(z, 10)
+    unit = lambda v: (v - v.min()) / (v.max() - v.min())
+    score = 0.4 * unit(np.sqrt((z * z).sum(1))) + 0.3 * unit(near) + 0.3 * unit(factor)
+    rows = {r.k: r for r in P.outliers(df, "k", ["a", "b"]).collect()}
+    assert [rows[i].score for i in range(2500)] == pytest.approx(score, abs=1e-9)
+    assert [rows[i].outlier for i in range(2500)] == (score > np.quantile(score, 0.95)).tolist()
