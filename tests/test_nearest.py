@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from sparkloom.operators import anomaly as A
 from sparkloom.operators import profile as P
 
 
@@ -59,3 +60,12 @@ def test_outliers_of_more_than_one_block(spark):
     rows = {r.k: r for r in P.outliers(df, "k", ["a", "b"]).collect()}
     assert [rows[i].score for i in range(2500)] == pytest.approx(score, abs=1e-9)
     assert [rows[i].outlier for i in range(2500)] == (score > np.quantile(score, 0.95)).tolist()
+
+
+def test_lof_detector_of_more_than_one_block(spark):
+    x = np.random.default_rng(6).normal(size=(2500, 1))
+    df = spark.createDataFrame([(i, float(a)) for i, (a,) in enumerate(x)], "k long, a double")
+    score = 1 - 1 / np.maximum(lof(x, 19)[1], 1)
+    rows = {r.k: r for r in A.detect(df, ["a"], "lof", key="k").collect()}
+    assert [rows[i].score for i in range(2500)] == pytest.approx(score, abs=1e-9)
+    assert [rows[i].anomaly for i in range(2500)] == (score > np.quantile(score, 0.95)).tolist()
