@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from sparkloom.plans.staging import stage
+
 JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
 
@@ -109,3 +111,15 @@ def chunks(df: DataFrame, size: int = 10_000) -> Iterator[list[Row]]:
             held = []
     if held:
         yield held
+
+
+def numbered_chunks(df: DataFrame, size: int = 10_000) -> DataFrame:
+    """df with chunk (long): which chunk of `size` rows of that cursor a row falls into, numbered where the rows are.
+
+    A partition counts its own rows; one row a partition carries the totals across, so the driver gets no rows at all.
+    """
+    d = stage(df.withColumn("__id", F.monotonically_increasing_id()), "chunks")
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    counts = d.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    before = counts.select(F.col("__p").alias("__q"), (F.sum("__n").over(Window.partitionBy().orderBy("__p")) - F.col("__n")).alias("__before"))
+    return d.join(stage(before, "chunk-places"), part == F.col("__q")).withColumn("chunk", F.floor((F.col("__before") + place) / size)).drop("__id", "__q", "__before")

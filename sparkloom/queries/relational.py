@@ -391,5 +391,5 @@ def monthly_revenue(t):
 
 @query("scan_chunks", "SELECT count(*) AS n_rows, (count(*) + 9999) // 10000 AS n_chunks FROM lineitem")
 def _(t):
-    sizes = [len(x) for x in R.chunks(t.lineitem.select("l_orderkey"))]
-    return t.spark.createDataFrame([(sum(sizes), len(sizes))], "n_rows long, n_chunks long")
+    sizes = R.numbered_chunks(t.lineitem.select("l_orderkey")).groupBy("chunk").agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_chunks"))
