@@ -91,7 +91,7 @@ def _(t):
     "WITH w AS (SELECT event_type, ts, value, count(*) OVER p AS n, avg(value) OVER p AS m, stddev_samp(value) OVER p AS s FROM events WINDOW p AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT event_type, ts, value, round(CASE WHEN s > 0 THEN abs(value - m) / s ELSE 0 END, 6) AS z, coalesce(n >= 10 AND abs(value - m) / s > 2, FALSE) AS alarm FROM w",
 )
 def _(t):
-    return ntz(rounded(S.drain(S.adaptive_alarms(stream(t), "event_type", "ts", "value", 2.0))))
+    return ntz(rounded(S.drain(S.adaptive_alarms(stream(t), "event_type", "ts", "value", 2.0, tie="event_id"))))
 
 
 @query("stream_incremental_profile", "SELECT count(value) AS value_n, count(*) - count(value) AS value_nulls, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_stddev, min(value) AS value_min, max(value) AS value_max FROM events")

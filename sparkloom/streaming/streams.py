@@ -5,9 +5,11 @@ Every transformation takes a streaming or a batch DataFrame: tests run both and
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,36 +118,118 @@ def gap_anchored(df: DataFrame, time: str, value: str, seconds: float, keys: tup
     return df.select(*keys, time, value).groupBy(*keys).applyInPandas(run, fields + "label timestamp, value double, n long")
 
 
-def adaptive_alarms(df: DataFrame, key: str, time: str, value: str, z: float = 3.0, warm: int = 10) -> DataFrame:
+class _Sorted:
+    """Rows of (time as a number, tie, value) in order with bounded memory: sorted runs on the task's disk, merged by ranges of time."""
+
+    RUN, SLICE = 500_000, 50_000
+
+    def __init__(self, frames: Iterator[pd.DataFrame], columns: tuple[str, str, str]):
+        self.frames, self.columns = frames, columns
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Times and values, a slice at a time."""
+        with tempfile.TemporaryDirectory(prefix="sparkloom-runs-") as folder:
+            runs, held, rows = [], [], 0
+            for f in self.frames:
+                time, tie, value = (f[c] for c in self.columns)
+                held.append(np.rec.fromarrays([time.to_numpy("int64"), tie.to_numpy("int64"), value.to_numpy("float64")], names="t,tie,v"))
+                rows += len(f)
+                if rows >= self.RUN:
+                    runs.append(self._keep(held, f"{folder}/{len(runs)}.npy"))
+                    held, rows = [], 0
+            if held:
+                runs.append(self._order(held))
+            yield from self._merge(runs)
+
+    def _order(self, held: list[np.ndarray]) -> np.ndarray:
+        a = np.concatenate(held)
+        return a[np.lexsort((a["tie"], a["t"]))]
+
+    def _keep(self, held: list[np.ndarray], path: str) -> str:
+        np.save(path, self._order(held), allow_pickle=False)
+        return path
+
+    def _merge(self, runs: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # a file is mapped anew for every slice, so that no pages of it stay with the process
+        at, size = [0] * len(runs), [len(self._open(r)) for r in runs]
+        step = max(1, self.SLICE // max(1, len(runs)))
+        while any(a < n for a, n in zip(at, size)):
+            heads = [np.array(self._open(r)[a : a + step]) for r, a in zip(runs, at)]
+            # rows up to the least last row of a slice are all here, except of runs that end in it
+            last = min(((h["t"][-1], h["tie"][-1]) for h, a, n in zip(heads, at, size) if a + len(h) < n), default=None)
+            parts = []
+            for i, h in enumerate(heads):
+                k = len(h) if last is None else int(((h["t"] < last[0]) | ((h["t"] == last[0]) & (h["tie"] <= last[1]))).sum())
+                parts.append(h[:k])
+                at[i] += k
+            a = self._order(parts)
+            yield a["t"], a["v"]
+
+    def _open(self, run) -> np.ndarray:
+        return np.load(run, mmap_mode="r") if isinstance(run, str) else run
+
+
+def adaptive_alarms(df: DataFrame, key: str, time: str, value: str, z: float = 3.0, warm: int = 10, tie: str | None = None) -> DataFrame:
     """Per key a running mean and variance (Welford) as state; rows beyond z deviations of what came before are alarms.
 
-    On a stream this is applyInPandasWithState in append mode, rows of a batch taken in time order.
+    Rows are taken in the order of time, then of tie (an integer column). A row without a value counts as a row, moves
+    nothing and has no score. On a stream this is applyInPandasWithState in append mode, rows of a trigger in that order. One
+    task walks a key's rows and holds a slice of them: a batch sorts them in Spark, a trigger in runs on the task's disk.
     """
-    out = f"{key} {df.schema[key].dataType.simpleString()}, {time} timestamp, {value} double, z double, alarm boolean"
-
-    def step(rows: pd.DataFrame, n: int, m: float, s: float) -> tuple[pd.DataFrame, int, float, float]:
-        made = []
-        for k, t, v in rows.sort_values(time, kind="stable")[[key, time, value]].itertuples(index=False):
-            sd = (s / (n - 1)) ** 0.5 if n > 1 else 0.0
-            score = abs(v - m) / sd if sd > 0 else 0.0
-            made.append((k, t, v, score, n >= warm and score > z))
+    out = f"{key} {df.schema[key].dataType.simpleString()}, __t long, {value} double, z double, alarm boolean"
+    never = F.lit(2**63 - 1)  # a missing time comes after all others
+
+    def step(t: np.ndarray, v: np.ndarray, state: tuple) -> tuple[pd.DataFrame, tuple]:
+        n, c, m, s = state
+        scores, alarms = [], []
+        for x in v.tolist():
+            sd = (s / (c - 1)) ** 0.5 if c > 1 else 0.0
+            if x != x:
+                scores.append(float("nan") if sd > 0 else 0.0)
+                alarms.append(False)
+                n += 1
+                continue
+            score = abs(x - m) / sd if sd > 0 else 0.0
+            scores.append(score)
+            alarms.append(n >= warm and score > z)
             n += 1
-            d = v - m
-            m += d / n
-            s += d * (v - m)
-        return pd.DataFrame(made, columns=[key, time, value, "z", "alarm"]), n, m, s
-
-    d = df.select(key, time, F.col(value).cast("double").alias(value))
+            c += 1
+            d = x - m
+            m += d / c
+            s += d * (x - m)
+        return pd.DataFrame({"__t": t, value: v, "z": np.array(scores, float), "alarm": alarms}), (n, c, m, s)
+
+    at = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), never)
+    d = df.select(key, at.alias("__t"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("__tie"), F.col(value).cast("double").alias(value))
+    timed = lambda x: x.select(key, F.when(F.col("__t") != never, F.timestamp_micros("__t")).alias(time), value, "z", "alarm")
     if not df.isStreaming:
-        return d.groupBy(key).applyInPandas(lambda pdf: step(pdf, 0, 0.0, 0.0)[0], out)
 
-    def keep(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, m, s = state.get if state.exists else (0, 0.0, 0.0)
-        made, n, m, s = step(pd.concat(list(frames)), n, m, s)
-        state.update((n, m, s))
-        yield made
+        def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, state = None, (0, 0, 0.0, 0.0)
+            for f in frames:
+                # the rows of a key are together: a new number where the key changes, NULL equal to NULL
+                k = f[key]
+                new = ((k != k.shift()) & ~(k.isna() & k.shift().isna())).cumsum()
+                for _, g in f.groupby(new, sort=False):
+                    first = g[key].iloc[0]
+                    first = None if pd.isna(first) else first
+                    if now != (first,):
+                        now, state = (first,), (0, 0, 0.0, 0.0)
+                    made, state = step(g["__t"].to_numpy("int64"), g[value].to_numpy("float64"), state)
+                    made.insert(0, key, g[key].to_numpy())
+                    yield made
+
+        return timed(d.repartition(key).sortWithinPartitions(key, "__t", "__tie").mapInPandas(walk, out))
 
-    return d.groupBy(key).applyInPandasWithState(keep, out, "n long, m double, s double", "append", "NoTimeout")
+    def keep(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now = state.get if state.exists else (0, 0, 0.0, 0.0)
+        for t, v in _Sorted(frames, ("__t", "__tie", value)):
+            made, now = step(t, v, now)
+            made.insert(0, key, k[0])
+            yield made
+        state.update(now)
+
+    return timed(d.groupBy(key).applyInPandasWithState(keep, out, "n long, c long, m double, s double", "append", "NoTimeout"))
 
 
 def incremental_profile(df: DataFrame, columns: list[str]) -> DataFrame:

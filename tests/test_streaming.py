@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +77,36 @@ def test_live_simulation_is_a_stream_of_seeded_returns(spark):
     expr = lambda: step.select("value", (F.lit(0.001) + F.lit(0.02) * F.sqrt(-2 * F.log((F.pmod(F.xxhash64("value", F.lit(5), F.lit(1)), F.lit(1_000_003)) + 1) / 1_000_005)) * F.cos(2 * F.pi() * (F.pmod(F.xxhash64("value", F.lit(5), F.lit(2)), F.lit(1_000_003)) + 1) / 1_000_005)).alias("r"))
     r = [x.r for x in expr().collect()]
     assert r == [x.r for x in expr().collect()] and abs(sum(r) / len(r) - 0.001) < 0.002
+
+
+def test_runs_on_disk_give_the_rows_in_order():
+    class Small(S._Sorted):
+        RUN, SLICE = 50, 20
+
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame({"t": rng.integers(0, 90, 330), "i": rng.permutation(330), "v": rng.normal(size=330)})
+    got = list(Small((rows[a : a + 30] for a in range(0, 330, 30)), ("t", "i", "v")))
+    want = rows.sort_values(["t", "i"])
+    assert np.concatenate([t for t, _ in got]).tolist() == want["t"].tolist() and np.concatenate([v for _, v in got]).tolist() == want["v"].tolist()
+    assert max(len(t) for t, _ in got) <= 20
+
+
+def test_alarms_take_ties_in_order_and_count_rows_without_a_value(spark):
+    rows = [("a", 9 - i // 2, i, float(i * i % 7)) for i in range(20)] + [("a", 3, 99, None), (None, 1, 1, 5.0), (None, 1, 0, 4.0)]
+    df = spark.createDataFrame(rows, "k string, s int, i long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    got = sorted((r.k or "", r.ts, r.v is None, r.v or 0.0, None if r.z is None else round(r.z, 9)) for r in S.adaptive_alarms(df, "k", "ts", "v", 2.0, tie="i").collect())
+    seen, want = {}, []
+    for k, s, i, v in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        x = [a for a in seen.setdefault(k, []) if a is not None]
+        sd = np.std(x, ddof=1) if len(x) > 1 else 0.0
+        want.append((k or "", s, v is None, v or 0.0, 0.0 if sd == 0 else None if v is None else round(abs(v - np.mean(x)) / sd, 9)))
+        seen[k].append(v)
+    assert [(k, t.second, *x) for k, t, *x in got] == sorted(want)
+
+
+def test_a_walk_holds_a_slice_of_a_key(spark):
+    # a narrow map over sorted rows, not a group that a task has to hold
+    df = spark.createDataFrame([("a", START, 1.0)], "k string, ts timestamp, v double")
+    for d in (S.adaptive_alarms(df, "k", "ts", "v"),):
+        plan = d._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInPandas" not in plan and d.count() == 1
