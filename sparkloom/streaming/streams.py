@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.plans.ordering import running
 from sparkloom.plans.staging import shared_dir
@@ -97,25 +99,56 @@ def history(df: DataFrame, time: str, keep: str, late: str = "0 seconds") -> Dat
 
 
 def gap_anchored(df: DataFrame, time: str, value: str, seconds: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Windows that begin at the first row past the previous window, labelled by their middle; a key must fit one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable")
-        t = pdf[time].astype("int64").to_numpy() / {"datetime64[ns]": 1e9, "datetime64[us]": 1e6}.get(str(pdf[time].dtype), 1e9)
-        group, start, g = [], None, -1
-        for x in t:
-            if start is None or x >= start + seconds:
-                start, g = x, g + 1
-            group.append(g)
-        pdf = pdf.assign(__g=group)
-        out = pdf.groupby("__g").agg(start=(time, "first"), value=(value, "mean"), n=(value, "size")).reset_index(drop=True)
-        out["label"] = out["start"] + pd.Timedelta(seconds=seconds / 2)
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "label", "value", "n"]]
+    """Windows that begin at the first row past the previous window, labelled by their middle; missing times are left out.
 
+    A key's windows follow from one another, so one task walks its rows, which come sorted and a batch at a time: that
+    task's Python holds a batch and the window that is open.
+    """
+    width = round(seconds * 1e6)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start, total, valued, n = None, None, 0.0, 0, 0
+        for b in batches:
+            t = b.column("__t").to_numpy()
+            v = b.column("__v")
+            has = v.is_valid().to_numpy(zero_copy_only=False)
+            x = np.where(has, v.to_numpy(zero_copy_only=False), 0.0)
+            # places where a key's rows begin
+            new = np.zeros(len(t), bool)
+            new[:1] = True
+            for i in range(len(keys)):
+                code = b.column(i).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            cuts, made = np.flatnonzero(new).tolist(), []
+            for lo, hi in zip(cuts, [*cuts[1:], len(t)]):
+                at = tuple(b.column(i)[lo].as_py() for i in range(len(keys)))
+                if key != at:
+                    if n:
+                        made.append((key, start, total, valued, n))
+                    key, start, total, valued, n = at, None, 0.0, 0, 0
+                while lo < hi:
+                    if start is None or t[lo] >= start + width:
+                        if n:
+                            made.append((key, start, total, valued, n))
+                        start, total, valued, n = int(t[lo]), 0.0, 0, 0
+                    end = lo + int(np.searchsorted(t[lo:hi], start + width))
+                    total, valued, n = total + float(x[lo:end].sum()), valued + int(has[lo:end].sum()), n + end - lo
+                    lo = end
+            yield as_batch(made)
+        if n:
+            yield as_batch([(key, start, total, valued, n)])
+
+    def as_batch(made: list[tuple]) -> pa.RecordBatch:
+        held = [pa.array([k[i] for k, *_ in made], kind) for i, kind in enumerate(kinds)]
+        mean = [total / valued if valued else None for _, _, total, valued, _ in made]
+        return pa.RecordBatch.from_arrays([*held, pa.array([s + width // 2 for _, s, *_ in made], pa.int64()), pa.array(mean, pa.float64()), pa.array([m[4] for m in made], pa.int64())], names=[*keys, "__t", "value", "n"])
+
+    kinds = [to_arrow_type(df.schema[k].dataType) for k in keys]
+    d = df.where(F.col(time).isNotNull()).select(*keys, F.unix_micros(F.col(time).cast("timestamp")).alias("__t"), F.col(value).cast("double").alias("__v"))
+    d = (d.repartition(*keys) if keys else d.repartition(1)).sortWithinPartitions(*keys, "__t")
     fields = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
-    return df.select(*keys, time, value).groupBy(*keys).applyInPandas(run, fields + "label timestamp, value double, n long")
+    out = d.mapInArrow(walk, fields + "__t long, value double, n long")
+    return out.select(*keys, F.timestamp_micros("__t").alias("label"), "value", "n")
 
 
 class _Sorted:

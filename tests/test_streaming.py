@@ -104,9 +104,30 @@ def test_alarms_take_ties_in_order_and_count_rows_without_a_value(spark):
     assert [(k, t.second, *x) for k, t, *x in got] == sorted(want)
 
 
+def test_gap_anchored_windows_across_batches_and_keys(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(k), float(t), float(v)) for k, t, v in zip(rng.integers(0, 3, 900), rng.integers(0, 4000, 900), rng.normal(size=900))]
+    df = spark.createDataFrame(rows, "k int, s double, v double").withColumn("ts", F.timestamp_seconds("s"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = sorted((r.k, r.a, round(r.value, 9), r.n) for r in S.gap_anchored(df, "ts", "v", 60.0, ("k",)).withColumn("a", F.unix_seconds("label")).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for key in range(3):
+        start, held = None, []
+        for s, v in [*sorted((s, v) for k, s, v in rows if k == key), (1e9, 0.0)]:
+            if start is None or s >= start + 60:
+                if held:
+                    want.append((key, int(start) + 30, round(float(np.mean(held)), 9), len(held)))
+                start, held = s, []
+            held.append(v)
+    assert got == want
+
+
 def test_a_walk_holds_a_slice_of_a_key(spark):
-    # a narrow map over sorted rows, not a group that a task has to hold
+    # both walks are narrow maps over sorted rows, not groups that a task has to hold
     df = spark.createDataFrame([("a", START, 1.0)], "k string, ts timestamp, v double")
-    for d in (S.adaptive_alarms(df, "k", "ts", "v"),):
+    for d in (S.adaptive_alarms(df, "k", "ts", "v"), S.gap_anchored(df, "ts", "v", 10.0, ("k",))):
         plan = d._jdf.queryExecution().toString()
         assert "FlatMapGroupsInPandas" not in plan and d.count() == 1
