@@ -39,6 +39,18 @@ CLASSIFICATION = {
 }
 
 
+#: rows of a partition that a model is trained on
+ROWS = 250_000
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """df, of that many rows, in partitions of ROWS at most or so: a training task keeps its partition in memory and
+    reads it in every round, and a file's splits or row groups may be any size. Smaller tables stay as they are."""
+    if rows <= ROWS:
+        return df
+    return df.repartition(max(-(-rows // ROWS), df.sparkSession.sparkContext.defaultParallelism))
+
+
 class Reweighted(Estimator):
     """A linear model of a loss that Spark has none for, by iteratively reweighted least squares.
 
@@ -173,7 +185,9 @@ def train(df: DataFrame, name: str, features: Sequence[str], target: str | None,
     if algorithm == "QUANTILE":
         common["alpha"] = alpha
     fit, held = d.randomSplit([1 - test_share, test_share], seed=seed)
-    pipeline = Pipeline(stages=[*stages, make(**common)]).fit(fit)
+    ready = Pipeline(stages=stages).fit(fit)
+    learned = make(**common).fit(spread(ready.transform(fit).select("__features", "__label"), check.k))
+    pipeline = PipelineModel([*ready.stages, learned])
     model = Model(Card(name, algorithm, kind, list(features), target, labels), pipeline)
     scored = pipeline.transform(held)
     model.card.metrics = regression_metrics(scored, "__label", "prediction").first().asDict() if kind == "regression" else classification_metrics(scored, "__label", "prediction").first().asDict()
