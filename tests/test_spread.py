@@ -31,3 +31,8 @@ def test_train(one, seen):
     assert len(seen) == 1 and seen[0] <= 200
     assert [type(s).__name__ for s in m.pipeline.stages] == ["ImputerModel", "VectorAssembler", "GBTRegressionModel"]
     assert M.predict(m, one).count() == 1000
+
+
+def test_importance_of_a_trained_model(spark, one, seen):
+    rows = M.importance(M.train(one, "m", ["a", "b"], "y", "REGRESSION", iterations=3), spark).collect()
+    assert max(seen) <= 200 and rows[0].feature == "a" and sum(r.importance for r in rows) == pytest.approx(1)
