@@ -367,7 +367,9 @@ def search(df: DataFrame, features: Sequence[str], target: str, grid: dict[str,
     points = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
     if draws is not None:
         points = random.Random(seed).sample(points, min(draws, len(points)))
-    d = VectorAssembler(inputCols=list(features), outputCol="__f").transform(_numeric(df.na.drop(subset=[*features, target]), features))
+    d = _numeric(df.na.drop(subset=[*features, target]), features)
+    d = VectorAssembler(inputCols=list(features), outputCol="__f").transform(d).select("__f", target)
+    d = spread(d, d.count())
     est = GBTRegressor(labelCol=target, featuresCol="__f", seed=seed)
     maps = [{est.getParam(k): v for k, v in p.items()} for p in points]
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=target), numFolds=folds, seed=seed, parallelism=2).fit(d)

@@ -36,3 +36,8 @@ def test_train(one, seen):
 def test_importance_of_a_trained_model(spark, one, seen):
     rows = M.importance(M.train(one, "m", ["a", "b"], "y", "REGRESSION", iterations=3), spark).collect()
     assert max(seen) <= 200 and rows[0].feature == "a" and sum(r.importance for r in rows) == pytest.approx(1)
+
+
+def test_search(one, seen):
+    assert M.search(one, ["a", "b"], "y", {"maxDepth": [2], "maxIter": [2]}, folds=2).count() == 1
+    assert len(seen) == 3 and max(seen) <= 200
