@@ -178,9 +178,11 @@ def importance(df: DataFrame, target: str, features: list[str] | None = None, bi
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    from sparkloom.operators.ml import spread
+
     features = features or [c for c in numeric_columns(df) if c != target]
     d = df.select(target, *features).na.drop()
-    model = GBTRegressor(labelCol=target, featuresCol="__f", maxIter=10, maxDepth=4, seed=1).fit(VectorAssembler(inputCols=features, outputCol="__f").transform(d))
+    model = GBTRegressor(labelCol=target, featuresCol="__f", maxIter=10, maxDepth=4, seed=1).fit(VectorAssembler(inputCols=features, outputCol="__f").transform(spread(d, d.count())))
     tree = df.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, model.featureImportances.toArray())], "column string, tree double")
     return scores(df, target, features, bins).join(tree, "column").orderBy(F.desc("tree"), "column")
 

@@ -5,6 +5,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from sparkloom.operators import ml as M
+from sparkloom.operators import profile as P
 
 
 @pytest.fixture()
@@ -41,3 +42,12 @@ def test_importance_of_a_trained_model(spark, one, seen):
 def test_search(one, seen):
     assert M.search(one, ["a", "b"], "y", {"maxDepth": [2], "maxIter": [2]}, folds=2).count() == 1
     assert len(seen) == 3 and max(seen) <= 200
+
+
+def test_analysis(one, seen):
+    rows = P.importance(one, "y", ["a", "b"]).collect()
+    assert len(seen) == 1 and seen[0] <= 200 and [r.column for r in rows] == ["a", "b"]
+
+
+def test_small_tables_stay_as_they_are(one):
+    assert M.spread(one, M.ROWS) is one
