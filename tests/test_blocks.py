@@ -22,7 +22,7 @@ def tables(tmp_path_factory):
     return con, folder
 
 
-@pytest.mark.parametrize("name", ["analyze_local_outlier_factor", "analyze_outlier"])
+@pytest.mark.parametrize("name", ["analyze_local_outlier_factor", "analyze_outlier", "anomaly_lof"])
 def test_equals_sql(spark, tables, name):
     con, folder = tables
     assert oracle.differences(spark, con, folder, Q.QUERIES[name], Q.ORACLES[name]) is None
