@@ -51,3 +51,12 @@ def test_analysis(one, seen):
 
 def test_small_tables_stay_as_they_are(one):
     assert M.spread(one, M.ROWS) is one
+
+
+def test_query_on_lines_of_one_file(spark, seen):
+    import sparkloom.queries as Q
+
+    Q.load()
+    rows = Q.QUERIES["ml_importance"](spark, "/root/testdata/sf0.001").collect()
+    assert len(seen) == 1 and seen[0] <= 200
+    assert {r.feature for r in rows} == {"l_quantity", "l_discount", "l_tax"}
