@@ -60,3 +60,10 @@ def test_query_on_lines_of_one_file(spark, seen):
     rows = Q.QUERIES["ml_importance"](spark, "/root/testdata/sf0.001").collect()
     assert len(seen) == 1 and seen[0] <= 200
     assert {r.feature for r in rows} == {"l_quantity", "l_discount", "l_tax"}
+
+
+def test_importances_stay_where_no_split_is_sampled(one, monkeypatch):
+    weights = lambda: M.train(one, "m", ["a", "b"], "y", "REGRESSION", iterations=3).pipeline.stages[-1].featureImportances.toArray()
+    whole = weights()
+    monkeypatch.setattr(M, "ROWS", 200)
+    assert weights() == pytest.approx(whole, abs=1e-9)
